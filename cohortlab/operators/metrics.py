@@ -226,8 +226,8 @@ def mcc(df: DataFrame, by: Sequence[str] = (), pred: str = "pred", y: str = "y")
 
     Everything after the first aggregate has one row per (slice, class pair).
     """
-    by = list(by)
-    cells = confusion(df, by, pred, y).withColumn("n", F.col("n").cast("double"))
+    keys, by = list(by), [*by, "_all"]
+    cells = confusion(df.withColumn("_all", F.lit(1)), by, pred, y).withColumn("n", F.col("n").cast("double"))
     whole = cells.groupBy(*by).agg(
         F.sum("n").alias("s"), F.sum(F.when(F.col("pred") == F.col("label"), F.col("n")).otherwise(0.0)).alias("c")
     )
@@ -243,10 +243,10 @@ def mcc(df: DataFrame, by: Sequence[str] = (), pred: str = "pred", y: str = "y")
         F.sum(F.col("p") * F.col("t")).alias("pt"), F.sum(F.col("p") * F.col("p")).alias("pp"),
         F.sum(F.col("t") * F.col("t")).alias("tt"),
     )
-    joined = whole.join(products, by) if by else whole.join(F.broadcast(products))  # one row each
+    joined = whole.join(products, by)
     s2 = F.col("s") * F.col("s")
     value = _ratio(F.col("c") * F.col("s") - F.col("pt"), F.sqrt((s2 - F.col("pp")) * (s2 - F.col("tt"))))
-    return joined.select(*by, value.alias("mcc"))
+    return joined.select(*keys, value.alias("mcc"))
 
 
 

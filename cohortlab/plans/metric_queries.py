@@ -48,7 +48,7 @@ def predict_ten_classes(spark: SparkSession, sf: str) -> DataFrame:
     def dot(m):
         return F.aggregate(F.zip_with(scaled, m, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
 
-    logits = vectors.join(F.broadcast(stacked)).select("vec_id", F.transform("ms", dot).alias("logits"))
+    logits = vectors.withColumn("ms", stacked.scalar()).select("vec_id", F.transform("ms", dot).alias("logits"))
     return M.predict(logits).select("vec_id", "pred")
 
 
@@ -265,7 +265,7 @@ def group_report(spark: SparkSession, sf: str) -> DataFrame:
     adjusted = M.adjusted_loss(M.ema_group_loss(df), stats, SPACE).drop("n")
     groups = stats.join(adjusted, "g")
     per_batch = df.groupBy("batch").agg(F.avg("loss").alias("m")).agg(F.avg("m").alias("sample_loss"))
-    summary = M.robustness_summary(stats).join(F.broadcast(per_batch))  # one row each
+    summary = M.robustness_summary(stats).withColumn("sample_loss", per_batch.scalar())
     names = spark.range(SPACE.n_groups).select(
         F.col("id").cast("int").alias("g"), G.group_name("id", SPACE, "quality", ["toxic"]).alias("group_name")
     )
