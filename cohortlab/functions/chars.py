@@ -26,13 +26,16 @@ CJK_RANGES = (
 
 _INVALID = r"[\x{0}\x{FFFD}]|[\p{C}&&[^\t\n\r]]"
 _SPACE = r"[\t\n\r\p{Zs}]"
-_CJK = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES) + "]"
+_CJK = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES)
 # all printable ASCII that is neither a letter nor a digit, and category P
 _PUNCT = r"!-/:-@\[-`{-~\p{P}"
-# line and paragraph separators survive the cleaning but still separate words
-_BREAK = r" \x{2028}\x{2029}"
-_PIECE = f"[{_PUNCT}]|[^{_PUNCT}{_BREAK}]+"
-_PROTECTED_WORD = r"(?<![^" + _BREAK + r"])\[(?:UNK|SEP|PAD|CLS|MASK)\](?![^" + _BREAK + "])"
+# every separator, with the line and paragraph separators that the cleaning keeps
+_BREAK = r"\t\n\r\p{Zs}\x{2028}\x{2029}"
+_WORD = f"[{_PUNCT}]|[^{_PUNCT}{_BREAK}]+"
+_WORD_OR_IDEOGRAPH = f"[{_PUNCT}{_CJK}]|[^{_PUNCT}{_CJK}{_BREAK}]+"
+_PROTECTED = r"\[(?:UNK|SEP|PAD|CLS|MASK)\]"
+# below this code point no character decomposes into several
+_SIMPLE_BELOW = 0x300
 
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 
@@ -69,7 +72,7 @@ def clean(text: Column) -> Column:
 
 
 def space_cjk(text: Column) -> Column:
-    return F.regexp_replace(text, f"({_CJK})", " $1 ")
+    return F.regexp_replace(text, f"([{_CJK}])", " $1 ")
 
 
 def _split_hangul(text: Column) -> Column:
@@ -92,42 +95,53 @@ def _split_hangul(text: Column) -> Column:
     return F.array_join(F.transform(chars, letters), "")
 
 
-def lower_strip_accents(text: Column) -> Column:
-    """Lower-case, decompose and drop nonspacing marks; rare cases cost only rows that have them."""
-    lowered = F.lower(text)
+def strip_accents(lowered: Column) -> Column:
+    """Decompose and drop nonspacing marks.
+
+    ASCII text is returned as it is, Latin text needs one small translation, and
+    only text with other characters pays for the full tables.
+    """
     source, target, several = accent_tables()
-    plain = F.translate(lowered, source, target)
-    expanded = plain
+    simple = [(c, target[i]) for i, c in enumerate(source[: len(target)]) if ord(c) < _SIMPLE_BELOW]
+    latin = F.translate(lowered, "".join(c for c, _ in simple), "".join(p for _, p in simple))
+    full = F.translate(lowered, source, target)
     for char, replacement in several:
-        expanded = F.replace(expanded, F.lit(char), F.lit(replacement))
-    several_class = "[" + "".join(f"\\x{{{ord(c):X}}}" for c, _ in several) + "]"
+        full = F.replace(full, F.lit(char), F.lit(replacement))
     hangul = f"[\\x{{{_HANGUL_FIRST:X}}}-\\x{{{_HANGUL_LAST:X}}}]"
-    out = F.when(lowered.rlike(several_class), expanded).otherwise(plain)
-    out = F.when(lowered.rlike(hangul), _split_hangul(out)).otherwise(out)
-    return F.when(lowered.rlike(r"[^\x{0}-\x{7F}]"), out).otherwise(lowered)
+    return (
+        F.when(~lowered.rlike(r"[^\x{0}-\x{7F}]"), lowered)
+        .when(~lowered.rlike(f"[^\\x{{0}}-\\x{{{_SIMPLE_BELOW - 1:X}}}]"), latin)
+        .when(lowered.rlike(hangul), _split_hangul(full))
+        .otherwise(full)
+    )
 
 
-def split_words(text: Column, lower: bool = True) -> Column:
-    """Words of cleaned text: whitespace separates, each punctuation character is a word.
+def plain_words(text: Column) -> Column:
+    """Words between separators, each punctuation character a word of its own."""
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
-    Protected tokens that stand alone stay whole. Texts without any take a path
-    that never leaves whole-string expressions.
-    """
-    normal = lower_strip_accents if lower else (lambda c: c)
-    plain = F.regexp_extract_all(normal(text), F.lit(_PIECE), F.lit(0))
+
+def plain_words_cjk(text: Column) -> Column:
+    """The same, with each ideograph a word of its own."""
+    return F.regexp_extract_all(text, F.lit(_WORD_OR_IDEOGRAPH), F.lit(0))
+
+
+def drop_invalid(text: Column) -> Column:
+    return F.regexp_replace(text, _INVALID, "")
+
+
+def has_protected(text: Column) -> Column:
+    return text.rlike(_PROTECTED)
+
+
+def words_around_protected(text: Column, lower: bool) -> Column:
+    """Words of text that may hold protected tokens: they stay whole if they stand alone."""
+    normal = (lambda c: strip_accents(F.lower(c))) if lower else (lambda c: c)
     tokens = F.filter(F.split(text, f"[{_BREAK}]+"), lambda t: t != "")
     pieces = F.transform(
-        tokens,
-        lambda t: F.when(t.isin(*PROTECTED), F.array(t)).otherwise(
-            F.regexp_extract_all(normal(t), F.lit(_PIECE), F.lit(0))
-        ),
+        tokens, lambda t: F.when(t.isin(*PROTECTED), F.array(t)).otherwise(plain_words(normal(t)))
     )
-    return F.when(text.rlike(_PROTECTED_WORD), F.flatten(pieces)).otherwise(plain)
-
-
-def basic_words(text: Column, lower: bool = True) -> Column:
-    """The whole chain: clean, space ideographs, normalize, split."""
-    return split_words(space_cjk(clean(text)), lower)
+    return F.flatten(pieces)
 
 
 def strip(text: Column) -> Column:

@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.scratch import materialize
 
 # monotonically_increasing_id keeps the row number within a partition in its low 33 bits.
@@ -41,23 +40,25 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "index") -> Dat
     )
 
 
-def prefix_sum(df: DataFrame, order: Sequence[str], value: str, name: str = "before") -> DataFrame:
-    """Add the sum of ``value`` over all earlier rows in the given order.
+def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Add, per name, the sum of an expression over all earlier rows in the given total order.
 
-    The order has to be total; rows of one range partition make one block.
+    Range partitions are the blocks: each is summed on its own, and one row per
+    partition carries the offsets.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = materialize(ordered.withColumn("_part", F.spark_partition_id()), "ordered")
-    totals = stored.groupBy("_part").agg(F.sum(value).alias("_n"))
+    ordered = df.withColumns({f"_v_{n}": e for n, e in sums.items()})
+    ordered = ordered.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    stored = materialize(ordered, "ordered")
+    totals = stored.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        stored.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_part", "_inside", "_offset")
+    offsets = totals.select(
+        "_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = stored.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums})
+    joined = summed.join(F.broadcast(offsets), "_part")
+    joined = joined.withColumns({n: F.col(f"_i_{n}") + F.col(f"_o_{n}") for n in sums})
+    return joined.drop("_part", *[f"_{kind}_{n}" for n in sums for kind in "vio"])
 
 
 def running_sums(
@@ -156,10 +157,6 @@ def at_most(order: Sequence[str], key: Sequence) -> Column:
 
 def average_ranks(counts: DataFrame, value: str, weight: str, name: str = "rank") -> DataFrame:
     """Average 1-based rank of each distinct value, given how often it occurs."""
-    ranked = prefix_sum(counts, [value], weight, "_before")
+    ranked = prefix_sums(counts, [value], {"_before": F.col(weight)})
     return ranked.select(value, (F.col("_before") + (F.col(weight) + 1) / 2).alias(name))
 
-
-__all__ = [
-    "at_most", "average_ranks", "broadcast_if_small", "dense_index", "kth_smallest", "prefix_sum", "running_sums",
-]

@@ -25,15 +25,30 @@ def space_cjk(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def lower_strip_accents(df: DataFrame, column: str = "text") -> DataFrame:
-    return df.withColumn(column, chars.lower_strip_accents(F.col(column)))
+    lowered = df.withColumn("_lower", F.lower(column))
+    return lowered.withColumn(column, chars.strip_accents(F.col("_lower"))).drop("_lower")
 
 
 def split_punct(df: DataFrame, column: str = "text", name: str = "words") -> DataFrame:
-    return df.withColumn(name, chars.split_words(F.col(column), lower=False))
+    text = F.col(column)
+    whole = chars.words_around_protected(text, lower=False)
+    return df.withColumn(name, F.when(chars.has_protected(text), whole).otherwise(chars.plain_words(text)))
 
 
 def basic_tokenize(df: DataFrame, column: str = "text", name: str = "words", lower: bool = True) -> DataFrame:
-    return df.withColumn(name, chars.basic_words(F.col(column), lower))
+    """Text to words: clean, separate ideographs, lower-case, drop accents, split.
+
+    The steps are columns of their own, so that no step is evaluated twice.
+    """
+    valid = df.withColumn("_valid", chars.drop_invalid(F.col(column)))
+    if lower:
+        ready = valid.withColumn("_lower", F.lower("_valid"))
+        ready = ready.withColumn("_plain", chars.strip_accents(F.col("_lower")))
+    else:
+        ready = valid.withColumn("_plain", F.col("_valid"))
+    marked = chars.words_around_protected(chars.space_cjk(F.col("_valid")), lower)
+    words = F.when(chars.has_protected(F.col("_valid")), marked).otherwise(chars.plain_words_cjk(F.col("_plain")))
+    return ready.withColumn(name, words).drop("_valid", "_lower", "_plain")
 
 
 def word_counts(df: DataFrame, words: str = "words") -> DataFrame:
@@ -88,28 +103,34 @@ def wordpiece(words: DataFrame, vocab: DataFrame, column: str = "word", unk: str
     )
     text = F.substring(F.col("word"), F.col("start"), F.col("len"))
     spans = spans.withColumn("token", F.when(F.col("start") > 1, F.concat(F.lit("##"), text)).otherwise(text))
-    matched = spans.join(broadcast_if_small(vocab.select("token").distinct()), "token", "left_semi")
-    best = matched.groupBy("word", "start").agg(F.max("len").alias("len"))
-    table = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("start", "len"))).alias("best"))
-
-    def follow(state: Column, i: Column) -> Column:
-        length = F.coalesce(F.try_element_at(F.col("best"), i), F.lit(0))
-        piece = F.substring(F.col("word"), i, length)
-        piece = F.when(i > 1, F.concat(F.lit("##"), piece)).otherwise(piece)
-        moved = F.struct(
-            (i + length).alias("next"), F.concat(state["pieces"], F.array(piece)).alias("pieces")
+    matched = spans.join(broadcast_if_small(vocab.select("token")), "token", "left_semi")
+    # by start, longest first: the fold takes the first entry at the position it has reached
+    entry = F.struct("start", (-F.col("len")).alias("minus_len"))
+    table = matched.groupBy("word").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+    def follow(state: Column, e: Column) -> Column:
+        taken = F.struct(
+            (e["start"] - e["minus_len"]).alias("next"), F.concat(state["taken"], F.array(e)).alias("taken")
         )
-        stuck = F.struct(F.lit(-1).alias("next"), state["pieces"].alias("pieces"))
-        return F.when(state["next"] != i, state).when(length > 0, moved).otherwise(stuck)
+        return F.when(e["start"] == state["next"], taken).otherwise(state)
 
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("pieces"))
-    chased = F.aggregate(F.sequence(F.lit(1), size), start, follow)
-    joined = distinct.join(table, "word", "left").withColumn(
-        "_end", F.when((size > 0) & F.col("best").isNotNull(), chased)
+    def piece(e: Column) -> Column:
+        part = F.substring(F.col("word"), e["start"], -e["minus_len"])
+        return F.when(e["start"] > 1, F.concat(F.lit("##"), part)).otherwise(part)
+
+    def finish(state: Column) -> Column:
+        return F.when(state["next"] == size + 1, F.transform(state["taken"], piece)).otherwise(F.array(F.lit(unk)))
+
+    start = F.struct(
+        F.lit(1).alias("next"), F.array().cast("array<struct<start:int,minus_len:int>>").alias("taken")
+    )
+    pieces = F.aggregate("entries", start, follow, finish)
+    joined = distinct.join(table, "word", "left")
+    return joined.select(
+        "word",
+        F.when(size == 0, F.array().cast("array<string>")).when(F.col("entries").isNotNull(), pieces)
+        .otherwise(F.array(F.lit(unk))).alias("pieces"),
     )
-    complete = F.col("_end.next") == size + 1
-    pieces = F.when(size == 0, F.array().cast("array<string>")).when(complete, F.col("_end.pieces"))
-    return joined.select("word", F.coalesce(pieces, F.array(F.lit(unk))).alias("pieces"))
 
 
 def lookup(rows: DataFrame, key: str, dictionary: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a table is stored in fewer pieces than there are cores.
+
+    A table with enough pieces, as any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels: y, c, split code, logits and batch number."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.operators import text as T
 from cohortlab.plans.registry import query
-from cohortlab.plans.tables import table
+from cohortlab.plans.tables import spread, table
 from cohortlab.scratch import materialize
 
 BASE_SIZE = 8000
@@ -64,13 +64,17 @@ def pieces_sql(words: str, vocab: str, name: str = "pieces") -> str:
 VOCAB = COUNTS + ", " + vocab_sql("counts", BASE_SIZE)
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def document_words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     return T.basic_tokenize(docs).select("doc_id", "words")
 
 
 def document_vocab(spark: SparkSession, sf: str, fraction: float = 1.0) -> DataFrame:
-    counts = T.word_counts(document_words(spark, sf))
+    counts = materialize(T.word_counts(document_words(spark, sf)), "counts")
     return materialize(T.corpus_vocab(counts, BASE_SIZE, fraction), "vocab")
 
 
@@ -88,27 +92,27 @@ PAIRS = """pairs AS (
 
 @query(f"SELECT doc_id, {CLEAN_SQL.format('text')} AS text FROM documents")
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return T.clean_text(table(spark, sf, "documents").select("doc_id", "text"))
+    return T.clean_text(documents(spark, sf))
 
 
 @query(f"""
 SELECT doc_id, {CJK_SQL.format("replace(replace(text, 'é', chr(20013)), 'ö', chr(131072))")} AS text FROM documents""")
 def space_cjk(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus has no ideographs, so two of its letters are mapped to some first."""
-    docs = table(spark, sf, "documents").select("doc_id", F.translate("text", "éö", "中\U00020000").alias("text"))
+    docs = documents(spark, sf).withColumn("text", F.translate("text", "éö", "中\U00020000"))
     return T.space_cjk(docs)
 
 
 @query("SELECT doc_id, strip_accents(lower(text)) AS text FROM documents")
 def lower_strip_accents(spark: SparkSession, sf: str) -> DataFrame:
-    return T.lower_strip_accents(table(spark, sf, "documents").select("doc_id", "text"))
+    return T.lower_strip_accents(documents(spark, sf))
 
 
 @query(f"""
 SELECT page_id, len(w) AS n_words, array_to_string(w, ' ') AS words
 FROM (SELECT page_id, {WORDS_SQL.format(CLEAN_SQL.format('html'))} AS w FROM pages)""")
 def split_punct(spark: SparkSession, sf: str) -> DataFrame:
-    pages = T.clean_text(table(spark, sf, "pages").select("page_id", "html"), "html")
+    pages = T.clean_text(spread(table(spark, sf, "pages").select("page_id", "html")), "html")
     out = T.split_punct(pages, "html")
     return out.select("page_id", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"))
 
@@ -136,7 +140,8 @@ def basic_tokenize_marked(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {VOCAB} SELECT token, id FROM vocab")
 def corpus_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return T.corpus_vocab(T.word_counts(document_words(spark, sf)), BASE_SIZE)
+    counts = materialize(T.word_counts(document_words(spark, sf)), "counts")
+    return T.corpus_vocab(counts, BASE_SIZE)
 
 
 @query(f"""
@@ -172,7 +177,7 @@ doc_tokens AS (
 
 @query(f"WITH RECURSIVE {DOC_TOKENS} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM doc_tokens")
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     tokens = T.tokenize(docs, ["doc_id"], document_vocab(spark, sf))
     return tokens.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
@@ -206,5 +211,3 @@ def split_pair(spark: SparkSession, sf: str) -> DataFrame:
     pairs = turn_pairs(spark, sf)
     marked = F.concat(F.lit("[CLS] "), "text", F.lit(" [SEP] "), "next_text", F.lit(" [SEP]"))
     return T.split_pair(pairs.withColumn("text", F.coalesce(marked, "text"))).select("conv_id", "turn", "text_a", "text_b")
-
-
