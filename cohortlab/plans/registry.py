@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("group_queries", "text_queries", "encoding_queries", "metric_queries")
+_MODULES = ("group_queries", "text_queries", "encoding_queries", "instance_queries", "metric_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
