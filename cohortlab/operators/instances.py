@@ -221,15 +221,15 @@ def make_pairs(segments: DataFrame, seed: int, epochs: int = 1, max_seq_len: int
     positions = materialize(segment_positions(stored), "positions")
     plan = materialize(chunk_plan(positions, seed, epochs, max_seq_len, short_prob, pairs, block), "plan")
     key = ["epoch", "doc_id", "seg_no"]
+    # a chunk's own segments are all wanted; null marks them
+    own = [F.lit(None).cast("long").alias(c) for c in ("start", "from", "want")]
     own_a = plan.select(
         *key, F.lit(0).alias("side"), F.col("doc_id").alias("src"),
-        F.explode(F.sequence("seg_no", F.col("a_end") - 1)).alias("src_seg"),
-        F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("want"),
+        F.explode(F.sequence("seg_no", F.col("a_end") - 1)).alias("src_seg"), *own,
     )
     own_b = plan.where(~F.col("random_next") & (F.col("a_end") <= F.col("seg_end"))).select(
         *key, F.lit(1).alias("side"), F.col("doc_id").alias("src"),
-        F.explode(F.sequence("a_end", "seg_end")).alias("src_seg"),
-        F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("want"),
+        F.explode(F.sequence("a_end", "seg_end")).alias("src_seg"), *own,
     )
     wanted = own_a.unionByName(own_b)
     drawn = plan.select(*key, "random_next", F.lit(None).cast("long").alias("doc_b"))
@@ -245,8 +245,7 @@ def make_pairs(segments: DataFrame, seed: int, epochs: int = 1, max_seq_len: int
         F.col("doc_id").alias("src"), F.col("seg_no").alias("src_seg"), "tokens", F.col("before").alias("at")
     )
     fetched = wanted.join(source, ["src", "src_seg"]).where(
-        (F.col("want") == 0) & (F.col("from") == 0)
-        | (F.col("src_seg") == F.col("start")) | (F.col("at") - F.col("from") < F.col("want"))
+        F.col("start").isNull() | (F.col("src_seg") == F.col("start")) | (F.col("at") - F.col("from") < F.col("want"))
     )
 
     def side(k: int) -> Column:

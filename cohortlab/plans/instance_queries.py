@@ -37,15 +37,15 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SEGS = r"""
-segs AS (
+segs AS MATERIALIZED (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seg_no,
          string_split_regex(trim(line, ' ' || chr(10)), ' +') AS tokens
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
   WHERE trim(line, ' ' || chr(10)) <> ''),
-pos AS (
+pos AS MATERIALIZED (
   SELECT doc_id, seg_no, len(tokens) AS n_tok,
          (sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY seg_no) - len(tokens))::BIGINT AS before FROM segs),
-docs AS (
+docs AS MATERIALIZED (
   SELECT doc_id, count(*) AS n_segs, (row_number() OVER (ORDER BY doc_id) - 1) AS idx,
          (sum(count(*)) OVER (ORDER BY doc_id) - count(*))::BIGINT AS cum_start FROM segs GROUP BY doc_id)"""
 
@@ -115,14 +115,14 @@ def plan_sql(pairs: bool) -> str:
     """Chunk plan: pointer of each segment, then the chain from segment 0."""
     foreign = f"(n = 1 OR {u_sql(SEED, chr(39) + 'next' + chr(39), *ROW)} < 0.5)" if pairs else "false"
     return SEGS + f""",
-tgt AS (SELECT epoch::INTEGER AS epoch, doc_id, {TARGET} AS target FROM docs, range({EPOCHS}) e(epoch)),
-ends AS (
+tgt AS MATERIALIZED (SELECT epoch::INTEGER AS epoch, doc_id, {TARGET} AS target FROM docs, range({EPOCHS}) e(epoch)),
+ends AS MATERIALIZED (
   SELECT t.epoch, s.doc_id, s.seg_no, any_value(s.before) AS before, any_value(t.target) AS target, max(j.seg_no) AS seg_end,
          max(j.seg_no) - s.seg_no + 1 AS n
   FROM pos s JOIN tgt t ON t.doc_id = s.doc_id
   JOIN pos j ON j.doc_id = s.doc_id AND (j.seg_no = s.seg_no OR (j.seg_no > s.seg_no AND j.before - s.before < t.target))
   GROUP BY t.epoch, s.doc_id, s.seg_no),
-link AS (
+link AS MATERIALIZED (
   SELECT *, seg_no + CASE WHEN n = 1 THEN 1 ELSE 1 + floor({u_sql(SEED, "'cut'", *ROW)} * (n - 1))::BIGINT END AS a_end,
          {foreign} AS random_next FROM ends),
 chain(epoch, doc_id, here) AS (
@@ -130,7 +130,7 @@ chain(epoch, doc_id, here) AS (
   UNION ALL
   SELECT l.epoch, l.doc_id, CASE WHEN random_next THEN a_end ELSE seg_end + 1 END
   FROM chain c JOIN link l ON l.epoch = c.epoch AND l.doc_id = c.doc_id AND l.seg_no = c.here),
-plan AS (SELECT l.* FROM chain c JOIN link l ON l.epoch = c.epoch AND l.doc_id = c.doc_id AND l.seg_no = c.here)"""
+plan AS MATERIALIZED (SELECT l.* FROM chain c JOIN link l ON l.epoch = c.epoch AND l.doc_id = c.doc_id AND l.seg_no = c.here)"""
 
 
 PLAN_COLUMNS = ["epoch", "doc_id", "seg_no", "a_end", "seg_end", "random_next", "before", "target"]
@@ -156,7 +156,7 @@ sized AS (
 off AS (
   SELECT s.*, (d.cum_start + d.n_segs + floor({u_sql(SEED, "'doc'", 's.epoch', 's.doc_id', 's.seg_no')} * (t - d.n_segs))::BIGINT) % t AS off
   FROM sized s JOIN docs d ON d.doc_id = s.doc_id, (SELECT sum(n_segs)::BIGINT AS t FROM docs) WHERE random_next),
-drawn AS (
+drawn AS MATERIALIZED (
   SELECT o.epoch, o.doc_id, o.seg_no, o.want, d.doc_id AS doc_b,
          floor({u_sql(SEED, "'start'", 'o.epoch', 'o.doc_id', 'o.seg_no')} * d.n_segs)::BIGINT AS start
   FROM off o JOIN docs d ON o.off >= d.cum_start AND o.off < d.cum_start + d.n_segs),
@@ -173,7 +173,7 @@ side_b AS (
   JOIN pos k ON k.doc_id = d.doc_b AND (k.seg_no = d.start OR (k.seg_no > d.start AND k.before - f.before < d.want))
   JOIN segs s ON s.doc_id = k.doc_id AND s.seg_no = k.seg_no
   GROUP BY d.epoch, d.doc_id, d.seg_no, d.doc_b),
-paired AS (
+paired AS MATERIALIZED (
   SELECT p.epoch, p.doc_id, p.seg_no, p.random_next, b.doc_b, tokens_a, coalesce(tokens_b, ['.']) AS tokens_b
   FROM plan p JOIN side_a a ON a.epoch = p.epoch AND a.doc_id = p.doc_id AND a.seg_no = p.seg_no
   LEFT JOIN side_b b ON b.epoch = p.epoch AND b.doc_id = p.doc_id AND b.seg_no = p.seg_no)"""
@@ -215,14 +215,14 @@ front_{side} AS (
 
 HIGH, LOW = (MOST + 1) // 2, MOST // 2
 LAID_OUT = PAIRED + f""",
-lens AS (
+lens AS MATERIALIZED (
   SELECT *, CASE WHEN len(tokens_a) + len(tokens_b) <= {MOST} THEN len(tokens_a) WHEN len(tokens_b) < {LOW} THEN {MOST} - len(tokens_b)
     WHEN len(tokens_a) < {HIGH} THEN len(tokens_a) ELSE {HIGH} END AS la,
     CASE WHEN len(tokens_a) + len(tokens_b) <= {MOST} THEN len(tokens_b) WHEN len(tokens_b) < {LOW} THEN len(tokens_b)
     WHEN len(tokens_a) < {HIGH} THEN {MOST} - len(tokens_a) ELSE {LOW} END AS lb FROM paired),
 {cut_sql('a', 'la')},
 {cut_sql('b', 'lb')},
-laid_out AS (
+laid_out AS MATERIALIZED (
   SELECT l.epoch, l.doc_id, l.seg_no, l.random_next,
     ['[CLS]'] || tokens_a[coalesce(x.f, 0) + 1:coalesce(x.f, 0) + la] || ['[SEP]'] || tokens_b[coalesce(y.f, 0) + 1:coalesce(y.f, 0) + lb]
       || ['[SEP]'] AS tokens,
@@ -245,15 +245,16 @@ def assemble_pair(spark: SparkSession, sf: str) -> DataFrame:
 
 def hide_sql(chosen: str, source: str) -> str:
     """Rewrite chosen positions (a table of keys and pos) and list them."""
-    size = "(SELECT count(*) FROM vocab)"
     return f"""
-hidden AS (
+randomized AS MATERIALIZED (
+  SELECT *, floor({u_sql(SEED, "'word'", *ROW, 'pos')} * (SELECT count(*) FROM vocab))::INTEGER AS vid FROM tok),
+hidden AS MATERIALIZED (
   SELECT t.epoch, t.doc_id, t.seg_no, t.pos, t.token AS label,
     CASE WHEN c.pos IS NULL THEN t.token WHEN {u_sql(SEED, "'hide'", 't.epoch', 't.doc_id', 't.seg_no', 't.pos')} < 0.8 THEN '[MASK]'
          WHEN {u_sql(SEED, "'keep'", 't.epoch', 't.doc_id', 't.seg_no', 't.pos')} < 0.5 THEN t.token
          ELSE v.token END AS token, c.pos IS NOT NULL AS chosen
-  FROM tok t LEFT JOIN {chosen} c ON c.epoch = t.epoch AND c.doc_id = t.doc_id AND c.seg_no = t.seg_no AND c.pos = t.pos
-  JOIN vocab v ON v.id = floor({u_sql(SEED, "'word'", 't.epoch', 't.doc_id', 't.seg_no', 't.pos')} * {size})::INTEGER),
+  FROM randomized t LEFT JOIN {chosen} c ON c.epoch = t.epoch AND c.doc_id = t.doc_id AND c.seg_no = t.seg_no AND c.pos = t.pos
+  JOIN vocab v ON v.id = t.vid),
 masked AS (
   SELECT epoch, doc_id, seg_no, string_agg(token, ' ' ORDER BY pos) AS tokens,
     string_agg(pos::VARCHAR, ' ' ORDER BY pos) FILTER (chosen) AS masked_lm_positions,
@@ -266,9 +267,9 @@ def number_sql(prob: float, most: int) -> str:
 
 
 MASKED = LAID_OUT + ", " + VOCAB + """,
-tok AS (SELECT epoch, doc_id, seg_no, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM laid_out),
-num AS (SELECT epoch, doc_id, seg_no, """ + number_sql(0.15, 20) + f""" AS n FROM laid_out),
-chosen AS (
+tok AS MATERIALIZED (SELECT epoch, doc_id, seg_no, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM laid_out),
+num AS MATERIALIZED (SELECT epoch, doc_id, seg_no, """ + number_sql(0.15, 20) + f""" AS n FROM laid_out),
+chosen AS MATERIALIZED (
   SELECT t.* FROM (
     SELECT epoch, doc_id, seg_no, pos, row_number() OVER (PARTITION BY epoch, doc_id, seg_no ORDER BY {u_sql(SEED, "'mask'", *ROW, 'pos')}, pos) AS r
     FROM tok WHERE token NOT IN ('[CLS]', '[SEP]')) t JOIN num USING (epoch, doc_id, seg_no) WHERE r <= n),
@@ -286,7 +287,7 @@ def mask_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 # every word longer than four letters continues as a ## piece
 PIECES = """
-laid_out AS (
+laid_out AS MATERIALIZED (
   SELECT epoch, doc_id, seg_no, flatten([CASE WHEN length(t) > 4 AND t NOT IN ('[CLS]', '[SEP]')
     THEN [substr(t, 1, 4), '##' || substr(t, 5)] ELSE [t] END FOR t IN tokens]) AS tokens FROM whole)"""
 
@@ -301,13 +302,13 @@ def in_pieces(df: DataFrame) -> DataFrame:
 
 WHOLE_WORD = (
     LAID_OUT.replace("laid_out AS", "whole AS") + ", " + PIECES + ", " + VOCAB + """,
-tok AS (SELECT epoch, doc_id, seg_no, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM laid_out),
-num AS (SELECT epoch, doc_id, seg_no, """ + number_sql(0.15, 20) + f""" AS n FROM laid_out),
-cand AS (
+tok AS MATERIALIZED (SELECT epoch, doc_id, seg_no, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM laid_out),
+num AS MATERIALIZED (SELECT epoch, doc_id, seg_no, """ + number_sql(0.15, 20) + f""" AS n FROM laid_out),
+cand AS MATERIALIZED (
   SELECT *, sum(CASE WHEN token LIKE '##%' THEN 0 ELSE 1 END) OVER (PARTITION BY epoch, doc_id, seg_no ORDER BY pos) AS w
   FROM tok WHERE token NOT IN ('[CLS]', '[SEP]')),
-wordy AS (SELECT epoch, doc_id, seg_no, w, min(pos) AS first, count(*) AS size FROM cand GROUP BY epoch, doc_id, seg_no, w),
-ord AS (
+wordy AS MATERIALIZED (SELECT epoch, doc_id, seg_no, w, min(pos) AS first, count(*) AS size FROM cand GROUP BY epoch, doc_id, seg_no, w),
+ord AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY epoch, doc_id, seg_no ORDER BY {u_sql(SEED, "'mask'", *ROW, 'first')}, first) AS r
   FROM wordy),
 fill(epoch, doc_id, seg_no, r, n, used, took) AS (
@@ -315,7 +316,7 @@ fill(epoch, doc_id, seg_no, r, n, used, took) AS (
   UNION ALL
   SELECT f.epoch, f.doc_id, f.seg_no, o.r, f.n, CASE WHEN f.used + o.size <= f.n THEN f.used + o.size ELSE f.used END, f.used + o.size <= f.n
   FROM fill f JOIN ord o ON o.epoch = f.epoch AND o.doc_id = f.doc_id AND o.seg_no = f.seg_no AND o.r = f.r + 1),
-chosen AS (
+chosen AS MATERIALIZED (
   SELECT c.epoch, c.doc_id, c.seg_no, c.pos FROM fill f
   JOIN ord o ON o.epoch = f.epoch AND o.doc_id = f.doc_id AND o.seg_no = f.seg_no AND o.r = f.r
   JOIN cand c ON c.epoch = o.epoch AND c.doc_id = o.doc_id AND c.seg_no = o.seg_no AND c.w = o.w WHERE f.took),

@@ -23,8 +23,8 @@ def basic_sql(column: str) -> str:
     return WORDS_SQL.format("strip_accents(lower(" + CJK_SQL.format(CLEAN_SQL.format(column)) + "))")
 
 
-DOC_WORDS = f"doc_words AS (SELECT doc_id, {basic_sql('text')} AS words FROM documents)"
-COUNTS = DOC_WORDS + ", counts AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM doc_words) GROUP BY word)"
+DOC_WORDS = f"doc_words AS MATERIALIZED (SELECT doc_id, {basic_sql('text')} AS words FROM documents)"
+COUNTS = DOC_WORDS + ", counts AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM doc_words) GROUP BY word)"
 
 
 def vocab_sql(counts: str, size: int | str, name: str = "vocab") -> str:
@@ -36,7 +36,7 @@ def vocab_sql(counts: str, size: int | str, name: str = "vocab") -> str:
   UNION ALL SELECT 1, c, 0 FROM {name}_letters
   UNION ALL SELECT 2, '##' || c, 0 FROM {name}_letters
   UNION ALL SELECT 3, word, n FROM {counts} WHERE length(word) BETWEEN 2 AND 100),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT token, (r - 1)::INTEGER AS id FROM (
     SELECT token, row_number() OVER (ORDER BY kind, n DESC, token) AS r FROM {name}_all) WHERE r <= {size})"""
 
@@ -45,7 +45,7 @@ def pieces_sql(words: str, vocab: str, name: str = "pieces") -> str:
     """Greedy pieces of the distinct words of a table, by recursion over the starts."""
     return f"""
 {name}_w AS (SELECT DISTINCT word FROM {words}),
-{name}_best AS (
+{name}_best AS MATERIALIZED (
   SELECT word, s AS start, max(l) AS len FROM (
     SELECT word, s, unnest(range(1, length(word) - s + 2)) AS l FROM (
       SELECT word, unnest(range(1, length(word) + 1)) AS s FROM {name}_w WHERE length(word) <= 100)) x

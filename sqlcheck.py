@@ -1,0 +1,12 @@
+"""Run the SQL side only, for timing: python sqlcheck.py query ..."""
+import sys, time, duckdb
+from check import TABLES
+from cohortlab.plans import oracle_sql
+c = duckdb.connect()
+for t in TABLES: c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+s = oracle_sql()
+for n in sys.argv[1:]:
+    a = time.time()
+    try: r = len(c.execute(s[n]).fetchall())
+    except Exception as e: r = str(e)[:600]
+    print(n, r, round(time.time() - a, 2), flush=True)
