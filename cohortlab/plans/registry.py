@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _MODULES = ("group_queries", "text_queries", "encoding_queries", "instance_queries", "metric_queries",
-            "run_queries", "vector_queries", "stream_queries")
+            "run_queries", "vector_queries", "source_queries", "stream_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -78,7 +78,7 @@ def retain_latest(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, value, value * value AS sq FROM events),
 c AS (SELECT user_id, step, avg(value) OVER w AS loss, avg(sq) OVER w AS att FROM s WINDOW w AS (PARTITION BY user_id ORDER BY step))
-SELECT user_id, step, round(loss, 6) AS loss, round(att, 6) AS att_loss FROM c WHERE (step + 1) % 10 = 0""")
+SELECT user_id, step, round(loss, 9) AS loss, round(att, 9) AS att_loss FROM c WHERE (step + 1) % 10 = 0""")
 def training_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Events of a user as steps, reported at every tenth."""
     from pyspark.sql import Window
@@ -88,7 +88,8 @@ def training_curve(spark: SparkSession, sf: str) -> DataFrame:
         F.col("value").alias("loss"), (F.col("value") * F.col("value")).alias("att_loss"),
     )
     out = R.training_curve(steps, ["user_id"], "step", ["loss", "att_loss"], 10)
-    return out.withColumns({"loss": r6("loss"), "att_loss": r6("att_loss")})
+    # nine digits: means of a multiple of ten hundredths can end in a five at the seventh
+    return out.withColumns({c: F.round(c, 9) for c in ("loss", "att_loss")})
 
 
 RUNS = f"""
