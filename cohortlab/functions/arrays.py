@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +49,8 @@ def repeat(value: Column | int, n: Column) -> Column:
 def pad(array: Column, value: int, length: int, left: bool = False) -> Column:
     filler = repeat(value, F.lit(length) - F.size(array))
     return F.concat(filler, array) if left else F.concat(array, filler)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use ``value`` several times, also inside lambdas, while it is computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)

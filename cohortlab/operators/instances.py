@@ -334,37 +334,34 @@ def mask_tokens(df: DataFrame, keys: Sequence[str], vocab: DataFrame, seed: int,
         drawn = F.transform("_usable", lambda x: F.struct(u(seed, "mask", *row, x["pos"]).alias("u"), x["pos"].alias("pos")))
         chosen = F.transform(F.slice(F.array_sort(drawn), F.lit(1), F.col("_n")), lambda x: x["pos"])
     else:
-        group_type = "array<struct<first:int,size:int>>"
-
-        def grow(groups: Column, x: Column) -> Column:
-            new = F.struct(x["pos"].alias("first"), F.lit(1).alias("size"))
-            last = F.element_at(groups, -1)
-            longer = F.struct(last["first"].alias("first"), (last["size"] + 1).alias("size"))
-            joins = (F.size(groups) > 0) & x["token"].startswith("##")
-            return F.when(
-                joins, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(longer))
-            ).otherwise(F.concat(groups, F.array(new)))
-
-        staged = staged.withColumn("_groups", F.aggregate("_usable", F.array().cast(group_type), grow))
+        def words_of(usable: Column) -> Column:
+            """Words as (first position, all positions): a word starts where no ## piece does."""
+            starts = F.filter(
+                F.transform(usable, lambda x, i: F.when((i == 0) | ~x["token"].startswith("##"), i)),
+                lambda i: i.isNotNull(),
+            )
+            ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(usable)))
+            return arrays.let(F.transform(usable, lambda x: x["pos"]), lambda pos: F.zip_with(
+                starts, ends, lambda a, b: F.struct(
+                    F.element_at(pos, a + 1).alias("first"), F.slice(pos, a + 1, b - a).alias("all")
+                )
+            ))
+
         drawn = F.array_sort(F.transform(
-            "_groups", lambda w: F.struct(u(seed, "mask", *row, w["first"]).alias("u"), w["first"].alias("first"),
-                                          w["size"].alias("size"))
+            arrays.let(F.col("_usable"), words_of),
+            lambda w: F.struct(u(seed, "mask", *row, w["first"]).alias("u"), w["first"].alias("first"), w["all"].alias("all")),
         ))
 
         def fill(state: Column, w: Column) -> Column:
-            more = F.struct(
-                (state["n"] + w["size"]).alias("n"),
-                F.concat(state["firsts"], F.array(w["first"])).alias("firsts"),
-            )
-            return F.when(state["n"] + w["size"] > F.col("_n"), state).otherwise(more)
-
-        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("firsts"))
-        staged = staged.withColumn("_firsts", F.aggregate(drawn, start, fill)["firsts"])
-        # a position belongs to the last word that begins at or before it
-        starts = F.transform("_groups", lambda w: w["first"])
-        positions = F.transform("_usable", lambda x: x["pos"])
-        owner = lambda p: F.array_max(F.filter(starts, lambda s: s <= p))
-        chosen = F.filter(positions, lambda p: F.array_contains(F.col("_firsts"), owner(p)))
+            fits_in = F.size(state["taken"]) + F.size(w["all"]) <= state["n"]
+            more = F.struct(state["n"].alias("n"), F.concat(state["taken"], w["all"]).alias("taken"))
+            return F.when(fits_in, more).otherwise(state)
+
+        start = F.struct(F.col("_n").alias("n"), F.array().cast("array<int>").alias("taken"))
+        # with nothing usable there is nothing to take
+        chosen = F.when(F.size("_usable") > 0, F.aggregate(drawn, start, fill)["taken"]).otherwise(
+            F.array().cast("array<int>")
+        )
     staged = staged.withColumn("masked_lm_positions", F.array_sort(chosen))
     labels = F.transform("masked_lm_positions", lambda p: F.element_at(tokens, p + 1))
 
@@ -375,7 +372,7 @@ def mask_tokens(df: DataFrame, keys: Sequence[str], vocab: DataFrame, seed: int,
         return F.when(F.array_contains("masked_lm_positions", i), hidden).otherwise(token)
 
     return staged.withColumn("masked_lm_labels", labels).withColumn("tokens", F.transform("tokens", hide)).drop(
-        "_n", "_usable", "_groups", "_firsts"
+        "_n", "_usable"
     )
 
 
