@@ -34,8 +34,20 @@ _BREAK = r"\t\n\r\p{Zs}\x{2028}\x{2029}"
 _WORD = f"[{_PUNCT}]|[^{_PUNCT}{_BREAK}]+"
 _WORD_OR_IDEOGRAPH = f"[{_PUNCT}{_CJK}]|[^{_PUNCT}{_CJK}{_BREAK}]+"
 _PROTECTED = r"\[(?:UNK|SEP|PAD|CLS|MASK)\]"
-# below this code point no character decomposes into several
-_SIMPLE_BELOW = 0x300
+# Latin-1 text stays Latin-1 in every step, and its classes are listed character by
+# character, because the regex engine turns such lists into a single bit set
+_LATIN = [chr(c) for c in range(0x100)]
+
+
+def _listed(chars: list[str]) -> str:
+    return "".join(f"\\x{ord(c):02X}" for c in chars)
+
+
+_LATIN_PUNCT = _listed([c for c in _LATIN if (c.isascii() and c.isprintable() and not c.isalnum() and c != " ")
+                        or unicodedata.category(c)[0] == "P"])
+_LATIN_BREAK = _listed([c for c in _LATIN if c in "\t\n\r" or unicodedata.category(c) == "Zs"])
+_LATIN_INVALID = _listed([c for c in _LATIN if unicodedata.category(c)[0] == "C" and c not in "\t\n\r"])
+_LATIN_WORD = f"[^{_LATIN_PUNCT}{_LATIN_BREAK}]+|[{_LATIN_PUNCT}]"
 
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 
@@ -98,24 +110,43 @@ def _split_hangul(text: Column) -> Column:
 def strip_accents(lowered: Column) -> Column:
     """Decompose and drop nonspacing marks.
 
-    ASCII text is returned as it is, Latin text needs one small translation, and
+    ASCII text is returned as it is, Latin-1 text needs one small translation, and
     only text with other characters pays for the full tables.
     """
     source, target, several = accent_tables()
-    simple = [(c, target[i]) for i, c in enumerate(source[: len(target)]) if ord(c) < _SIMPLE_BELOW]
-    latin = F.translate(lowered, "".join(c for c, _ in simple), "".join(p for _, p in simple))
     full = F.translate(lowered, source, target)
     for char, replacement in several:
         full = F.replace(full, F.lit(char), F.lit(replacement))
     hangul = f"[\\x{{{_HANGUL_FIRST:X}}}-\\x{{{_HANGUL_LAST:X}}}]"
     return (
         F.when(~lowered.rlike(r"[^\x{0}-\x{7F}]"), lowered)
-        .when(~lowered.rlike(f"[^\\x{{0}}-\\x{{{_SIMPLE_BELOW - 1:X}}}]"), latin)
+        .when(is_latin(lowered), strip_latin_accents(lowered))
         .when(lowered.rlike(hangul), _split_hangul(full))
         .otherwise(full)
     )
 
 
+def strip_latin_accents(lowered: Column) -> Column:
+    source, target, _ = accent_tables()
+    pairs = [(c, target[i]) for i, c in enumerate(source[: len(target)]) if ord(c) < 0x100]
+    latin = F.translate(lowered, "".join(c for c, _ in pairs), "".join(p for _, p in pairs))
+    return F.when(lowered.rlike(r"[^\x{0}-\x{7F}]"), latin).otherwise(lowered)
+
+
+def is_latin(text: Column) -> Column:
+    """Whether all characters are Latin-1."""
+    return ~text.rlike(r"[^\x{0}-\x{FF}]")
+
+
+def latin_words(text: Column) -> Column:
+    """``plain_words`` for Latin-1 text."""
+    return F.regexp_extract_all(text, F.lit(_LATIN_WORD), F.lit(0))
+
+
+def drop_invalid_latin(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{_LATIN_INVALID}]", "")
+
+
 def plain_words(text: Column) -> Column:
     """Words between separators, each punctuation character a word of its own."""
     return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))

@@ -38,22 +38,36 @@ def split_punct(df: DataFrame, column: str = "text", name: str = "words") -> Dat
 def basic_tokenize(df: DataFrame, column: str = "text", name: str = "words", lower: bool = True) -> DataFrame:
     """Text to words: clean, separate ideographs, lower-case, drop accents, split.
 
-    The steps are columns of their own, so that no step is evaluated twice.
+    The steps are columns of their own, so that no step is evaluated twice. Latin-1
+    text, recognized once per row, takes cheaper expressions with the same result.
     """
-    valid = df.withColumn("_valid", chars.drop_invalid(F.col(column)))
+    latin = F.col("_latin")
+    ready = df.withColumn("_latin", chars.is_latin(F.col(column)))
+    ready = ready.withColumn("_valid", F.when(latin, chars.drop_invalid_latin(F.col(column))).otherwise(
+        chars.drop_invalid(F.col(column))
+    ))
     if lower:
-        ready = valid.withColumn("_lower", F.lower("_valid"))
-        ready = ready.withColumn("_plain", chars.strip_accents(F.col("_lower")))
+        ready = ready.withColumn("_lower", F.lower("_valid"))
+        lowered = F.col("_lower")
+        ready = ready.withColumn("_plain", F.when(latin, chars.strip_latin_accents(lowered)).otherwise(
+            chars.strip_accents(lowered)
+        ))
     else:
-        ready = valid.withColumn("_plain", F.col("_valid"))
+        ready = ready.withColumn("_plain", F.col("_valid"))
     marked = chars.words_around_protected(chars.space_cjk(F.col("_valid")), lower)
-    words = F.when(chars.has_protected(F.col("_valid")), marked).otherwise(chars.plain_words_cjk(F.col("_plain")))
-    return ready.withColumn(name, words).drop("_valid", "_lower", "_plain")
+    plain = F.when(latin, chars.latin_words(F.col("_plain"))).otherwise(chars.plain_words_cjk(F.col("_plain")))
+    words = F.when(chars.has_protected(F.col("_valid")), marked).otherwise(plain)
+    return ready.withColumn(name, words).drop("_latin", "_valid", "_lower", "_plain")
 
 
 def word_counts(df: DataFrame, words: str = "words") -> DataFrame:
-    """Occurrences of each distinct word; partial counts are merged before the shuffle."""
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Occurrences of each distinct word; partial counts are merged before the shuffle.
+
+    The outer form of explode keeps the optimizer from adding a size filter, which
+    would be pushed below the tokenizing steps and repeat them.
+    """
+    exploded = df.select(F.explode_outer(words).alias("word")).where(F.col("word").isNotNull())
+    return exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corpus_vocab(counts: DataFrame, base_size: int, fraction: float = 1.0) -> DataFrame:
@@ -89,13 +103,14 @@ def wordpiece(words: DataFrame, vocab: DataFrame, column: str = "word", unk: str
     """Greedy longest-match pieces of each distinct word: (word, pieces).
 
     All substrings up to the longest vocabulary entry are matched with one
-    equi-join; the longest match per start is kept and the starts are chained.
-    The work is per distinct word, not per occurrence.
+    equi-join, and one aggregate per word brings the matches together, where the
+    longest match is taken from each start reached. Give it distinct words (as
+    from ``word_counts``): the work is per row, though repeated rows do no harm.
     """
     longest = vocab.agg(F.max(F.char_length(F.regexp_replace("token", "^##", "")))).first()[0] or 1
-    distinct = words.select(F.col(column).alias("word")).distinct()
     size = F.char_length("word")
-    short = distinct.where((size <= MAX_WORD_CHARS) & (size > 0))
+    all_words = words.select(F.col(column).alias("word"))
+    short = all_words.where((size <= MAX_WORD_CHARS) & (size > 0))
     starts = short.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
     spans = starts.select(
         "word", "start",
@@ -104,9 +119,14 @@ def wordpiece(words: DataFrame, vocab: DataFrame, column: str = "word", unk: str
     text = F.substring(F.col("word"), F.col("start"), F.col("len"))
     spans = spans.withColumn("token", F.when(F.col("start") > 1, F.concat(F.lit("##"), text)).otherwise(text))
     matched = spans.join(broadcast_if_small(vocab.select("token")), "token", "left_semi")
+    # every word once more without a match, so that words without any are kept
+    nothing = F.lit(None).cast("int")
+    rows = matched.select("word", "start", "len").unionByName(
+        all_words.select("word", nothing.alias("start"), nothing.alias("len"))
+    )
     # by start, longest first: the fold takes the first entry at the position it has reached
-    entry = F.struct("start", (-F.col("len")).alias("minus_len"))
-    table = matched.groupBy("word").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    entry = F.when(F.col("start").isNotNull(), F.struct("start", (-F.col("len")).alias("minus_len")))
+    table = rows.groupBy("word").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
     def follow(state: Column, e: Column) -> Column:
         taken = F.struct(
@@ -125,16 +145,11 @@ def wordpiece(words: DataFrame, vocab: DataFrame, column: str = "word", unk: str
         F.lit(1).alias("next"), F.array().cast("array<struct<start:int,minus_len:int>>").alias("taken")
     )
     pieces = F.aggregate("entries", start, follow, finish)
-    joined = distinct.join(table, "word", "left")
-    return joined.select(
-        "word",
-        F.when(size == 0, F.array().cast("array<string>")).when(F.col("entries").isNotNull(), pieces)
-        .otherwise(F.array(F.lit(unk))).alias("pieces"),
-    )
+    return table.select("word", F.when(size == 0, F.array().cast("array<string>")).otherwise(pieces).alias("pieces"))
 
 
 def lookup(rows: DataFrame, key: str, dictionary: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Join every row with its dictionary entry, whatever the sizes and the skew.
+    """Add each row's dictionary entry (null without one), whatever the sizes and the skew.
 
     A small dictionary is broadcast. Otherwise the entries of frequent keys are
     broadcast (at most ``BROADCAST_ROWS`` keys can each hold that share of all
@@ -142,17 +157,25 @@ def lookup(rows: DataFrame, key: str, dictionary: DataFrame, counts: DataFrame |
     ``counts`` gives the rows per key as (key, n); it is computed when missing.
     """
     if fits(dictionary.select(key)):
-        return rows.join(F.broadcast(dictionary), key)
+        return rows.join(F.broadcast(dictionary), key, "left")
     if counts is None:
         counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent = counts.where(F.col("n") > max(1, total // BROADCAST_ROWS)).select(key)
     hot = dictionary.join(frequent, key, "left_semi").withColumn("_hot", F.lit(True))
     tried = rows.join(F.broadcast(hot), key, "left")
-    found = tried.where(F.col("_hot")).drop("_hot")
-    rest = tried.where(F.col("_hot").isNull()).select(*rows.columns)
+    # rows without a key have nothing to look up and must not meet in one task
+    done = F.col("_hot").isNotNull() | F.col(key).isNull()
+    found = tried.where(done).drop("_hot")
+    rest = tried.where(~done).select(*rows.columns)
     cold = dictionary.join(frequent, key, "left_anti")
-    return found.unionByName(rest.join(cold.hint("shuffle_hash"), key).select(*found.columns))
+    return found.unionByName(rest.join(cold.hint("shuffle_hash"), key, "left").select(*found.columns))
+
+
+def collect_in_order(position: str, value: str) -> Column:
+    """Values of a group as one array, ordered by position; null values are left out."""
+    pairs = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(position, value)))
+    return F.transform(F.array_sort(pairs), lambda s: s[value])
 
 
 def tokenize_words(df: DataFrame, keys: Sequence[str], vocab: DataFrame, words: str = "words",
@@ -161,14 +184,12 @@ def tokenize_words(df: DataFrame, keys: Sequence[str], vocab: DataFrame, words:
 
     Pieces are found once per distinct word, then looked up for all occurrences.
     """
-    exploded = df.select(*keys, F.posexplode(words).alias("_pos", "word"))
-    counts = materialize(exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    exploded = df.select(*keys, F.posexplode_outer(words).alias("_pos", "word"))
+    seen = exploded.where(F.col("word").isNotNull())
+    counts = materialize(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     dictionary = materialize(wordpiece(counts, vocab, unk=unk), "pieces")
     found = lookup(exploded, "word", dictionary, counts)
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "pieces")))
-    tokens = found.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda s: s["pieces"])).alias("tokens"))
-    empty = df.where(F.size(words) == 0).select(*keys, F.array().cast("array<string>").alias("tokens"))
-    return tokens.unionByName(empty)
+    return found.groupBy(*keys).agg(F.flatten(collect_in_order("_pos", "pieces")).alias("tokens"))
 
 
 def tokenize(df: DataFrame, keys: Sequence[str], vocab: DataFrame, column: str = "text", lower: bool = True,
@@ -186,27 +207,25 @@ def tokens_to_ids(df: DataFrame, keys: Sequence[str], vocab: DataFrame, tokens:
                   max_len: int | None = None, unk: str = UNK) -> DataFrame:
     """Ids of each row's tokens: (keys, ids, too_long); a token outside the vocabulary is unknown."""
     unknown = vocab.where(F.col("token") == unk).select("id").scalar()
-    exploded = df.select(*keys, F.posexplode(tokens).alias("_pos", "token"))
-    found = exploded.join(broadcast_if_small(vocab.select("token", "id")), "token", "left").select(
-        *keys, "_pos", F.coalesce("id", unknown).alias("id")
+    exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
+    found = exploded.join(broadcast_if_small(vocab.select("token", "id")), "token", "left").withColumn(
+        "id", F.when(F.col("token").isNotNull(), F.coalesce("id", unknown))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "id")))
-    ids = found.groupBy(*keys).agg(F.transform(ordered, lambda s: s["id"]).alias(name))
-    empty = df.where(F.size(tokens) == 0).select(*keys, F.array().cast("array<int>").alias(name))
+    ids = found.groupBy(*keys).agg(collect_in_order("_pos", "id").alias(name))
     limit = F.lit(max_len if max_len is not None else 10**9)
-    return ids.unionByName(empty).withColumn("too_long", F.size(name) > limit)
+    return ids.withColumn("too_long", F.size(name) > limit)
 
 
 def ids_to_tokens(df: DataFrame, keys: Sequence[str], vocab: DataFrame, ids: str = "ids") -> DataFrame:
     """Tokens of each row's ids and their text: (keys, tokens, decoded); an unknown id fails the job."""
-    exploded = df.select(*keys, F.posexplode(ids).alias("_pos", "id"))
+    exploded = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "id"))
     joined = exploded.join(broadcast_if_small(vocab.select("token", "id")), "id", "left")
     missing = F.raise_error(F.concat(F.lit("no token has id "), F.col("id").cast("string"))).cast("string")
-    checked = joined.withColumn("token", F.when(F.col("token").isNotNull(), F.col("token")).otherwise(missing))
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "token")))
-    out = checked.groupBy(*keys).agg(F.transform(ordered, lambda s: s["token"]).alias("tokens"))
-    empty = df.where(F.size(ids) == 0).select(*keys, F.array().cast("array<string>").alias("tokens"))
-    return out.unionByName(empty).withColumn("decoded", F.array_join("tokens", " "))
+    checked = joined.withColumn(
+        "token", F.when(F.col("token").isNotNull() | F.col("id").isNull(), F.col("token")).otherwise(missing)
+    )
+    out = checked.groupBy(*keys).agg(collect_in_order("_pos", "token").alias("tokens"))
+    return out.withColumn("decoded", F.array_join("tokens", " "))
 
 
 def split_pair(df: DataFrame, column: str = "text") -> DataFrame:

@@ -26,9 +26,8 @@ MOST = MAX_LEN - 3
 def line_segments(df: DataFrame) -> DataFrame:
     """Non-blank lines of each text, numbered within their document."""
     lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
-    return df.select("doc_id", F.posexplode(lines).alias("seg_no", "line")).withColumn(
-        "seg_no", F.col("seg_no").cast("long")
-    )
+    numbered = df.select("doc_id", F.posexplode_outer(lines).alias("seg_no", "line")).where(F.col("line").isNotNull())
+    return numbered.withColumn("seg_no", F.col("seg_no").cast("long"))
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
