@@ -51,7 +51,8 @@ class Transducer:
         self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self.state: list[tuple[int, bytes]] = [(-1, b"")]
         self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.final: list[tuple[int, ...] | None] = [()]
+        #: for every position of the open bytes, the tokens that lead to it; the last ones end a piece
+        self.chains: list[list[tuple[int, ...] | None]] = [[()]]
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: join the neighbours with the lowest rank until none is left."""
@@ -74,42 +75,38 @@ class Transducer:
             self._follows[before, token] = known
         return known
 
-    def _chains(self, last: int, open_bytes: bytes) -> list[list[int] | None]:
-        """For every position of the open bytes, the tokens that lead to it.
+    def _extend(self, last: int, text: bytes, chains: list[tuple[int, ...] | None]) -> tuple[int, ...] | None:
+        """The tokens that lead to the end of the open bytes.
 
         None where they would begin before the open bytes; no later token starts there.
         """
-        chains: list[list[int] | None] = [[]]
-        for end in range(1, len(open_bytes) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.ranks.get(open_bytes[start:end])
-                if token is None or chains[start] is None:
-                    continue
-                if self.follows(chains[start][-1] if chains[start] else last, token):
-                    chains.append([*chains[start], token])
-                    break
-            else:
-                chains.append(None)
-        return chains
+        end = len(text)
+        for start in range(max(0, end - self.longest), end):
+            token, chain = self.ranks.get(text[start:]), chains[start]
+            if token is not None and chain is not None and self.follows(chain[-1] if chain else last, token):
+                return (*chain, token)
+        return None
 
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, text = self.state[state]
         text += bytes((byte,))
-        chains = self._chains(last, text)
+        chains = [*self.chains[state]]
+        chains.append(self._extend(last, text, chains))
         live = [chains[j] for j in range(len(text)) if text[j:] in self.prefixes] + [chains[-1]]
         agreed = 0
         while all(len(c) > agreed and c[agreed] == live[0][agreed] for c in live):
             agreed += 1
-        out = tuple(live[0][:agreed])
+        out = live[0][:agreed]
         if out:
-            text = text[sum(len(self.tokens[t]) for t in out) :]
-            last = out[-1]
+            cut = sum(len(self.tokens[t]) for t in out)
+            text, last = text[cut:], out[-1]
+            chains = [c[agreed:] if c is not None and c[:agreed] == out else None for c in chains[cut:]]
         key = (last, text)
         if key not in self.number:
             self.number[key] = len(self.state)
             self.state.append(key)
+            self.chains.append(chains)
             self.next.append({})
-            self.final.append(None)
         step = (self.number[key], out)
         self.next[state][byte] = step
         return step
@@ -123,10 +120,7 @@ class Transducer:
             state = step[0]
             if step[1]:
                 out.extend(step[1])
-        rest = self.final[state]
-        if rest is None:
-            rest = self.final[state] = tuple(self._chains(*self.state[state])[-1])
-        out.extend(rest)
+        out.extend(self.chains[state][-1])
         return out
 
 
@@ -170,12 +164,22 @@ class Codec:
         yield decoder.decode(b"".join(waiting), final=True)
 
 
+_codecs: dict[str, Codec] = {}
+
+
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digest: bool = False) -> DataFrame:
     """doc_id with ``ids`` and the decoded ``text``, or with their digests."""
     shared = documents.sparkSession.sparkContext.broadcast((ranks, pattern))
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        # tasks of one worker process share the tables they have made
+        from cohortlab.llm.bpe import _codecs  # the worker's own module, not a copy sent with this function
+
+        if name not in _codecs:
+            _codecs.clear()
+            _codecs[name] = Codec(*shared.value)
+        codec = _codecs[name]
         for batch in batches:
             # a few rows at a time, or else a batch of long texts would stand in memory three times
             for at in range(0, batch.num_rows, 256):

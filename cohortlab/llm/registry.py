@@ -10,6 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
+    import corpus_pipeline
     from cohortlab.llm import (ann, bpe, fingerprints, langid, lines, minhash, mixing, pii, quality, repeats)
 
     return {
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_nearest_neighbours": ann.op9_nearest_neighbours,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
