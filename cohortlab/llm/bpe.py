@@ -45,6 +45,7 @@ class Transducer:
         self.longest = max(map(len, ranks), default=1)
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
         self._follows: dict[tuple[int, int], bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -54,27 +55,55 @@ class Transducer:
         #: for every position of the open bytes, the tokens that lead to it; the last ones end a piece
         self.chains: list[list[tuple[int, ...] | None]] = [[()]]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The definition: join the neighbours with the lowest rank until none is left."""
+    def merge(self, piece: bytes, below: int = 1 << 60) -> list[int]:
+        """The definition: join the neighbours with the lowest rank, below the given one, until none is left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
+            if self.ranks.get(parts[best] + parts[best + 1], 1 << 60) >= below:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a single byte."""
+        if token not in self._halves:
+            data = self.tokens[token]
+            below = self.merge(data, token)
+            self._halves[token] = (below[0], below[1]) if len(below) == 2 else None
+        return self._halves[token]
+
     def follows(self, before: int, token: int) -> bool:
-        """Whether merging the bytes of both tokens gives the two tokens again."""
+        """Whether merging the bytes of both tokens gives the two tokens again.
+
+        Merges inside each token happen in the order of their ranks, so the
+        tokens that touch at the border are taken apart, later merge first; a
+        merge across the border must come before both of them to prevent them.
+        """
         known = self._follows.get((before, token))
         if known is None:
             if len(self._follows) > 4 * MAX_CACHED:
                 self._follows.clear()
-            first = self.tokens[before] if before >= 0 else b""
-            known = self.merge(first + self.tokens[token]) == ([before, token] if before >= 0 else [token])
-            self._follows[before, token] = known
+            known = self._follows[before, token] = self._touch(before, token)
         return known
 
+    def _touch(self, left: int, right: int) -> bool:
+        if left < 0:
+            return self.merge(self.tokens[right]) == [right]
+        made_left = made_right = 1 << 60  # the rank at which the part at the border goes into a larger one
+        while True:
+            across = self.ranks.get(self.tokens[left] + self.tokens[right])
+            # the left part's own merge comes first on equal ranks, the right part's does not
+            if across is not None and across < made_left and across <= made_right:
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                made_left, left = left, a[1]
+            else:
+                made_right, right = right, b[0]
+
     def _extend(self, last: int, text: bytes, chains: list[tuple[int, ...] | None]) -> tuple[int, ...] | None:
         """The tokens that lead to the end of the open bytes.
 
@@ -92,11 +121,15 @@ class Transducer:
         text += bytes((byte,))
         chains = [*self.chains[state]]
         chains.append(self._extend(last, text, chains))
-        live = [chains[j] for j in range(len(text)) if text[j:] in self.prefixes] + [chains[-1]]
-        agreed = 0
-        while all(len(c) > agreed and c[agreed] == live[0][agreed] for c in live):
-            agreed += 1
-        out = live[0][:agreed]
+        out: tuple[int, ...] = ()
+        # while a token may still begin at the first open byte, nothing is certain
+        if text not in self.prefixes:
+            live = [chains[j] for j in range(1, len(text)) if text[j:] in self.prefixes]
+            live.append(chains[-1])
+            agreed = 0
+            while all(len(c) > agreed and c[agreed] == live[0][agreed] for c in live):
+                agreed += 1
+            out = live[0][:agreed]
         if out:
             cut = sum(len(self.tokens[t]) for t in out)
             text, last = text[cut:], out[-1]
