@@ -145,8 +145,8 @@ def fit_dual(
 ) -> tuple[np.ndarray, float]:
     """Hinge loss with a squared norm, by dual coordinate descent; rows have length 1, plus a constant feature."""
     weight, bias, alpha = np.zeros(_SIZE), 0.0, np.zeros(len(examples))
-    values = [scale[x] for x in examples]
-    values = [v / max(np.sqrt(v @ v), 1e-12) for v in values]
+    # the scaled values are looked up again in every pass, or else they would take more memory than the sets
+    lengths = [max(np.sqrt(scale[x] @ scale[x]), 1e-12) for x in examples]
     share = np.clip(np.array([(label < 0).mean(), (label > 0).mean()]), 1e-9, None)
     upper = {-1.0: cost * 0.5 / share[0], 1.0: cost * 0.5 / share[1]}  # the rarer class weighs more
     order = np.arange(len(examples))
@@ -155,9 +155,10 @@ def fit_dual(
         rng.shuffle(order)
         moved = 0.0
         for i in order:
-            x, v, y = examples[i], values[i], label[i]
+            x, y = examples[i], label[i]
             if not len(x):
                 continue
+            v = scale[x] / lengths[i]
             slope = y * (weight[x] @ v + bias) - 1.0
             new = min(max(alpha[i] - slope / 2.0, 0.0), upper[y])
             step = (new - alpha[i]) * y
@@ -250,10 +251,11 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows:
         .limit(rows)
     )
     texts = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("order", "y", "text")
-    found = texts.mapInArrow(_indicator_rows, "order long, y int, x array<int>").toPandas()
-    found = found.sort_values("order", kind="stable")
-    examples = [np.asarray(x, np.int64) for x in found["x"]]
-    return fit(examples, np.where(found["y"].to_numpy() > 0, 1.0, -1.0))
+    found = texts.mapInArrow(_indicator_rows, "order long, y int, x array<int>").toArrow()
+    order = np.argsort(found["order"].to_numpy(), kind="stable")
+    label = np.where(found["y"].to_numpy() > 0, 1.0, -1.0)
+    sets = [np.asarray(x.values) for x in found["x"]]  # views of the received table
+    return fit([sets[i] for i in order], label[order])
 
 
 class Scorer:
