@@ -2,8 +2,9 @@
 
 Documents fall into cells by source, language and topic. The token counts of the
 cells are raked, one margin after the other, to the target margins; the factor
-of a cell, divided by the largest factor, is the probability that a document of
-the cell is sampled. So the expected tokens of the sample have the target shares.
+of a cell, scaled so that the expected sample holds PART of all tokens, is the
+probability that a document of the cell is sampled. Cells that would need more
+than their documents are taken whole; the others keep the raked proportions.
 
 The default targets flatten each margin: a share s becomes s**FLATTEN, scaled to 1.
 The topic is the layout of the text: ``symbols`` if at least a twentieth of the
@@ -29,6 +30,9 @@ from cohortlab.scratch import materialize
 MARGINS = ("src", "lng", "topic")
 FLATTEN = 0.7
 ROUNDS = 8
+#: Share of all tokens that is drawn, and steps to find the scale for it.
+PART = 0.5
+STEPS = 12
 
 
 def topic_of(text: Column) -> Column:
@@ -78,16 +82,31 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     return now
 
 
+def calibrated_scale(factors: DataFrame, part: float = PART, steps: int = STEPS) -> float:
+    """The number c for which min(1, c * factor) draws ``part`` of all tokens, as expected.
+
+    Each step gives the cells that are drawn whole their tokens and scales the others to the rest.
+    """
+    scale = 0.0
+    for _ in range(steps):
+        full = F.col("factor") * scale >= 1.0
+        rest, mass = factors.agg(
+            F.sum("tokens") * part - F.sum(F.when(full, F.col("tokens")).otherwise(0)),
+            F.sum(F.when(~full, F.col("tokens") * F.col("factor"))),
+        ).first()
+        scale = rest / mass if mass else 1.0
+    return scale
+
+
 def sampled(documents: DataFrame) -> DataFrame:
     """Every document with its cell, sampling probability and whether it is drawn."""
     rows = described(documents)
     cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     factors = rake(cells)
-    largest = factors.where("tokens > 0").agg(F.max("factor").alias("largest"))
+    scale = calibrated_scale(factors)
     chances = materialize(
-        factors.join(F.broadcast(largest)).select(
-            *MARGINS, F.round(F.coalesce(F.least(F.col("factor") / F.col("largest"), F.lit(1.0)), F.lit(1.0)), 9).alias("prob")),
-        "chances")
+        factors.select(*MARGINS, F.round(F.least(F.col("factor") * scale, F.lit(1.0)), 9).alias("prob")), "chances")
+
     return rows.join(broadcast_if_small(chances, 100_000), list(MARGINS)).select(
         "doc_id", F.col("src").alias("source_name"), F.col("lng").alias("language"), "topic", "n_tokens", "prob",
         (u(4, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("prob")).alias("drawn"),
@@ -118,6 +137,9 @@ def _oracle() -> str:
     targets = ",\n".join(
         f"""t_{m} AS MATERIALIZED (SELECT {m}, pow(t, {FLATTEN}) / sum(pow(t, {FLATTEN})) OVER () AS share
   FROM (SELECT {m}, sum(tokens)::DOUBLE AS t FROM cells GROUP BY {m}))""" for m in MARGINS)
+    scales = ",\n".join(
+        f"""s{i + 1} AS MATERIALIZED (SELECT coalesce((sum(tokens) * {PART} - coalesce(sum(tokens) FILTER (factor * c >= 1.0), 0))
+  / nullif(sum(tokens * factor) FILTER (factor * c < 1.0), 0), 1.0)::DOUBLE AS c FROM {name}, s{i})""" for i in range(STEPS))
     return f"""
 WITH x AS (
   SELECT doc_id, coalesce(source, '') AS src, coalesce(lang, '') AS lng, coalesce(text, '') AS text FROM documents
@@ -137,9 +159,9 @@ WITH x AS (
 ), {targets},
 f0 AS (SELECT *, 1.0::DOUBLE AS factor FROM cells),
 {", ".join(steps)},
+s0 AS (SELECT 0.0::DOUBLE AS c), {scales},
 chances AS (
-  SELECT src, lng, topic, round(coalesce(least(factor / (SELECT max(factor) FROM {name} WHERE tokens > 0), 1.0), 1.0), 9) AS prob
-  FROM {name})
+  SELECT src, lng, topic, round(least(factor * (SELECT c FROM s{STEPS}), 1.0), 9) AS prob FROM {name})
 SELECT d.doc_id, d.src AS source_name, d.lng AS language, d.topic, d.n_tokens, c.prob,
        {u_sql(4, "coalesce(d.doc_id::VARCHAR, '')")} < c.prob AS drawn
 FROM docs d JOIN chances c ON d.src = c.src AND d.lng = c.lng AND d.topic = c.topic
