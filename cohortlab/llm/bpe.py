@@ -1,12 +1,14 @@
 """Byte-level BPE as a finite-state transducer that is determinised while it reads.
 
-A state is the last token that was emitted and the bytes that are still open.
-Reading a byte adds one position; the token that ends there is the only one
-that can follow the tokens before it. A token is emitted as soon as every
-position from which a later token may still begin agrees on it, so the
-look-ahead is bounded by the longest token. States and transitions are made
-when they are first met and are then plain table look-ups; tables and the
-cache of whole pieces are emptied when full, which changes no result.
+A state is the last token. The bytes ahead, never more than the longest token
+has, lead down a tree of all tokens; where they leave it, the transition emits
+the longest token on the way that can stand after the last one, which is so if
+merging the bytes of both gives both again. A text has only one row of tokens in which
+every two neighbours can stand together, and these are the tokens that merging
+gives; where a row cannot go on, the last token is taken back for a
+shorter one. Transitions are made when they are first met and are then table look-ups;
+tables and the cache of whole pieces are emptied when full, which changes no
+result.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows and
 ids are encoded one by one; an empty table gives no rows. Special tokens are
@@ -18,6 +20,8 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import itertools
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,8 +30,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of the piece cache and of the state table of one task.
+#: Entries of the piece cache of one worker; the table of transitions holds four times as many.
 MAX_CACHED = 200_000
+#: Characters from which the pieces of a text are not listed before they are encoded.
+LONG = 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,18 +48,23 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
-        self._follows: dict[tuple[int, int], bool] = {}
+        # a tree of all tokens: node << 8 | byte leads to a node
+        self._child: dict[int, int] = {}
+        self._token, self._above = [-1], [0]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                below = self._child.get(node << 8 | byte)
+                if below is None:
+                    below = self._child[node << 8 | byte] = len(self._token)
+                    self._token.append(-1)
+                    self._above.append(node)
+                node = below
+            self._token[node] = rank
+        self._follows: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.state: list[tuple[int, bytes]] = [(-1, b"")]
-        self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        #: for every position of the open bytes, the tokens that lead to it; the last ones end a piece
-        self.chains: list[list[tuple[int, ...] | None]] = [[()]]
+        #: the transitions met so far: state << 32 | node gives a token, its length and the node above its own
+        self._steps: dict[int, tuple[int, int, int]] = {}
 
     def merge(self, piece: bytes, below: int = 1 << 60) -> list[int]:
         """The definition: join the neighbours with the lowest rank, below the given one, until none is left."""
@@ -80,11 +91,11 @@ class Transducer:
         tokens that touch at the border are taken apart, later merge first; a
         merge across the border must come before both of them to prevent them.
         """
-        known = self._follows.get((before, token))
+        known = self._follows.get(before << 32 | token)
         if known is None:
             if len(self._follows) > 4 * MAX_CACHED:
                 self._follows.clear()
-            known = self._follows[before, token] = self._touch(before, token)
+            known = self._follows[before << 32 | token] = self._touch(before, token)
         return known
 
     def _touch(self, left: int, right: int) -> bool:
@@ -104,56 +115,41 @@ class Transducer:
             else:
                 made_right, right = right, b[0]
 
-    def _extend(self, last: int, text: bytes, chains: list[tuple[int, ...] | None]) -> tuple[int, ...] | None:
-        """The tokens that lead to the end of the open bytes.
-
-        None where they would begin before the open bytes; no later token starts there.
-        """
-        end = len(text)
-        for start in range(max(0, end - self.longest), end):
-            token, chain = self.ranks.get(text[start:]), chains[start]
-            if token is not None and chain is not None and self.follows(chain[-1] if chain else last, token):
-                return (*chain, token)
-        return None
-
-    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, text = self.state[state]
-        text += bytes((byte,))
-        chains = [*self.chains[state]]
-        chains.append(self._extend(last, text, chains))
-        out: tuple[int, ...] = ()
-        # while a token may still begin at the first open byte, nothing is certain
-        if text not in self.prefixes:
-            live = [chains[j] for j in range(1, len(text)) if text[j:] in self.prefixes]
-            live.append(chains[-1])
-            agreed = 0
-            while all(len(c) > agreed and c[agreed] == live[0][agreed] for c in live):
-                agreed += 1
-            out = live[0][:agreed]
-        if out:
-            cut = sum(len(self.tokens[t]) for t in out)
-            text, last = text[cut:], out[-1]
-            chains = [c[agreed:] if c is not None and c[:agreed] == out else None for c in chains[cut:]]
-        key = (last, text)
-        if key not in self.number:
-            self.number[key] = len(self.state)
-            self.state.append(key)
-            self.chains.append(chains)
-            self.next.append({})
-        step = (self.number[key], out)
-        self.next[state][byte] = step
+    def _make(self, last: int, node: int) -> tuple[int, int, int]:
+        """The longest token on the way to ``node`` that can follow ``last``; length 0 if there is none."""
+        key, step = last << 32 | node, (-1, 0, 0)
+        while node:
+            token = self._token[node]
+            if token >= 0 and self.follows(last, token):
+                step = (token, len(self.tokens[token]), self._above[node])
+                break
+            node = self._above[node]
+        if len(self._steps) > 4 * MAX_CACHED:
+            self._steps.clear()
+        self._steps[key] = step
         return step
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.state) > MAX_CACHED:
-            self._reset()
-        state, out = 0, []
-        for byte in piece:
-            step = self.next[state].get(byte) or self._make(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        out.extend(self.chains[state][-1])
+        child, known, make = self._child.get, self._steps.get, self._make
+        size, at, last = len(piece), 0, -1
+        out: list[int] = []
+        back: list[tuple[int, int, int]] = []  # for each token: where it starts, the state before it, the node for a shorter one
+        while at < size:
+            node = 0
+            for ahead in range(at, size):
+                below = child(node << 8 | piece[ahead])
+                if below is None:
+                    break
+                node = below
+            token, length, above = known(last << 32 | node) or make(last, node)
+            while not length:  # a dead end: a shorter token before it
+                out.pop()
+                at, last, node = back.pop()
+                token, length, above = known(last << 32 | node) or make(last, node)
+            out.append(token)
+            back.append((at, last, above))
+            at += length
+            last = token
         return out
 
 
@@ -163,12 +159,13 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
         self.pieces = regex.compile(pattern)
-        self._cache: dict[str, np.ndarray] = {}
+        self._cache: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> np.ndarray:
+    def _piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.machine.ranks.get(data)
-        ids = np.array([whole] if whole is not None else self.machine.encode(data), "<u4")
+        ids = [whole] if whole is not None else self.machine.encode(data)
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self._cache) >= MAX_CACHED:
                 self._cache.clear()
@@ -177,24 +174,18 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self._cache.get
-        found = []
-        for match in self.pieces.finditer(text):
-            piece = match.group()
-            ids = known(piece)
-            found.append(self._piece(piece) if ids is None else ids)
-        return np.concatenate(found) if found else np.zeros(0, "<u4")
+        known, make = self._cache.get, self._piece
+        # a very long text is cut one piece at a time, others at once
+        pieces = self.pieces.findall(text) if len(text) < LONG else (m.group() for m in self.pieces.finditer(text))
+        return np.frombuffer(b"".join([known(piece) or make(piece) for piece in pieces]), "<u4")
 
     def decode_stream(self, ids: Iterable[int], every: int = 4096) -> Iterator[str]:
         """Text as soon as its characters are whole; bytes that are no UTF-8 become U+FFFD."""
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        tokens, waiting = self.machine.tokens, []
-        for i in ids:
-            waiting.append(tokens[i])
-            if len(waiting) >= every:
-                yield decoder.decode(b"".join(waiting))
-                waiting = []
-        yield decoder.decode(b"".join(waiting), final=True)
+        tokens, ids = self.machine.tokens, iter(ids)
+        while part := [tokens[i] for i in itertools.islice(ids, every)]:
+            yield decoder.decode(b"".join(part))
+        yield decoder.decode(b"", final=True)
 
 
 _codecs: dict[str, Codec] = {}
