@@ -140,15 +140,22 @@ def segment_features(text: str, start: int, end: int, hide: bool = False) -> lis
 
 
 def candidates(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first, last) pieces of segments that could be an entity: no line break, some digits or an @, no blank at an edge."""
+    """(first, last) pieces of segments that could be an entity: no line break, some digits or an @, no blank at an edge.
+
+    Neither edge may lie inside a word or number, or else parts of keys and hashes would be taken for numbers.
+    """
     out = []
     for i in range(len(pieces)):
-        if text[pieces[i][0]].isspace():
+        a = pieces[i][0]
+        if text[a].isspace() or (a and text[a - 1].isalnum() and text[a].isalnum()):
             continue
         for j in range(i, min(i + MAX_PIECES, len(pieces))):
             if j > i and pieces[j][0] != pieces[j - 1][1]:
                 break
-            s = text[pieces[i][0] : pieces[j][1]]
+            b = pieces[j][1]
+            s = text[a:b]
+            if s[-1].isalnum() and text[b : b + 1].isalnum():
+                continue
             if not s[-1].isspace() and ("@" in s[1:-1] or sum(map(str.isdigit, s)) >= 7 or s.count(".") == 3) and len(s) > 6:
                 out.append((i, j))
     return out
