@@ -49,15 +49,15 @@ def group_metrics(df: DataFrame, space: GroupSpace, g: str = "g", by: Sequence[s
     """Count, mean loss and mean accuracy of every group; an empty group gets zeros.
 
     One aggregate: a zero-weight row per group rides along, so empty groups need
-    no join. With ``by`` the groups seen in each slice are reported.
+    no join. With ``by`` every slice that has a row reports all groups.
     """
     rows = df.select(*by, F.col(g).cast("int").alias("g"), "loss", "correct", F.lit(1).cast("long").alias("n"))
-    if not by:
-        empty = df.sparkSession.range(space.n_groups).select(
-            F.col("id").cast("int").alias("g"), F.lit(0.0).alias("loss"), F.lit(0).alias("correct"),
-            F.lit(0).cast("long").alias("n"),
-        )
-        rows = rows.unionByName(empty)
+    slices = df.select(*by).distinct() if by else df.sparkSession.range(1)
+    empty = slices.select(
+        *by, F.explode(F.sequence(F.lit(0), F.lit(space.n_groups - 1))).alias("g"), F.lit(0.0).alias("loss"),
+        F.lit(0).alias("correct"), F.lit(0).cast("long").alias("n"),
+    )
+    rows = rows.unionByName(empty)
     sums = rows.groupBy(*by, "g").agg(
         F.sum("n").alias("n"), F.sum("loss").alias("_loss"), F.sum("correct").alias("_correct")
     )

@@ -8,6 +8,7 @@ blocks, and a small table of block totals that carries the offsets.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def running_sums(
 ) -> DataFrame:
     """Add running totals per key, in the order of an integer column.
 
-    ``order`` is unique within a key. Each (key, block of ``order``) is its own
+    ``order`` is unique within a key; rows whose keys are null form a key of their
+    own. Each (key, block of ``order``) is its own
     window partition, so a key with most of the rows is still spread out; the
     block totals (one row per ``block`` positions) carry the offsets.
     """
@@ -81,12 +83,13 @@ def running_sums(
     totals = blocked.groupBy(*block_keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *block_keys, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        *[F.col(k).alias(f"_k_{k}") for k in block_keys], *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
     inside = Window.partitionBy(*block_keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     for name in sums:
         blocked = blocked.withColumn(f"_i_{name}", F.sum(f"_v_{name}").over(inside))
-    joined = blocked.join(offsets, block_keys)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in block_keys]
+    joined = blocked.join(offsets, reduce(Column.__and__, same)).drop(*[f"_k_{k}" for k in block_keys])
     for name in sums:
         joined = joined.withColumn(name, F.col(f"_i_{name}") + F.col(f"_o_{name}"))
     drop = [f"_{kind}_{n}" for n in sums for kind in "vio"]

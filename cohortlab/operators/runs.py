@@ -78,13 +78,18 @@ def early_stop(df: DataFrame, runs: Sequence[str], metric: str, patience: int =
     )
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Sort key in which runs of digits compare as numbers and letters ignore case."""
+def natural_key(name: Column) -> Column:
+    """Sort key in which runs of digits compare as numbers and letters ignore case.
+
+    A number is preceded by how many digits it has, so numbers may have any length.
+    """
     parts = F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
 
     def padded(part: Column) -> Column:
         number = F.regexp_replace(part, "^0+(?=[0-9])", "")
-        return F.when(part.rlike("^[0-9]"), F.lpad(number, F.greatest(F.lit(width), F.char_length(number)), F.lit("0")))
+        # no string has more characters than ten digits can count
+        size = F.lpad(F.char_length(number).cast("string"), 10, "0")
+        return F.when(part.rlike("^[0-9]"), F.concat(size, number))
 
     return F.array_join(F.transform(parts, lambda p: F.coalesce(padded(p), p)), "")
 

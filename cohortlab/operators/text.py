@@ -205,11 +205,11 @@ def tokenize(df: DataFrame, keys: Sequence[str], vocab: DataFrame, column: str =
 
 def tokens_to_ids(df: DataFrame, keys: Sequence[str], vocab: DataFrame, tokens: str = "tokens", name: str = "ids",
                   max_len: int | None = None, unk: str = UNK) -> DataFrame:
-    """Ids of each row's tokens: (keys, ids, too_long); a token outside the vocabulary is unknown."""
+    """Ids of each row's tokens: (keys, ids, too_long); a token that is null or outside the vocabulary is unknown."""
     unknown = vocab.where(F.col("token") == unk).select("id").scalar()
     exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
     found = exploded.join(broadcast_if_small(vocab.select("token", "id")), "token", "left").withColumn(
-        "id", F.when(F.col("token").isNotNull(), F.coalesce("id", unknown))
+        "id", F.when(F.col("_pos").isNotNull(), F.coalesce("id", unknown))
     )
     ids = found.groupBy(*keys).agg(collect_in_order("_pos", "id").alias(name))
     limit = F.lit(max_len if max_len is not None else 10**9)

@@ -96,6 +96,19 @@ def robustness_summary_by_split(spark: SparkSession, sf: str) -> DataFrame:
     return _r6(out, "average_acc", "worst_acc", "average_loss")
 
 
+@query(f"""
+WITH {SCORED}, k AS (
+  SELECT batch, g, count(*) AS n, avg(loss) AS avg_loss, avg(correct) AS avg_acc FROM scored GROUP BY batch, g)
+SELECT batch, sum(n)::BIGINT AS n, round(sum(n * avg_acc) / sum(n), 6) AS average_acc,
+       round(CASE WHEN count(*) < 4 THEN 0.0 ELSE min(avg_acc) END, 6) AS worst_acc,
+       round(sum(n * avg_loss) / sum(n), 6) AS average_loss
+FROM k GROUP BY batch""")
+def robustness_summary_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches stand for runs; a run without any row of a group has a worst accuracy of 0."""
+    per_group = M.group_metrics(scored(spark, sf), SPACE, by=["batch"])
+    return _r6(M.robustness_summary(per_group, by=["batch"]), "average_acc", "worst_acc", "average_loss")
+
+
 RUNNING = SCORED + """,
 b AS (SELECT g, batch, count(*) AS n, sum(loss) AS loss_sum, sum(correct) AS correct_sum FROM scored GROUP BY g, batch)"""
 

@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.rand import u
 from cohortlab.operators import groups as G
+from cohortlab.operators import metrics as M
 from cohortlab.operators import ordering as O
+from cohortlab.operators import runs as R
+from cohortlab.operators import text as T
 
 
 def test_dense_index_and_prefix_sums(spark):
@@ -58,3 +61,32 @@ def test_group_rules(spark):
     import pytest
     with pytest.raises(ValueError):
         G.take_split(df, "dev")
+
+
+def test_null_keys_keep_their_rows(spark):
+    rows = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), (None, 0, 5), (None, 1, 7)], "k string, o long, v long")
+    got = {(r.k, r.o): r.s for r in O.running_sums(rows, ["k"], "o", {"s": F.col("v")}, block=1).collect()}
+    assert got == {("a", 0): 1, ("a", 1): 3, (None, 0): 5, (None, 1): 12}
+
+
+def test_natural_keys_of_any_length(spark):
+    names = ["run-" + "1" * 30, "run-" + "2" * 29, "run-0009", "run-10", "run-9x"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in rows.orderBy(R.natural_key(F.col("n")), "n").collect()]
+    assert got == ["run-0009", "run-9x", "run-10", "run-" + "2" * 29, "run-" + "1" * 30]
+
+
+def test_null_tokens_keep_their_place(spark):
+    vocab = spark.createDataFrame([("[UNK]", 0), ("a", 1)], "token string, id long")
+    rows = spark.createDataFrame([(1, ["a", None, "a", "b"]), (2, []), (3, None)], "k long, tokens array<string>")
+    got = {r.k: r.ids for r in T.tokens_to_ids(rows, ["k"], vocab).collect()}
+    assert got == {1: [1, 0, 1, 0], 2: [], 3: []}
+
+
+def test_a_slice_without_a_group_has_worst_accuracy_zero(spark):
+    space = G.GroupSpace(2, 2)
+    rows = spark.createDataFrame([("x", g, 0.5, 1) for g in range(4)] + [("y", g, 0.5, 1) for g in (0, 2, 3)],
+                                 "run string, g int, loss double, correct int")
+    groups = M.group_metrics(rows, space, by=["run"])
+    assert groups.count() == 8
+    assert {r.run: r.worst_acc for r in M.robustness_summary(groups, by=["run"]).collect()} == {"x": 1.0, "y": 0.0}
