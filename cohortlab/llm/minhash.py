@@ -10,9 +10,10 @@ that share a band are compared exactly by their shingle sets (Jaccard).
 
 Texts with the same words are one class before anything is hashed. Inside a
 bucket every text is compared with the smallest and the largest id only, and
-those that match neither go on, among themselves, to the next round; so the
-pairs grow with the rows and not with their squares. Classes are the connected
-components of the links.
+those that match neither go on, among themselves, to the next round. After the
+rounds, texts of a bucket that are still in different components are all compared
+with each other; so every pair of a bucket is tested or joined already, and no
+link between classes is lost. Classes are the connected components of the links.
 
 Defined cases: null texts and texts without a word are in a class of their own;
 a text of one to four words is one shingle; rows that repeat an id and text
@@ -151,9 +152,23 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     ).select("doc", "lead")
 
 
+def _untested(bands: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (lead, doc) that share a bucket and are in different components of the links found so far."""
+    roots = components(found).withColumnRenamed("node", "doc")
+    members = materialize(bands.join(roots.hint("merge"), "doc", "left").select(
+        "bucket", "doc", F.coalesce("root", "doc").alias("root")), "rooted")
+    # pairs of components first: the members of one component never meet
+    parts = members.select("bucket", "root").distinct()
+    others = parts.withColumnRenamed("root", "other")
+    meet = parts.join(others.hint("merge"), "bucket").where("root < other")
+    pairs = meet.join(members.hint("merge"), ["bucket", "root"]).join(
+        members.select("bucket", F.col("root").alias("other"), F.col("doc").alias("mate")).hint("merge"), ["bucket", "other"])
+    return materialize(pairs.select(F.least("doc", "mate").alias("lead"), F.greatest("doc", "mate").alias("doc")).distinct(), "untested")
+
+
 def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Similar pairs (doc, lead) among distinct texts that join all of a bucket that belong together."""
-    buckets = materialize(texts.mapInArrow(_band_rows, "bucket long, doc long"), "bands")
+    bands = buckets = materialize(texts.mapInArrow(_band_rows, "bucket long, doc long"), "bands")
     found = None
     while True:
         ends = buckets.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
@@ -171,7 +186,10 @@ def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         buckets = materialize(
             members.where("doc <> low AND doc <> high").select("bucket", "doc")
             .join(settled.hint("merge"), ["bucket", "doc"], "left_anti"), "unsettled")
-    return found if found is not None else texts.select("doc", F.col("doc").alias("lead")).where("false")
+    if found is None:
+        return texts.select("doc", F.col("doc").alias("lead")).where("false")
+    pairs = _untested(bands, found)
+    return found if pairs.isEmpty() else found.unionByName(materialize(_linked(pairs, texts, similarity), "links"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -135,6 +135,23 @@ def test_near_duplicates(spark, documents):
     assert {d: got[d] for d in texts} == {d: find(d) for d in texts}
 
 
+def test_edit_chain_in_one_bucket(spark, monkeypatch):
+    def one_bucket(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            doc = batch.column("doc")
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(doc), pa.int64()), doc], ["bucket", "doc"])
+
+    monkeypatch.setattr(minhash, "_band_rows", one_bucket)
+    words = [f"w{i}" for i in range(160)]
+    # 1 ~ 2 ~ 3 only; 9 is the other end of the bucket
+    rows = [(k, " ".join(words[8 * (k - 1) : 8 * (k - 1) + 104])) for k in (1, 2, 3)]
+    rows.append((9, " ".join(f"z{i}" for i in range(104))))
+    found = minhash.links(spark.createDataFrame(rows, "doc long, text string"))
+    assert {(r.lead, r.doc) for r in found.collect()} == {(1, 2), (2, 3)}
+
+
 def test_odd_near_duplicates(odd, empty):
     kept = minhash.keep_one(odd)
     assert kept.columns == odd.columns
