@@ -5,8 +5,9 @@ weighted by how often they occur. Every shingle starts a Poisson process whose
 rate is its weight; an arrival falls into a random register, which keeps the
 earliest one. A process ends when its time has passed the latest register, so
 most shingles take one or two steps. The share of equal registers of two texts
-estimates their probability Jaccard similarity. Registers are banded; texts
-that share a band are compared exactly by their shingle sets (Jaccard).
+estimates their probability Jaccard similarity. As links are judged by sets, a
+second row of registers takes every weight as 1. Both are banded; texts that
+share a band are compared exactly by their shingle sets (Jaccard).
 
 Texts with the same words are one class before anything is hashed. Inside a
 bucket every text is compared with the smallest and the largest id only, and
@@ -76,9 +77,11 @@ def _weighted(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[at], row[at], weight.astype(np.float64)
 
 
-def signatures(hashes: np.ndarray, row: np.ndarray, rows: int, registers: int = _M) -> np.ndarray:
-    """The ProbMinHash registers of each row; rows without shingles have zeros."""
+def signatures(hashes: np.ndarray, row: np.ndarray, rows: int, registers: int = _M, unit: bool = False) -> np.ndarray:
+    """The ProbMinHash registers of each row (``unit``: every weight is 1); rows without shingles have zeros."""
     element, row, weight = _weighted(hashes, row)
+    if unit:
+        weight = np.ones(len(weight))
     earliest = np.full(rows * registers, np.inf)
     names = np.zeros(rows * registers, np.uint64)
     time = np.zeros(len(element))
@@ -98,6 +101,22 @@ def signatures(hashes: np.ndarray, row: np.ndarray, rows: int, registers: int =
     return names.reshape(rows, registers)
 
 
+def band_values(names: np.ndarray) -> np.ndarray:
+    """The bands of each row of registers."""
+    value = np.zeros((len(names), BANDS), np.uint64)
+    for i in range(WIDTH):
+        value = value * _ODD + names[:, i * BANDS : (i + 1) * BANDS]
+    return buffers.mix(value + np.arange(BANDS, dtype=np.uint64))
+
+
+def bands_of(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bands from unit weights of all rows, and from counts where they differ: values and their rows."""
+    plain = band_values(signatures(hashes, row, rows, unit=True))
+    counted = band_values(signatures(hashes, row, rows))
+    more, band = np.nonzero(counted != plain)
+    return np.concatenate((plain.ravel(), counted[more, band])), np.concatenate((np.repeat(np.arange(rows), BANDS), more))
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc = batch.column("doc").to_numpy()
@@ -105,13 +124,9 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(hashes):
                 continue
             kept = np.unique(row)
-            names = signatures(hashes, np.searchsorted(kept, row), len(kept))
-            value = np.zeros((len(kept), BANDS), np.uint64)
-            for i in range(WIDTH):
-                value = value * _ODD + names[:, i * BANDS : (i + 1) * BANDS]
-            value = buffers.mix(value + np.arange(BANDS, dtype=np.uint64))
+            value, at = bands_of(hashes, np.searchsorted(kept, row), len(kept))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64).ravel()), pa.array(np.repeat(doc[first:last][kept], BANDS))], ["bucket", "doc"])
+                [pa.array(value.view(np.int64)), pa.array(doc[first:last][kept][at])], ["bucket", "doc"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,6 +135,17 @@ def test_near_duplicates(spark, documents):
     assert {d: got[d] for d in texts} == {d: find(d) for d in texts}
 
 
+def test_equal_sets_with_other_counts_share_a_band():
+    from cohortlab.llm import buffers
+
+    names = buffers.mix(np.arange(2, dtype=np.uint64))
+    hashes = np.concatenate((np.repeat(names, [1000, 10]), np.repeat(names, [10, 1000])))
+    value, row = minhash.bands_of(hashes, np.repeat([0, 1], 1010), 2)
+    assert len(set(value[row == 0]) & set(value[row == 1])) >= minhash.BANDS
+    # a band is proposed once for each text
+    assert len(set(zip(value.tolist(), row.tolist()))) == len(value)
+
+
 def test_edit_chain_in_one_bucket(spark, monkeypatch):
     def one_bucket(batches):
         import pyarrow as pa
