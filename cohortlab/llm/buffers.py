@@ -93,13 +93,19 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each run of bytes without ASCII white space; runs end with their row."""
-    inside = np.concatenate(([False], ~_SPACE[data], [False]))
+    return runs(~_SPACE[data], offsets)
+
+
+def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes that are members; runs end with their row."""
+    size = len(member)
+    inside = np.concatenate(([False], member, [False]))
     # a row border inside a run cuts it
     change = inside[1:] != inside[:-1]
     starts = np.flatnonzero(change & inside[1:])
     ends = np.flatnonzero(change & inside[:-1])
     cut = offsets[1:-1] - offsets[0]
-    cut = np.unique(cut[(cut > 0) & (cut < len(data))])
+    cut = np.unique(cut[(cut > 0) & (cut < size)])
     cut = cut[inside[cut] & inside[cut + 1]] if len(cut) else cut
     if len(cut):
         starts = np.sort(np.concatenate((starts, cut)))

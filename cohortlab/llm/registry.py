@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from cohortlab.llm import (ann, bpe, fingerprints, importance, langid, lines, minhash, mixing, pii, quality, repeats)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    import corpus_pipeline
-    from cohortlab.llm import (ann, bpe, fingerprints, langid, lines, minhash, mixing, pii, quality, repeats)
-
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_personal_data": pii.op2_personal_data,
@@ -24,11 +24,14 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_nearest_neighbours": ann.op9_nearest_neighbours,
         "op10_quality": quality.op10_quality,
+        "op13_importance_resampling": importance.op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from cohortlab.llm import lines, mixing
-
-    return {"op4_source_mixing": mixing.ORACLE_SQL, "op8_line_dedup": lines.ORACLE_SQL}
+    return {
+        "op4_source_mixing": mixing.ORACLE_SQL,
+        "op8_line_dedup": lines.ORACLE_SQL,
+        "op13_importance_resampling": importance.ORACLE_SQL,
+    }
