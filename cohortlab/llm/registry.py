@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cohortlab.llm import (ann, bpe, fingerprints, importance, langid, lines, minhash, mixing, pii, quality, repeats)
+from cohortlab.llm import (ann, audit, bpe, fingerprints, importance, langid, lines, minhash, mixing, pii, quality, repeats)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_nearest_neighbours": ann.op9_nearest_neighbours,
         "op10_quality": quality.op10_quality,
+        "op11_filter_audit": audit.op11_filter_audit,
         "op13_importance_resampling": importance.op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_source_mixing": mixing.ORACLE_SQL,
         "op8_line_dedup": lines.ORACLE_SQL,
+        "op11_filter_audit": audit.ORACLE_SQL,
         "op13_importance_resampling": importance.ORACLE_SQL,
     }
