@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from cohortlab.llm import (ann, audit, bpe, fingerprints, importance, langid, lines, minhash, mixing, pii, quality, repeats)
+from cohortlab.llm import (ann, audit, bpe, fingerprints, importance, langid, lines, minhash, mixing, pii, quality, repeats,
+                           toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op9_nearest_neighbours": ann.op9_nearest_neighbours,
         "op10_quality": quality.op10_quality,
         "op11_filter_audit": audit.op11_filter_audit,
+        "op12_toxicity": toxicity.op12_toxicity,
         "op13_importance_resampling": importance.op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from cohortlab.llm import ann, bpe, fingerprints, langid, lines, minhash, mixing, pii, quality, registry, repeats
 
 SF_DIR = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, row string, drop string, w1 string"
 
 
 @pytest.fixture(scope="module")
@@ -19,24 +18,6 @@ def documents(spark):
     return spark.read.parquet(f"{SF_DIR}/documents.parquet")
 
 
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls everywhere, empty and long texts, ties, repeated rows, and columns with names used inside."""
-    words = " ".join(f"word{i}" for i in range(30))
-    rows = [
-        (None, "a line of at least twenty characters\nx", "en", None), (1, None, None, "s"), (2, "", "de", "s"), (3, words, "en", "s"),
-        (3, words, "en", "s"), (4, words + " more", "en", "s"), (5, words.upper(), None, None), (6, "one two", "fr", "s"),
-        (7, "a line of at least twenty characters\nA LINE of at least twenty characters \ny", "fr", "s"), (8, "é" * 300_000, "fr", "t"),
-        (9, "a line of at least twenty characters", "en", "t"), (10, "123 !!", "en", "t"),
-    ]
-    return spark.createDataFrame([(*r, 1, "d", "r", "p", "w") for r in rows], SCHEMA)
-
-
-@pytest.fixture(scope="module")
-def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
-
-
 def test_lines(odd, empty):
     got = {(r.doc_id, r.text) for r in lines.drop_shared_lines(odd).collect()}
     assert (None, "x") in got and (7, "y") in got and (9, "a line of at least twenty characters") in got and (1, None) in got
@@ -146,21 +127,66 @@ def test_equal_sets_with_other_counts_share_a_band():
     assert len(set(zip(value.tolist(), row.tolist()))) == len(value)
 
 
-def test_edit_chain_in_one_bucket(spark, monkeypatch):
-    def one_bucket(batches):
-        import pyarrow as pa
+def _one_bucket(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        node = batch.column("node")
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(node), pa.int64()), node], ["bucket", "node"])
+
 
-        for batch in batches:
-            doc = batch.column("doc")
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(doc), pa.int64()), doc], ["bucket", "doc"])
+def _class_ids(table):
+    rows = minhash._keyed(table).join(minhash.classes(table), ["w1", "w2"], "left")
+    return {(r.doc, r.text): r["head"].doc for r in rows.collect()}
 
-    monkeypatch.setattr(minhash, "_band_rows", one_bucket)
+
+def test_edit_chain_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_band_rows", _one_bucket)
     words = [f"w{i}" for i in range(160)]
     # 1 ~ 2 ~ 3 only; 9 is the other end of the bucket
     rows = [(k, " ".join(words[8 * (k - 1) : 8 * (k - 1) + 104])) for k in (1, 2, 3)]
     rows.append((9, " ".join(f"z{i}" for i in range(104))))
-    found = minhash.links(spark.createDataFrame(rows, "doc long, text string"))
-    assert {(r.lead, r.doc) for r in found.collect()} == {(1, 2), (2, 3)}
+    found = _class_ids(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {k: v for (k, _), v in found.items()} == {1: 1, 2: 1, 3: 1, 9: 9}
+
+
+def test_no_link_lost_in_a_large_bucket(spark, monkeypatch):
+    """Families of edits around shared text, all in one bucket, against all pairs."""
+    monkeypatch.setattr(minhash, "_band_rows", _one_bucket)
+    rng = np.random.default_rng(6)
+    shared, rows = [f"s{i}" for i in range(20)], []
+    for family in range(12):
+        words = shared + [f"f{family}x{i}" for i in range(int(rng.integers(10, 40)))]
+        for _ in range(12):
+            if rng.random() < 0.5:  # the edits add up, so that members at the ends are not alike
+                words = list(words)
+                words[int(rng.integers(20, len(words)))] = f"e{rng.integers(1 << 30)}"
+            rows.append(" ".join(words + [f"t{rng.integers(3)}"] * int(rng.integers(0, 3))))
+    table = [(i, t) for i, t in enumerate(rows)]
+    texts, root = {i: _shingles(t) for i, t in table}, {i: i for i, _ in table}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in texts:
+        for b in texts:
+            if a < b and len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = _class_ids(spark.createDataFrame(table, "doc_id long, text string"))
+    assert {i: v for (i, _), v in got.items()} == {i: find(i) for i in texts}
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, a.upper()), (None, "c d e"), (None, b + " other"), (4, "c  d e")]
+    found = _class_ids(spark.createDataFrame(rows, "doc_id long, text string"))
+    least = -(1 << 63)
+    assert {k: v for (k, _), v in found.items() if k in (7, 8, 9, 4)} == {7: 5, 9: 5, 8: least, 4: least}
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(5, a), (0, "c d e"), (0, b + " other")])
 
 
 def test_odd_near_duplicates(odd, empty):
@@ -253,4 +279,4 @@ def test_quality(odd, empty):
 
 def test_registry():
     names = registry.queries()
-    assert len(names) == 11 and set(registry.oracle_sql()) <= set(names)
+    assert len(names) == 14 and set(registry.oracle_sql()) <= set(names)
