@@ -37,4 +37,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``materialize`` that nothing reads any more."""
+    for table in tables:
+        path, jvm = table.stored_path, table.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
