@@ -1,17 +1,21 @@
 """Fingerprints of closed syncmers, in DataFrame functions only.
 
-The alphabet is words (runs without ASCII white space). Of every k words in a
-row, the hashes of the inner runs of s words are compared; the k-mer is an
-anchor if the smallest of them stands at either edge. Whether a k-mer is an
-anchor depends on its own words only, so equal passages have equal anchors
-wherever they stand. A fingerprint is the sorted set of the anchors' hashes;
+The alphabet is short pieces of text: lower-case letters with the capital before
+them, digits, and every other character by itself, white space aside (PIECE).
+Where a piece ends depends on the characters around it, so scripts without
+blanks and long words without them have pieces as well. Of every k
+pieces in a row, the hashes of the inner runs of s pieces are compared; the k-mer is
+an anchor if the smallest of them stands at either edge. Whether a k-mer is an
+anchor depends on its own pieces only, so equal passages have equal anchors
+wherever they stand. The k-mer at the smallest run of the whole text is an
+anchor of every text. A fingerprint is the sorted set of the anchors' hashes;
 the likeness of two fingerprints is the share of common anchors (Jaccard).
 
-Defined cases: a text of fewer than k words, null and empty ones included, has
-one anchor made of all its words; equal texts have equal fingerprints; ties
+Defined cases: a text of fewer than k pieces, null and empty ones included, has
+one anchor made of all its pieces; equal texts have equal fingerprints; ties
 for the smallest hash count at an edge if an edge is among them; rows that
-repeat an id are ordered by their text; a single row is its own neighbour; an
-empty table gives no rows. Only the named columns are read.
+repeat an id are ordered by a hash of their text; a single row is its own
+neighbour; an empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -19,40 +23,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlab.scratch import materialize
+
 K, S = 6, 3
+PIECE = r"\p{Lu}?\p{Ll}{1,12}|\p{Nd}{1,4}|[^\x20\x09-\x0D]"
 _LEAST = -(1 << 63)
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[ \t\n\x0b\x0c\r]+"), lambda w: w != "")
-
-
 def with_anchors(rows: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """``rows`` with column ``out``: the sorted distinct anchor hashes of column ``text``.
 
-    Each step is a column of its own, so that no array is computed twice.
+    Each step is a column of its own, so that no array is computed twice. Two
+    runs of s pieces cover a k-mer, so their hashes name it.
     """
-    w, h, m = f"_{out}_w", f"_{out}_h", f"_{out}_m"
+    if not s < k <= 2 * s:
+        raise ValueError("two runs of s pieces must cover a k-mer")
+    w, h = f"_{out}_w", f"_{out}_h"
     inner = k - s + 1
-    rows = rows.withColumn(w, F.transform(_words(F.coalesce(F.col(text), F.lit(""))), lambda x: F.xxhash64(x)))
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PIECE), F.lit(0))
+    rows = rows.withColumn(w, F.transform(pieces, lambda x: F.xxhash64(x)))
     rows = rows.withColumn(h, F.when(F.size(w) >= k, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w) - s + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, s)))))
-    anchors = F.transform(
-        F.filter(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(h) - inner + 1, F.lit(1))),
-                lambda i: F.struct(i.alias("i"), F.array_min(F.slice(h, i, inner)).alias("least")),
-            ),
-            lambda x: (F.get(h, x["i"] - 1) == x["least"]) | (F.get(h, x["i"] + (inner - 2)) == x["least"]),
-        ),
-        lambda x: F.hash(F.slice(w, x["i"], k)),
-    )
-    found = F.when(F.col(h).isNotNull(), anchors).otherwise(F.array(F.hash(w)))
-    return rows.withColumn(out, F.array_sort(F.array_distinct(found))).drop(w, h, m)
+        F.sequence(F.lit(0), F.greatest(F.size(w) - s, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(s)]))))
+
+    def named(i: Column) -> Column:
+        return F.hash(F.get(h, i), F.get(h, i + (inner - 1)))
+
+    def anchor(i: Column) -> Column:
+        edges = F.least(F.get(h, i), F.get(h, i + (inner - 1)))
+        between = [F.get(h, i + j) for j in range(1, inner - 1)]
+        inside = F.least(*between) if len(between) > 1 else between[0] if between else edges
+        return F.when(edges <= inside, named(i))
+
+    last = F.size(h) - inner
+    least = F.least((F.array_position(h, F.array_min(h)) - 1).cast("int"), last)
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), anchor), lambda x: x.isNotNull())
+    whole = F.when(F.col(h).isNotNull(), F.concat(found, F.array(named(least)))).otherwise(F.array(F.hash(w)))
+    return rows.withColumn(out, F.array_sort(F.array_distinct(whole))).drop(w, h)
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:
-    return F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(a, b))
+    """Common anchors over all anchors; two empty sets are alike."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.greatest(both, F.lit(1)))
 
 
 def as_text(anchors: str | Column) -> Column:
@@ -61,48 +73,67 @@ def as_text(anchors: str | Column) -> Column:
     return F.array_join(F.transform(column, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def with_next(rows: DataFrame, key: str, values: list[str], tie: str) -> DataFrame:
-    """``rows`` with a struct ``next`` of ``values`` from the row that follows in descending ``key``; the last takes the first.
+def cut_points(rows: DataFrame, key: str, tie: str) -> list[tuple[int, int]]:
+    """(key, tie) pairs that cut the rows into about as many even ranges as there are shuffle partitions.
 
-    The keys are cut into ranges at approximate quantiles; a window finds the
-    successor inside a range, and the last row of each range joins the first row
-    of the next range that has any.
+    A key that fills several ranges is cut at quantiles of its ties.
+    """
+    pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / pieces for i in range(1, pieces)] or [0.5]
+    keys = rows.select(F.percentile_approx(key, shares, 10_000).alias("c")).first()[0] or []
+    cuts = {(k, _LEAST) for k in keys}
+    hot = sorted({k for k in keys if keys.count(k) > 1})  # fewer than ``pieces``
+    if hot:
+        ties = rows.where(F.col(key).isin(hot)).groupBy(key).agg(F.percentile_approx(tie, shares, 10_000)).collect()
+        for k, found in ties:
+            step = max(1, len(found) // keys.count(k))
+            cuts |= {(k, t) for t in found[::step]}
+    return sorted(cuts)
+
+
+def with_next(rows: DataFrame, key: str, tie: str, cuts: list[tuple[int, int]], value: str) -> DataFrame:
+    """``rows`` with ``next``, the ``value`` of the row that follows in descending (key, tie); the last takes the first.
+
+    The rows are cut into ranges; a window finds the successor inside a range,
+    and the last row of each range joins the first row of the next range that has any.
     """
-    spark = rows.sparkSession
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(F.percentile_approx(key, [i / pieces for i in range(1, pieces)] or [0.5], 10_000).alias("c")).first()[0]
-    cuts = sorted(set(cuts or []))
-    at = F.aggregate(F.lit(cuts).cast("array<bigint>"), F.lit(0), lambda n, x: n + (x < F.col(key)).cast("int")) if cuts else F.lit(0)
-    rows = rows.withColumn("_range", at)
-    order = [F.col(key).desc(), F.col(tie).desc_nulls_last()]
-    window = Window.partitionBy("_range").orderBy(*order)
-    packed = F.struct(*values)
-    inside = rows.withColumn("next", F.lead(packed).over(window))
-    # the largest (key, tie) of a range comes first in descending order
-    heads = rows.groupBy("_range").agg(F.max_by(packed, F.struct(F.col(key), F.col(tie))).alias("head"))
-    ranges = [r[0] for r in rows.select("_range").distinct().orderBy(F.desc("_range")).collect()]  # at most ``pieces``
-    after = {a: b for a, b in zip(ranges, ranges[1:] + ranges[:1], strict=True)}
-    follow = F.create_map(*[F.lit(x) for pair in after.items() for x in pair]) if after else F.create_map(F.lit(0), F.lit(0))
-    joined = inside.withColumn("_to", F.when(F.col("next").isNull(), follow[F.col("_range")]))
-    heads = heads.select(F.col("_range").alias("_to"), "head")
-    last = joined.where(F.col("_to").isNotNull()).join(heads.hint("merge"), "_to").withColumn("next", F.col("head")).drop("head")
-    return joined.where(F.col("_to").isNull()).unionByName(last).drop("_range", "_to")
+    place = F.struct(F.col(key), F.col(tie))
+    pair = "struct<k:bigint,t:bigint>"
+    borders = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in cuts]).cast(f"array<{pair}>")
+    rows = rows.withColumn("_range", F.aggregate(borders, F.lit(0), lambda n, x: n + (x < place.cast(pair)).cast("int")))
+    # one row for each range
+    heads = rows.groupBy("_range").agg(F.max(place).alias("h")).select("_range", F.col(f"h.{key}").alias("_k"), F.col(f"h.{tie}").alias("_t")).collect()
+    ranges = sorted((r["_range"] for r in heads), reverse=True)
+    before = {b: a for a, b in zip(ranges, ranges[1:] + ranges[:1], strict=True)}
+    first = rows.sparkSession.createDataFrame([(before[r["_range"]], r["_k"], r["_t"]) for r in heads], "_range int, _k long, _t long")
+    window = Window.partitionBy("_range").orderBy(F.col(key).desc(), F.col(tie).desc())
+    inside = rows.withColumn("next", F.lead(F.struct(value)).over(window))
+    # rows that repeat an id and text are the same head
+    found = rows.drop("_range").join(F.broadcast(first), (F.col(key) == F.col("_k")) & (F.col(tie) == F.col("_t"))).select(
+        "_range", F.struct(value).alias("head")).dropDuplicates(["_range"])
+    ends = inside.where("next IS NULL").drop("next").join(found.hint("merge"), "_range").withColumnRenamed("head", "next")
+    return inside.where("next IS NOT NULL").unionByName(ends).withColumn("next", F.col(f"next.{value}")).drop("_range")
 
 
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    documents = documents.withColumn("_key", F.coalesce("doc_id", F.lit(_LEAST)))
-    rows = with_next(with_anchors(documents, "text", "own"), "_key", ["text", "own"], "text")
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """The fingerprints of every text and of its edited text, whose last third comes from the next document."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"_key": F.coalesce("doc_id", F.lit(_LEAST)), "_tie": F.xxhash64("text")})
+    cuts = cut_points(rows, "_key", "_tie")
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
-    rows = rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("other"),
-        F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut)).alias("edited"),
-    )
-    rows = with_anchors(rows, "edited", "new")
-    return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"),
-        likeness("own", "new").alias("near_edited"), likeness("own", "other").alias("near_next"),
+    edited = with_next(rows, "_key", "_tie", cuts, "text").select(
+        "doc_id", "_key", "_tie", n.cast("long").alias("n_chars"), "text",
+        F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut)).alias("edited"))
+    narrow = with_anchors(with_anchors(edited, "text", "own"), "edited", "new").select(
+        "doc_id", "_key", "_tie", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "new")
+    # the anchors are stored, so that the second walk reads no text
+    narrow = materialize(narrow, "anchors")
+    return with_next(narrow, "_key", "_tie", cuts, "own").select(
+        "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"),
+        likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"),
     )
