@@ -28,12 +28,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), starts
 
 
-def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most ``limit`` bytes each; a longer row stands alone."""
+def row_chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``limit`` bytes (a longer row stands alone) and ``most`` rows each."""
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), rows)
+        last = min(max(last, first + 1), rows, rows if most is None else first + most)
         yield first, last
         first = last
 

@@ -7,22 +7,28 @@ earliest one. A process ends when its time has passed the latest register, so
 most shingles take one or two steps. The share of equal registers of two texts
 estimates their probability Jaccard similarity. As links are judged by sets, a
 second row of registers takes every weight as 1. Both are banded; texts that
-share a band are compared exactly by their shingle sets (Jaccard).
-
-Texts with the same words are one class before anything is hashed. Inside a
-bucket every text is compared with the smallest and the largest id only, and
-those that match neither go on, among themselves, to the next round. After the
-rounds, texts of a bucket that are still in different components are all compared
-with each other; so every pair of a bucket is tested or joined already, and no
-link between classes is lost. Classes are the connected components of the links.
+share a band are candidates, and links are found by comparing their shingle sets
+exactly (Jaccard).
+
+Equal texts are one node before anything is hashed. The members of a bucket are
+compared with one of them, and where they then are of several components, with a member of
+another component. That takes one row for each member and joins what belongs together in nearly all
+buckets. For buckets that still hold several components every pair of components has to be
+shown different: their members meet by shared rare shingles only. Of a set of n
+shingles in order of rarity, the first n - ceil(0.8 n) + 1 are looked up among the first
+n - ceil(8/9 n) + 1 of sets that are not larger; no pair with similarity 0.8 escapes that.
+Members of one component never meet, and no link between classes is lost. Classes are the
+connected components of the links.
 
 Defined cases: null texts and texts without a word are in a class of their own;
-a text of one to four words is one shingle; rows that repeat an id and text
-share a class; an empty table gives no rows. Only the named columns are read.
+a text of one to four words is one shingle; a row belongs to the class of its
+text, so rows that repeat an id with other texts may be in different classes; a null
+id is smaller than any other; an empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import buffers
-from cohortlab.scratch import materialize
+from cohortlab.scratch import materialize, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -40,12 +46,17 @@ BANDS, WIDTH = 24, 5
 _M = BANDS * WIDTH
 _LEAST = -(1 << 63)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+#: Rows and bytes of text that are hashed at once.
+_ROWS, _BYTES = 2048, 1 << 19
+_WORD = r"[^ \t\n\x0b\f\r]"
+#: The frequency of a shingle is counted in so many buckets; it only orders shingles.
+_RARITY_BITS = 20
 
 
 def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For chunks of rows: first row, last row, hashes of the shingles and their rows (from 0 in the chunk)."""
     data, offsets = buffers.utf8(pc.utf8_lower(column.cast(pa.string())))
-    for first, last in buffers.row_chunks(offsets):
+    for first, last in buffers.row_chunks(offsets, _BYTES, _ROWS):
         o = offsets[first : last + 1]
         part = data[o[0] : o[-1]]
         if not len(part):
@@ -119,140 +130,230 @@ def bands_of(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc = batch.column("doc").to_numpy()
+        node = batch.column("node").to_numpy()
         for first, last, hashes, row in shingles(batch.column("text")):
             if not len(hashes):
                 continue
             kept = np.unique(row)
             value, at = bands_of(hashes, np.searchsorted(kept, row), len(kept))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(doc[first:last][kept][at])], ["bucket", "doc"])
+                [pa.array(value.view(np.int64)), pa.array(node[first:last][kept][at])], ["bucket", "node"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc = batch.column("doc").to_numpy()
         for first, last, hashes, row in shingles(batch.column("text")):
             h, r, _ = _weighted(hashes, row)
             order = np.argsort(r, kind="stable")
-            # the upper half of a hash is enough to compare two sets
-            values = (h[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             bounds = np.searchsorted(r[order], np.arange(last - first + 1)).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[first:last]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))], ["doc", "parts"])
+                [batch.column("node").slice(first, last - first), parts, batch.column("leads").slice(first, last - first)],
+                ["node", "parts", "leads"])
+
+
+# --- nodes --------------------------------------------------------------------------------------------------------------
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """Struct ``row`` of all columns, ``doc`` (null: the least), the words and two hashes of them."""
-    # one blank for every run of white space: the same words, the same class
-    words = F.lower(F.btrim(F.regexp_replace("row.text", r"[ \t\n\x0b\x0c\r]+", " ")))
-    return (
-        documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"))
-        .withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LEAST)))
-        .withColumn("text", words)
-        .withColumns({"w1": F.xxhash64("text"), "w2": F.xxhash64(F.lit(3), "text")})
-    )
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (doc, lead) whose shingle sets are similar enough."""
-    ids = pairs.select("doc").union(pairs.select(F.col("lead"))).distinct()
-    sets = materialize(texts.join(ids, "doc", "left_semi").mapInArrow(_set_rows, "doc long, parts array<int>"), "shingle-sets")
-    # a lead may have very many partners: AQE splits such a key of the sorted join
-    lead = sets.select(F.col("doc").alias("lead"), F.col("parts").alias("other"))
-    both = pairs.join(sets.hint("merge"), "doc").join(lead.hint("merge"), "lead")
+    """``doc`` (null: the least), the text and two hashes of it."""
+    text = F.col("text").cast("string")
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), text.alias("text"),
+                            F.xxhash64(text).alias("w1"), F.xxhash64(F.lit(3), text).alias("w2"))
+
+
+def nodes_of(documents: DataFrame) -> DataFrame:
+    """w1, w2, the smallest id ``doc`` and a number ``node`` of every distinct text that has a word."""
+    first = _keyed(documents).where(F.col("text").rlike(_WORD)).groupBy("w1", "w2").agg(F.min("doc").alias("doc"))
+    # the numbers are unique, and fixed once they are written
+    return materialize(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` with their texts."""
+    key = ["doc", "w1", "w2"]
+    whole = _keyed(documents).where(F.col("text").rlike(_WORD)).groupBy(*key).agg(F.first("text").alias("text"))
+    return whole.join(nodes.hint("merge"), key)
+
+
+# --- links --------------------------------------------------------------------------------------------------------------
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (node, lead) whose shingle sets are similar enough."""
+    # a lead may have very many partners: the sorted join splits such a key
+    lead = sets.select(F.col("node").alias("lead"), F.col("parts").alias("other"))
+    leads = pairs.select("lead").distinct()
+    both = pairs.join(sets.select("node", "parts").hint("merge"), "node").join(
+        lead.join(leads.hint("merge"), "lead", "left_semi").hint("merge"), "lead")
+    return _similar(both, similarity)
+
+
+def _similar(both: DataFrame, similarity: float) -> DataFrame:
+    sizes = F.size("parts") + F.size("other")
+    # the smaller set must be large enough, or else nothing is compared
+    near = both.where(F.least(F.size("parts"), F.size("other")) >= similarity * F.greatest(F.size("parts"), F.size("other")))
     common = F.size(F.array_intersect("parts", "other"))
-    return both.select("doc", "lead", common.alias("common"), (F.size("parts") + F.size("other")).alias("both")).where(
-        F.col("common") >= similarity * (F.col("both") - F.col("common"))
-    ).select("doc", "lead")
-
-
-def _untested(bands: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (lead, doc) that share a bucket and are in different components of the links found so far."""
-    roots = components(found).withColumnRenamed("node", "doc")
-    members = materialize(bands.join(roots.hint("merge"), "doc", "left").select(
-        "bucket", "doc", F.coalesce("root", "doc").alias("root")), "rooted")
-    # pairs of components first: the members of one component never meet
-    parts = members.select("bucket", "root").distinct()
-    others = parts.withColumnRenamed("root", "other")
-    meet = parts.join(others.hint("merge"), "bucket").where("root < other")
-    pairs = meet.join(members.hint("merge"), ["bucket", "root"]).join(
-        members.select("bucket", F.col("root").alias("other"), F.col("doc").alias("mate")).hint("merge"), ["bucket", "other"])
-    return materialize(pairs.select(F.least("doc", "mate").alias("lead"), F.greatest("doc", "mate").alias("doc")).distinct(), "untested")
-
-
-def links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Similar pairs (doc, lead) among distinct texts that join all of a bucket that belong together."""
-    bands = buckets = materialize(texts.mapInArrow(_band_rows, "bucket long, doc long"), "bands")
-    found = None
-    while True:
-        ends = buckets.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-        members = materialize(buckets.join(ends.hint("merge"), "bucket"), "members")
-        pairs = members.select("doc", F.explode(F.array("low", "high")).alias("lead")).where("doc <> lead")
-        pairs = materialize(pairs.select(F.least("doc", "lead").alias("lead"), F.greatest("doc", "lead").alias("doc")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        good = materialize(_linked(pairs, texts, similarity), "links")
-        found = good if found is None else found.unionByName(good)
-        both = good.select("doc", "lead").union(good.select(F.col("lead").alias("doc"), F.col("doc").alias("lead")))
-        one = members.select("bucket", "doc", F.explode(F.array("low", "high")).alias("lead"))
-        settled = one.join(both.hint("merge"), ["doc", "lead"]).select("bucket", "doc")
-        # the ends are compared with every other member, so they are settled as well
-        buckets = materialize(
-            members.where("doc <> low AND doc <> high").select("bucket", "doc")
-            .join(settled.hint("merge"), ["bucket", "doc"], "left_anti"), "unsettled")
-    if found is None:
-        return texts.select("doc", F.col("doc").alias("lead")).where("false")
-    pairs = _untested(bands, found)
-    return found if pairs.isEmpty() else found.unionByName(materialize(_linked(pairs, texts, similarity), "links"))
+    return near.select("node", "lead", common.alias("common"), sizes.alias("both")).where(
+        F.col("common") >= similarity * (F.col("both") - F.col("common"))).select("node", "lead")
+
+
+def _with_root(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node and root of the buckets that hold several components; ``high`` is the largest root of the bucket."""
+    rooted = materialize(_with_root(members.select("bucket", "node"), labels), "rooted")
+    ends = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    found = materialize(rooted.join(ends.select("bucket", "high").hint("merge"), "bucket"), "mixed")
+    release(rooted)
+    return found
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each of 2**_RARITY_BITS buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _RARITY_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(batch.column("parts").flatten()), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    found = sets.select("parts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << _RARITY_BITS, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _bucket(parts: pa.Array) -> np.ndarray:
+    return (np.asarray(parts).view(np.uint64) >> np.uint64(64 - _RARITY_BITS)).astype(np.int64)
+
+
+def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, root, n, shingle of the rare shingles of each set; ``few`` marks those by which it is looked up as the smaller set."""
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            parts = batch.column("parts")
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            node, root = batch.column("node").to_numpy(), batch.column("root").to_numpy()
+            for i in range(batch.num_rows):
+                h = np.asarray(parts[i].values)
+                n = len(h)
+                many = n - math.ceil(similarity * n - 1e-9) + 1
+                few = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
+                rare = h[np.lexsort((h, rarity[_bucket(h)]))[:many]]
+                for column, values in zip(out, (np.full(many, node[i]), np.full(many, root[i]), np.full(many, n), rare, np.arange(many) < few)):
+                    column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["node", "root", "n", "shingle", "few"])
+
+    return sets.select("node", "root", "parts").mapInArrow(run, "node long, root long, n long, shingle long, few boolean")
+
+
+def _meeting(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, lead) of different components that share a rare shingle and whose sizes allow a link."""
+    rows = materialize(_rare_shingles(sets.where(F.size("parts") > 0), similarity), "rare")
+    ends = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    rows_ = materialize(rows.join(ends.hint("merge"), "shingle"), "shared")
+    release(rows)
+    # components meet first, so that the members of one component never do
+    smaller = rows_.where("few").select("shingle", "root").distinct()
+    larger = rows_.select("shingle", F.col("root").alias("lead_root")).distinct()
+    meet = smaller.join(larger.hint("merge"), "shingle").where("root <> lead_root")
+    pairs = meet.join(rows_.where("few").select("shingle", "root", "node", "n").hint("merge"), ["shingle", "root"]).join(
+        rows_.select("shingle", F.col("root").alias("lead_root"), F.col("node").alias("lead"), F.col("n").alias("m")).hint("merge"),
+        ["shingle", "lead_root"]).where((F.col("n") <= F.col("m")) & (F.col("n") >= similarity * F.col("m")))
+    found = materialize(pairs.select("node", "lead").distinct(), "meeting")
+    release(rows_)
+    return found
+
+
+def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Similar pairs (node, lead) that join all nodes of a bucket that belong together."""
+    bands = materialize(_texts(documents, nodes).select("node", "text").mapInArrow(_band_rows, "bucket long, node long"), "bands")
+    ends = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = materialize(bands.join(ends.select("bucket", "low").hint("merge"), "bucket"), "members")
+    release(bands)
+    # every member with the least ones of its buckets: a few numbers for each node
+    leads = members.groupBy("node").agg(F.array_remove(F.collect_set("low"), F.col("node")).alias("leads"))
+    needed = nodes.join(leads.hint("merge"), "node")
+    sets = materialize(_texts(documents, needed).select("node", "text", "leads").mapInArrow(
+        _set_rows, "node long, parts array<long>, leads array<long>"), "sets")
+    stars = sets.select("node", "parts", F.explode("leads").alias("lead"))
+    centres = members.select(F.col("low").alias("lead")).distinct()
+    other = sets.select(F.col("node").alias("lead"), F.col("parts").alias("other")).join(centres.hint("merge"), "lead", "left_semi")
+    found = materialize(_similar(stars.join(other.hint("merge"), "lead"), similarity), "links")
+    labels = components(found)
+    mixed = _mixed(members, labels)
+    release(members, labels)
+    # the members of other components with a member of the component that has the largest root
+    pairs = mixed.where("root <> high").select("node", F.col("high").alias("lead")).distinct()
+    more = materialize(_linked(pairs, sets, similarity), "links")
+    found = found.unionByName(more)
+    labels = components(found)
+    again = _mixed(mixed, labels)
+    release(mixed, labels)
+    left = materialize(sets.select("node", "parts").join(
+        again.select("node", "root").distinct().hint("merge"), "node"), "left")
+    last = materialize(_linked(_meeting(left, similarity), left, similarity), "links")
+    release(sets, again, left)
+    return found.unionByName(last)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component, by labels that jump over labels."""
-    both = materialize(edges.select(F.col("doc").alias("a"), F.col("lead").alias("b"))
-                       .union(edges.select(F.col("lead").alias("a"), F.col("doc").alias("b"))), "edges")
+    both = materialize(edges.select(F.col("node").alias("a"), F.col("lead").alias("b"))
+                       .union(edges.select(F.col("lead").alias("a"), F.col("node").alias("b"))), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(seen.withColumnRenamed("a", "node").hint("merge"), "node").select(
-            "node", "root", F.least("root", "near").alias("new"))
-        step = materialize(step, "step")
+        step = materialize(labels.join(seen.withColumnRenamed("a", "node").hint("merge"), "node").select(
+            "node", "root", F.least("root", "near").alias("new")), "step")
         up = step.select(F.col("node").alias("new"), F.col("new").alias("top"))
         jumped = materialize(step.join(up.hint("merge"), "new", "left").select(
             "node", F.col("root").alias("old"), F.least("new", F.coalesce("top", "new")).alias("root")), "labels")
-        labels = jumped.select("node", "root")
-        if jumped.where("old <> root").isEmpty():
-            return labels
+        release(labels, step)
+        labels = jumped
+        if labels.where("old <> root").isEmpty():
+            release(both)
+            stored = labels.select("node", "root")
+            stored.stored_path = labels.stored_path
+            return stored
+
+
+# --- classes ------------------------------------------------------------------------------------------------------------
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc, w1, w2 (of every distinct word sequence of an id) and ``root``, the smallest id of the class."""
-    keyed = _keyed(documents).drop("row")
-    narrow = keyed.where("text <> ''").select("doc", "w1", "w2").distinct()
-    first = materialize(narrow.groupBy("w1", "w2").agg(F.min("doc").alias("first")), "first")
-    # an id that stands for several word sequences stays unique through its class
-    texts = materialize(
-        keyed.join(first.withColumnRenamed("first", "doc").hint("merge"), ["doc", "w1", "w2"], "left_semi")
-        .where("text <> ''").select("doc", "text").dropDuplicates(["doc"]), "texts")
-    roots = components(links(texts, similarity))
-    named = first.join(roots.withColumnRenamed("node", "first").hint("merge"), "first", "left").select(
-        "w1", "w2", F.coalesce("root", "first").alias("root"))
-    return narrow.join(named.hint("merge"), ["w1", "w2"])
-
-
-def _with_class(documents: DataFrame) -> DataFrame:
-    """Struct ``row`` of all columns, ``doc`` and ``root`` (the row's own id where it has no words)."""
-    found = _keyed(documents).drop("text").join(classes(documents), ["doc", "w1", "w2"], "left")
-    return found.select("row", "doc", F.coalesce("root", "doc").alias("root"))
+    """w1 and w2 of every distinct text, and the smallest (doc, w1, w2) ``head`` of its class."""
+    nodes = nodes_of(documents)
+    labelled = _with_root(nodes, components(links(documents, nodes, similarity)))
+    heads = labelled.groupBy("root").agg(F.min(F.struct("doc", "w1", "w2")).alias("head"))
+    # a class may hold very many texts: the sorted join splits it
+    return materialize(labelled.join(heads.hint("merge"), "root").select("w1", "w2", "head"), "classes")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of its class of near-duplicates."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return _with_class(documents).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("root").alias("class_id"))
-
-
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their class, with all their columns."""
-    found = _with_class(documents).where("doc = root")
-    return found.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
+    found = _keyed(documents)
+    return found.drop("text").join(classes(documents).hint("merge"), ["w1", "w2"], "left").select(
+        F.when(F.col("doc") != _LEAST, F.col("doc")).alias("doc_id"), F.coalesce("head.doc", "doc").alias("class_id"))
+
+
+def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents with the smallest id of their class, with all their columns; rows that repeat one stay with it."""
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    text, doc = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
+    keys = documents.select(doc.alias("doc"), F.xxhash64(text).alias("w1"), F.xxhash64(F.lit(3), text).alias("w2"), F.coalesce(~text.rlike(_WORD), F.lit(True)).alias("none"),
+                            *[documents[c].alias(n) for c, n in zip(documents.columns, names)])
+    # of each class one key; rows without a word are classes by themselves
+    heads = classes(documents, similarity).where((F.col("head.w1") == F.col("w1")) & (F.col("head.w2") == F.col("w2")))
+    kept = keys.where(~F.col("none")).join(heads.select(F.col("head.doc").alias("doc"), "w1", "w2").hint("merge"), ["doc", "w1", "w2"], "left_semi")
+    rows = kept.unionByName(keys.where("none"))
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names)])

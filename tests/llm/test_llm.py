@@ -88,9 +88,58 @@ def test_fingerprints(spark, documents):
     assert np.mean([r.near_edited for r in long]) > 0.4 > np.mean([r.near_next for r in long])
 
 
-def test_odd_fingerprints(odd, empty):
+def _anchors(names, hashes, pair):
+    """Positions of closed syncmers, and the k-mer at the smallest run, by definition."""
+    k, s = fingerprints.K, fingerprints.S
+    if len(names) < k:
+        return None
+    chosen = [i for i in range(len(names) - k + 1)
+              if min(hashes[i : i + k - s + 1]) in (hashes[i], hashes[i + k - s])]
+    return sorted({pair(hashes[i], hashes[i + k - s]) for i in [*chosen, min(hashes.index(min(hashes)), len(names) - k)]})
+
+
+def test_anchors_by_brute_force(spark, documents):
+    import regex
+
+    texts = [r.text for r in documents.limit(60).collect()] + ["漢字かな交じり文です" * 7, "aGVsbG8gd29ybGQ" * 9, "a b c d e f", "a b", "", "Ab1 " * 5]
+    piece = regex.compile(fingerprints.PIECE)
+    rows = [(i, t, piece.findall(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "id long, text string, pieces array<string>")
+    # the hashes come from Spark, all choices are made here
+    hashed = table.withColumn("w", F.transform("pieces", lambda x: F.xxhash64(x))).withColumn("h", F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
+    known = {r.id: r for r in hashed.withColumn("short", F.hash("w")).collect()}
+    pairs = {(a, b) for r in known.values() if len(r.pieces) >= 6 for a, b in zip(r.h, r.h[3:])}
+    named = {(r.a, r.b): r.x for r in spark.createDataFrame(list(pairs), "a long, b long").withColumn("x", F.hash("a", "b")).collect()}
+    for r in fingerprints.with_anchors(table, "text", "own").collect():
+        want = _anchors(r.pieces, known[r.id].h, lambda a, b: named[a, b])
+        assert r.own == (want if want is not None else [known[r.id].short]), r.text
+
+
+def test_scripts_without_blanks(spark):
+    rng = np.random.default_rng(8)
+    for letters in ("漢字仮名交文書語日本人大小中", "abcdefghijABCDEFGHIJ0123456789+/"):
+        text = "".join(rng.choice(list(letters), 900))
+        table = spark.createDataFrame([(1, text), (2, "x" * 400 + "".join(rng.choice(list(letters), 500)))], "doc_id long, text string")
+        near = {r.doc_id: r.near_edited for r in fingerprints.fingerprints(table).collect()}
+        assert 0.3 < near[1] < 0.8
+        moved = spark.createDataFrame([("Zz9 " + text[50:],), (text,)], "text string")
+        a, b = (set(r.own) for r in fingerprints.with_anchors(moved, "text", "own").collect())
+        assert len(a & b) > 0.85 * len(a)
+
+
+def test_odd_fingerprints(spark, odd, empty):
     for table in (odd, empty):
-        assert fingerprints.with_anchors(table, "text", "own").count() == table.count()
+        rows = fingerprints.fingerprints(table).collect()
+        assert len(rows) == table.count() and all(r.fingerprint and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    # one id holds most rows, with texts of their own and as copies
+    rows = [(None, f"text number {i % 40} of one id") for i in range(300)] + [(i, "the same words here for all") for i in range(60)]
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.count() == 360
+    last = spark.createDataFrame([(3, "abc def ghi"), (2, "uvw"), (1, "123456789")], "doc_id long, text string")
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprints(last).collect()}
+    want = {3: "abc def uvw", 2: "uv1", 1: "123456abc"}
+    assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
 
 
 def _shingles(text):
@@ -127,12 +176,18 @@ def test_equal_sets_with_other_counts_share_a_band():
     assert len(set(zip(value.tolist(), row.tolist()))) == len(value)
 
 
-def _one_bucket(batches):
-    import pyarrow as pa
+@pytest.fixture()
+def one_bucket(monkeypatch):
+    """All texts in one bucket, so that every pair is a candidate."""
 
-    for batch in batches:
-        node = batch.column("node")
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(node), pa.int64()), node], ["bucket", "node"])
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            node = batch.column("node")
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(node), pa.int64()), node], ["bucket", "node"])
+
+    monkeypatch.setattr(minhash, "_band_rows", rows)
 
 
 def _class_ids(table):
@@ -140,8 +195,7 @@ def _class_ids(table):
     return {(r.doc, r.text): r["head"].doc for r in rows.collect()}
 
 
-def test_edit_chain_in_one_bucket(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "_band_rows", _one_bucket)
+def test_edit_chain_in_one_bucket(spark, one_bucket):
     words = [f"w{i}" for i in range(160)]
     # 1 ~ 2 ~ 3 only; 9 is the other end of the bucket
     rows = [(k, " ".join(words[8 * (k - 1) : 8 * (k - 1) + 104])) for k in (1, 2, 3)]
@@ -150,9 +204,8 @@ def test_edit_chain_in_one_bucket(spark, monkeypatch):
     assert {k: v for (k, _), v in found.items()} == {1: 1, 2: 1, 3: 1, 9: 9}
 
 
-def test_no_link_lost_in_a_large_bucket(spark, monkeypatch):
-    """Families of edits around shared text, all in one bucket, against all pairs."""
-    monkeypatch.setattr(minhash, "_band_rows", _one_bucket)
+def test_no_link_lost_in_a_large_bucket(spark, one_bucket):
+    """Families of edits around shared text against all pairs."""
     rng = np.random.default_rng(6)
     shared, rows = [f"s{i}" for i in range(20)], []
     for family in range(12):
