@@ -1,14 +1,19 @@
 """Long byte strings that stand elsewhere earlier, by prefix doubling on position rank pairs.
 
-A string of LENGTH bytes is named by the ranks of its two halves. The first
-doubling step ranks strings of ANCHOR bytes, only at anchors: the positions
-whose rank is smallest in some window, so that every string of LENGTH bytes
-contains one, chosen by its own bytes alone. Positions are then sorted by rank
-on Spark; an anchor that is unique proves the strings around it unique, and
-they leave. For the positions left, the next step ranks the pairs (rank of the
-first half, rank of the second half), which is past the threshold: equal pairs
-are equal strings. Ranks are 64-bit hash names, so that no step has to number
-all positions in one order; a pair has 128 bits.
+Positions are ranked by the ANCHOR bytes that follow them, then by pairs of ranks
+at growing offsets, and leave as soon as their rank is unique or the compared
+length is past LENGTH. Only anchors are followed: the positions whose first rank is
+the smallest in some window, so that every string of LENGTH bytes holds one, chosen
+by its own bytes alone. Ranks are 64-bit hash names, so that no step has to number all
+positions in one order; what decides a removal has 128 bits.
+
+1. ANCHOR bytes: an anchor whose rank occurs once proves all strings around it unique.
+2. The whole context, LENGTH bytes on and LENGTH - ANCHOR back (or up to the border of the text): where it
+   stands earlier, all strings around the anchor do. They are one run, and only the
+   first anchor of every context goes on.
+3. Two thirds of LENGTH, on and back: a string around the anchor holds one of the two. If one is
+   unique, half of the strings are.
+4. LENGTH bytes, as pairs of ranks of the two halves, for the strings that are left.
 
 Defined cases: null texts count as empty; a text that stands with a smaller id
 is removed whole if it has LENGTH bytes; rows that repeat an id are one document
@@ -27,10 +32,13 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm import buffers
 from cohortlab.llm.skew import weighted_join
-from cohortlab.scratch import materialize
+from cohortlab.scratch import materialize, release
 
 LENGTH = 100
 ANCHOR = 32
+#: How far a context reaches back from its anchor, and where strings turn from one half context to the other.
+BACK = LENGTH - ANCHOR
+TURN = BACK // 2
 _LEAST = -(1 << 63)
 _KEY = ["doc", "body"]
 
@@ -60,52 +68,97 @@ def anchors(data: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple
     return chosen, rank[chosen]
 
 
+def _batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of bounded size from tuples of equally long arrays."""
+    out: list[tuple] = []
+    held = 0
+    for columns in rows:
+        if len(columns[0]):
+            out.append(columns)
+            held += len(columns[0])
+        if held > 200_000:
+            yield pa.RecordBatch.from_arrays([_joined(c) for c in zip(*out, strict=True)], names)
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([_joined(c) for c in zip(*out, strict=True)], names)
+
+
+def _joined(parts: tuple) -> pa.Array:
+    values = np.ma.concatenate(parts) if any(np.ma.isMaskedArray(p) for p in parts) else np.concatenate(parts)
+    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
+
+
+def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    data, offsets = buffers.utf8(batch.column("text"))
+    for i in range(batch.num_rows):
+        yield i, data[offsets[i] : offsets[i + 1]]
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = buffers.utf8(batch.column("text"))
-        doc, body = batch.column("doc").to_numpy(), batch.column("body").to_numpy()
-        out: list[tuple] = []
-        held = 0
-        for i in range(batch.num_rows):
-            at, rank = anchors(data[offsets[i] : offsets[i + 1]])
-            if len(at):
-                out.append((np.full(len(at), doc[i]), np.full(len(at), body[i]), at, rank.view(np.int64)))
-                held += len(at)
-            if held > 200_000 or (out and i == batch.num_rows - 1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc", "body", "at", "rank"])
-                out, held = [], 0
-
-
-def _covered(starts: np.ndarray, span: int, size: int) -> np.ndarray:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            body = batch.column("body").to_numpy()
+            for i, text in _texts_of(batch):
+                rank, times = np.unique(anchors(text)[1], return_counts=True)
+                yield rank, np.full(len(rank), body[i]), times
+
+    yield from _batched(rows(), ["rank", "body", "times"])
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            doc, body, near = batch.column("doc").to_numpy(), batch.column("body").to_numpy(), batch.column("near")
+            for i, text in _texts_of(batch):
+                at, rank = anchors(text)
+                back, on = np.minimum(at, BACK), np.minimum(len(text) - at, LENGTH)
+                keep = np.isin(rank.view(np.int64), np.asarray(near[i].values)) & (back + on >= LENGTH)
+                at, rank, back, on = at[keep], rank[keep], back[keep], on[keep]
+                n, prefix = len(at), buffers.prefix_hash(text)
+                whole = buffers.mix(buffers.span_hash(prefix, at - back, at + on) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                right_end, left_start = at + LENGTH - TURN, at - TURN
+                right = np.ma.masked_array(
+                    buffers.span_hash(prefix, at, np.minimum(right_end, len(text))).view(np.int64), right_end > len(text))
+                left = np.ma.masked_array(buffers.span_hash(prefix, np.maximum(left_start, 0), at + ANCHOR).view(np.int64), left_start < 0)
+                yield np.full(n, doc[i]), np.full(n, body[i]), at, rank, whole, right, left, at - back, at - np.maximum(LENGTH - on, 0)
+
+    yield from _batched(rows(), ["doc", "body", "at", "rank", "whole", "right", "left", "low", "high"])
+
+
+def _covered(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """The bytes of the strings that start from ``low`` up to ``high``."""
     mark = np.zeros(size + 1, np.int32)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, np.minimum(starts + span, size), -1)
+    np.add.at(mark, low, 1)
+    np.add.at(mark, np.minimum(high + LENGTH, size), -1)
     return np.cumsum(mark)[:size] > 0
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    half = LENGTH // 2
-    for batch in batches:
-        data, offsets = buffers.utf8(batch.column("text"))
-        doc, near = batch.column("doc").to_numpy(), batch.column("near")
-        body = batch.column("body").to_numpy()
-        for i in range(batch.num_rows):
-            text = data[offsets[i] : offsets[i + 1]]
-            count = len(text) - LENGTH + 1
-            # starts of all strings that contain one of the anchors
-            first = np.maximum(np.asarray(near[i].values) - (LENGTH - ANCHOR), 0)
-            mark = np.zeros(count + 1, np.int32)
-            np.add.at(mark, np.minimum(first, count), 1)
-            np.add.at(mark, np.minimum(np.asarray(near[i].values) + 1, count), -1)
-            at = np.flatnonzero(np.cumsum(mark)[:count] > 0)
-            prefix = buffers.prefix_hash(text)
-            for part in np.array_split(at, max(1, len(at) // 200_000)):
-                a = buffers.span_hash(prefix, part, part + half).view(np.int64)
-                b = buffers.span_hash(prefix, part + half, part + LENGTH).view(np.int64)
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, doc[i])), pa.array(np.full(n, body[i])), pa.array(part), pa.array(a), pa.array(b)],
-                    ["doc", "body", "at", "a", "b"])
+    half, none = LENGTH // 2, (1 << 64) - 1
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            doc, body, near = batch.column("doc").to_numpy(), batch.column("body").to_numpy(), batch.column("near")
+            for i, text in _texts_of(batch):
+                prefix, count = buffers.prefix_hash(text), len(text) - LENGTH + 1
+                every = np.arange(len(text) - ANCHOR + 1)
+                rank = buffers.span_hash(prefix, every, every + ANCHOR)
+                least = slide(rank, BACK + 1, np.minimum, none)
+                chosen = np.zeros(count, bool)
+                places, sides = np.asarray(near[i].values.field("at")), np.asarray(near[i].values.field("side"))
+                for side, first, size in ((1, 0, TURN + 1), (2, TURN, BACK - TURN + 1)):
+                    active = np.full(len(rank), none, np.uint64)
+                    at = places[sides == side]
+                    active[at] = rank[at]
+                    # the anchor of the string that starts at p is from p + first on
+                    chosen |= slide(active, size, np.minimum, none)[first : first + count] == least
+                at = np.flatnonzero(chosen)
+                for part in np.array_split(at, max(1, len(at) // 200_000)):
+                    n = len(part)
+                    yield (np.full(n, doc[i]), np.full(n, body[i]), part, buffers.span_hash(prefix, part, part + half),
+                           buffers.span_hash(prefix, part + half, part + LENGTH))
+
+    yield from _batched(rows(), ["doc", "body", "at", "a", "b"])
 
 
 def _keyed_columns() -> list[Column]:
@@ -117,62 +170,95 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(*_keyed_columns())
 
 
-def repeated_starts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(copies, starts) by doc and body: texts that stand with a smaller id, and
-    for the others the sorted ``starts`` of strings that also start earlier."""
+def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key other rows have as well; rows with a null in the key are left out."""
+    given = rows.dropna(subset=key)
+    groups = materialize(given.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    return weighted_join(given, groups, key, "n", given.count()).drop("n")
+
+
+def _copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc and body of the first document with each text, and of the others."""
+    sums = materialize(texts.select("doc", "body", F.xxhash64(F.lit(5), "text").alias("more")), "sums")
+    groups = materialize(sums.groupBy("body", "more").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "groups")
+    copies = weighted_join(sums, groups.where("n > 1"), ["body", "more"], "n", sums.count()).where("doc > first")
+    copies = materialize(copies.select(*_KEY).distinct(), "copies")
+    release(sums)
+    return groups.select(F.col("first").alias("doc"), "body"), copies
+
+
+def repeated_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(copies, runs) by doc and body: texts that stand with a smaller id, and for the others
+    runs of starts, from ``low`` to ``high``, of strings that also start earlier."""
     texts = _keyed(documents).where(F.octet_length("text") >= LENGTH)
-    sums = materialize(texts.select("doc", "body", F.xxhash64(F.lit(5), "text").alias("more")), "texts")
-    first = sums.groupBy("body", "more").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first, "copied")
-    copies = weighted_join(sums, first, ["body", "more"], "n", sums.count()).where("doc > first").select(*_KEY).distinct()
-    copies = materialize(copies, "copies")
-    found = texts.mapInArrow(_anchor_rows, "doc long, body long, at long, rank long").join(
-        copies.hint("shuffle_hash"), _KEY, "left_anti")
-    found = materialize(found, "anchors")
-    again = materialize(found.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1"), "ranks")
-    near = weighted_join(found, again, ["rank"], "n", found.count()).groupBy(*_KEY).agg(
-        F.array_sort(F.collect_set("at")).alias("near"))
-    pairs = texts.join(near.hint("merge"), _KEY).mapInArrow(_pair_rows, "doc long, body long, at long, a long, b long")
-    pairs = materialize(pairs, "rank-pairs")
+    firsts, copies = _copies(texts)
+    # 1. ANCHOR bytes; equal texts have one name, so they do not make a rank repeated
+    found = materialize(texts.mapInArrow(_anchor_rows, "rank long, body long, times long"), "anchors")
+    again = found.groupBy("rank").agg(F.min("body").alias("a"), F.max("body").alias("b"), F.max("times").alias("times"), F.count("*").alias("n"))
+    again = materialize(again.where("a <> b OR times > 1").select("rank", "n"), "ranks")
+    near = weighted_join(found.select("rank", "body"), again, ["rank"], "n", found.count()).groupBy("body").agg(F.collect_set("rank").alias("near"))
+    near = materialize(near.join(firsts.hint("merge"), "body"), "near")
+    release(found, again)
+    # 2. the whole context
+    schema = "doc long, body long, at long, rank long, whole long, right long, left long, low long, high long"
+    contexts = materialize(texts.join(near.hint("merge"), _KEY).mapInArrow(_context_rows, schema), "contexts")
+    release(near)
+    first = F.min(F.struct("doc", "at", "body", "right", "left")).alias("first")
+    groups = materialize(contexts.groupBy("rank", "whole").agg(first, F.count("*").alias("n")), "groups")
+    settled = weighted_join(
+        contexts.select("doc", "body", "at", "rank", "whole", "low", "high"),
+        groups.where("n > 1").select("rank", "whole", "n", F.struct("first.doc", "first.at").alias("first")),
+        ["rank", "whole"], "n", contexts.count()).where(F.struct("doc", "at") > F.col("first"))
+    settled = materialize(settled.select(*_KEY, "low", "high"), "settled")
+    # 3. two thirds of the length, on and back
+    left = groups.select("rank", "first.*")
+    on, back = (_repeated(left.select(*_KEY, "at", "rank", side), ["rank", side]) for side in ("right", "left"))
+    active = on.select(*_KEY, "at", F.lit(1).alias("side")).unionByName(back.select(*_KEY, "at", F.lit(2).alias("side")))
+    near = materialize(active.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "side")).alias("near")), "near")
+    release(contexts, groups)
+    # 4. the strings themselves
+    pairs = materialize(texts.join(near.hint("merge"), _KEY).mapInArrow(_pair_rows, "doc long, body long, at long, a long, b long"), "rank-pairs")
     twice = pairs.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     twice = materialize(twice, "repeated-pairs")
     later = weighted_join(pairs, twice, ["a", "b"], "n", pairs.count()).where(F.struct("doc", "at") > F.col("first"))
-    return copies, later.groupBy(*_KEY).agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    later = materialize(later.select(*_KEY, F.col("at").alias("low"), F.col("at").alias("high")), "later")
+    release(near, pairs, twice)
+    return copies, settled.unionByName(later)
 
 
-def _kept(text: np.ndarray, whole: bool, starts: np.ndarray | None) -> tuple[bytes, int]:
+def _kept(text: np.ndarray, whole: bool, runs: pa.Array | None) -> tuple[bytes, int]:
     """The bytes that stay and the number of removed runs."""
     if whole:
         return b"", 1
-    if starts is None or not len(starts):
+    if runs is None or not len(runs):
         return text.tobytes(), 0
-    gone = _covered(starts, LENGTH, len(text))
+    gone = _covered(np.asarray(runs.field("low")), np.asarray(runs.field("high")), len(text))
     return text[~gone].tobytes(), int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes ``kept`` of every row."""
-    copies, starts = repeated_starts(documents)
-    marks = copies.withColumns({"whole": F.lit(True), "starts": F.lit(None).cast("array<long>")}).unionByName(
-        starts.withColumn("whole", F.lit(False)))
+    copies, runs = repeated_runs(documents)
+    runs = runs.groupBy(*_KEY).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    marks = copies.withColumns({"whole": F.lit(True), "runs": F.lit(None).cast(runs.schema["runs"].dataType)}).unionByName(
+        runs.withColumn("whole", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers.utf8(batch.column("text"))
-            whole, starts = batch.column("whole"), batch.column("starts")
+            whole, runs = batch.column("whole"), batch.column("runs")
             for low, high in buffers.row_chunks(offsets, 16 << 20):
                 rows = []
                 for i in range(low, high):
                     text = data[offsets[i] : offsets[i + 1]]
-                    at = np.asarray(starts[i].values) if starts[i].is_valid else None
-                    kept, spans = _kept(text, bool(whole[i].as_py()), at)
+                    kept, spans = _kept(text, bool(whole[i].as_py()), runs[i].values if runs[i].is_valid else None)
                     rows.append((len(text), len(text) - len(kept), spans, kept))
                 arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(low, high - low), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_keyed_columns())
-    return rows.join(marks, _KEY, "left").select("doc_id", "text", "whole", "starts").mapInArrow(
+    return rows.join(marks, _KEY, "left").select("doc_id", "text", "whole", "runs").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
