@@ -1,12 +1,13 @@
 """Mixing of sources to target weights: iterative proportional fitting, in DataFrame functions only.
 
-Documents fall into cells by source, language and topic. The token counts of the
-cells are raked, one margin after the other, to the target margins; the factor
-of a cell, scaled so that the expected sample holds PART of all tokens, is the
-probability that a document of the cell is sampled. Cells that would need more
-than their documents are taken whole; the others keep the raked proportions.
+Documents fall into cells by source, language and topic. The default targets
+flatten each margin: a share s becomes s**FLATTEN, scaled so that PART of all tokens is
+drawn. A value whose target is above all the tokens it has gets these, and the
+other values of its margin share the rest. Starting from PART, the weights of the
+cells are raked to one margin after the other; what a weight above 1 cannot draw counts as
+missing, so that the other cells of the margin make up for it. The weight, at most 1, is the
+probability that a document of the cell is sampled.
 
-The default targets flatten each margin: a share s becomes s**FLATTEN, scaled to 1.
 The topic is the layout of the text: ``symbols`` if at least a twentieth of the
 characters are signs, ``lines`` if there is a line break in every 200
 characters, else ``prose``.
@@ -29,7 +30,7 @@ from cohortlab.scratch import materialize
 
 MARGINS = ("src", "lng", "topic")
 FLATTEN = 0.7
-ROUNDS = 8
+ROUNDS = 12
 #: Share of all tokens that is drawn, and steps to find the scale for it.
 PART = 0.5
 STEPS = 12
@@ -52,60 +53,64 @@ def described(documents: DataFrame) -> DataFrame:
     )
 
 
-def default_targets(cells: DataFrame) -> dict[str, DataFrame]:
-    """For each margin its values and target shares."""
+def default_targets(cells: DataFrame, part: float = PART) -> dict[str, DataFrame]:
+    """For each margin its values and the tokens to draw of them, never more than there are."""
     targets = {}
     for margin in MARGINS:
-        sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t"))
-        raised = sums.select(margin, F.pow("t", F.lit(FLATTEN)).alias("share"))
-        whole = raised.agg(F.sum("share").alias("whole"))
-        targets[margin] = raised.join(F.broadcast(whole)).select(margin, (F.col("share") / F.col("whole")).alias("share"))
+        sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("tokens"))
+        # wanted of every token, up to a scale for the whole margin
+        wanted = materialize(sums.select(
+            margin, "tokens", F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(FLATTEN)) / F.col("tokens")).otherwise(0.0).alias("factor")), "wanted")
+        scale = calibrated_scale(wanted, part)
+        targets[margin] = materialize(
+            wanted.select(margin, (F.col("tokens") * F.least(F.col("factor") * scale, F.lit(1.0))).alias("target")), f"target-{margin}")
     return targets
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``factor``: tokens * factor has the target margins, up to the precision of the rounds.
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, part: float = PART) -> DataFrame:
+    """Cells with ``factor``: tokens * least(factor, 1) has the target margins, up to the precision of the rounds.
 
     ``cells`` has one row for each source, language and topic that occur together.
     """
-    targets = targets or default_targets(cells)
-    now = cells.select(*MARGINS, "tokens", F.lit(1.0).alias("factor"))
-    stored = {m: materialize(t, f"target-{m}") for m, t in targets.items()}
+    targets = targets or default_targets(cells, part)
+    now = cells.select(*MARGINS, "tokens", F.lit(part).alias("factor"))
     for _ in range(rounds):
         for margin in MARGINS:
-            sums = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("factor")).alias("has")).join(stored[margin], margin)
+            drawn = F.sum(F.col("tokens") * F.least(F.col("factor"), F.lit(1.0)))
+            sums = now.groupBy(margin).agg(drawn.alias("has")).join(targets[margin], margin)
             now = now.join(sums, margin).select(
                 *MARGINS, "tokens",
-                F.when(F.col("has") > 0, F.col("factor") * F.col("share") / F.col("has")).otherwise(F.col("factor")).alias("factor"),
+                F.when(F.col("has") > 0, F.col("factor") * F.col("target") / F.col("has")).otherwise(F.col("factor")).alias("factor"),
             )
         now = materialize(now, "raked")
     return now
 
 
 def calibrated_scale(factors: DataFrame, part: float = PART, steps: int = STEPS) -> float:
-    """The number c for which min(1, c * factor) draws ``part`` of all tokens, as expected.
+    """The number c for which min(1, c * factor) draws ``part`` of all tokens.
 
-    Each step gives the cells that are drawn whole their tokens and scales the others to the rest.
+    Each step gives the rows that are drawn whole their tokens and scales the others to the rest.
     """
-    scale = 0.0
+    scale, before = 0.0, -1.0
     for _ in range(steps):
+        if scale == before:
+            break
         full = F.col("factor") * scale >= 1.0
         rest, mass = factors.agg(
             F.sum("tokens") * part - F.sum(F.when(full, F.col("tokens")).otherwise(0)),
             F.sum(F.when(~full, F.col("tokens") * F.col("factor"))),
         ).first()
-        scale = rest / mass if mass else 1.0
+        scale, before = (rest / mass if mass else 1.0), scale
     return scale
 
 
 def sampled(documents: DataFrame) -> DataFrame:
     """Every document with its cell, sampling probability and whether it is drawn."""
-    rows = described(documents)
+    # texts are measured once; what follows reads a few numbers for each document
+    rows = materialize(described(documents), "described")
     cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    factors = rake(cells)
-    scale = calibrated_scale(factors)
     chances = materialize(
-        factors.select(*MARGINS, F.round(F.least(F.col("factor") * scale, F.lit(1.0)), 9).alias("prob")), "chances")
+        rake(cells).select(*MARGINS, F.round(F.least(F.col("factor"), F.lit(1.0)), 9).alias("prob")), "chances")
 
     return rows.join(broadcast_if_small(chances, 100_000), list(MARGINS)).select(
         "doc_id", F.col("src").alias("source_name"), F.col("lng").alias("language"), "topic", "n_tokens", "prob",
@@ -124,22 +129,22 @@ def keep_drawn(documents: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    steps, name = [], "f0"
+    targets, steps, name = [], [], "f0"
+    for m in MARGINS:
+        targets.append(f"""w_{m} AS MATERIALIZED (SELECT {m}, tokens, CASE WHEN tokens > 0 THEN pow(tokens, {FLATTEN}) / tokens ELSE 0.0 END::DOUBLE AS factor
+  FROM (SELECT {m}, sum(tokens)::DOUBLE AS tokens FROM cells GROUP BY {m})), s_{m}_0 AS (SELECT 0.0::DOUBLE AS c)""")
+        targets += [f"""s_{m}_{i + 1} AS MATERIALIZED (SELECT coalesce((sum(tokens) * {PART} - coalesce(sum(tokens) FILTER (factor * c >= 1.0), 0))
+  / nullif(sum(tokens * factor) FILTER (factor * c < 1.0), 0), 1.0)::DOUBLE AS c FROM w_{m}, s_{m}_{i})""" for i in range(STEPS)]
+        targets.append(f"t_{m} AS MATERIALIZED (SELECT {m}, tokens * least(factor * c, 1.0) AS target FROM w_{m}, s_{m}_{STEPS})")
     for i in range(ROUNDS):
         for j, margin in enumerate(MARGINS):
             new = f"f{i * len(MARGINS) + j + 1}"
             steps.append(f"""{new} AS MATERIALIZED (
   SELECT c.src, c.lng, c.topic, c.tokens,
-         CASE WHEN s.has > 0 THEN c.factor * t.share / s.has ELSE c.factor END AS factor
-  FROM {name} c JOIN (SELECT {margin}, sum(tokens * factor) AS has FROM {name} GROUP BY {margin}) s USING ({margin})
+         CASE WHEN s.has > 0 THEN c.factor * t.target / s.has ELSE c.factor END AS factor
+  FROM {name} c JOIN (SELECT {margin}, sum(tokens * least(factor, 1.0)) AS has FROM {name} GROUP BY {margin}) s USING ({margin})
   JOIN t_{margin} t USING ({margin}))""")
             name = new
-    targets = ",\n".join(
-        f"""t_{m} AS MATERIALIZED (SELECT {m}, pow(t, {FLATTEN}) / sum(pow(t, {FLATTEN})) OVER () AS share
-  FROM (SELECT {m}, sum(tokens)::DOUBLE AS t FROM cells GROUP BY {m}))""" for m in MARGINS)
-    scales = ",\n".join(
-        f"""s{i + 1} AS MATERIALIZED (SELECT coalesce((sum(tokens) * {PART} - coalesce(sum(tokens) FILTER (factor * c >= 1.0), 0))
-  / nullif(sum(tokens * factor) FILTER (factor * c < 1.0), 0), 1.0)::DOUBLE AS c FROM {name}, s{i})""" for i in range(STEPS))
     return f"""
 WITH x AS (
   SELECT doc_id, coalesce(source, '') AS src, coalesce(lang, '') AS lng, coalesce(text, '') AS text FROM documents
@@ -156,12 +161,11 @@ WITH x AS (
   FROM measured
 ), cells AS MATERIALIZED (
   SELECT src, lng, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL
-), {targets},
-f0 AS (SELECT *, 1.0::DOUBLE AS factor FROM cells),
+), {", ".join(targets)},
+f0 AS (SELECT *, {PART}::DOUBLE AS factor FROM cells),
 {", ".join(steps)},
-s0 AS (SELECT 0.0::DOUBLE AS c), {scales},
 chances AS (
-  SELECT src, lng, topic, round(least(factor * (SELECT c FROM s{STEPS}), 1.0), 9) AS prob FROM {name})
+  SELECT src, lng, topic, round(least(factor, 1.0), 9) AS prob FROM {name})
 SELECT d.doc_id, d.src AS source_name, d.lng AS language, d.topic, d.n_tokens, c.prob,
        {u_sql(4, "coalesce(d.doc_id::VARCHAR, '')")} < c.prob AS drawn
 FROM docs d JOIN chances c ON d.src = c.src AND d.lng = c.lng AND d.topic = c.topic

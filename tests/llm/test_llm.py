@@ -67,6 +67,10 @@ def test_repeats(spark, documents, odd, empty):
     passage = "".join(f"{i * 7919 % 1000:03d}" for i in range(60))
     made = {10_000_001: "ab" * 200, 10_000_002: "x" + passage + "y" + passage, 10_000_003: passage[:99], 10_000_004: passage[5:105] + "é",
             10_000_005: "x" + passage + "y" + passage, 10_000_006: ""}
+    # texts made of the same pieces, so that repeats begin and end anywhere and overlap
+    rng = np.random.default_rng(9)
+    pool = ["".join(rng.choice(list("abé ") if k % 3 else list("ab"), rng.integers(5, 260))) for k in range(30)]
+    made |= {20_000_000 + k: "".join(rng.choice(pool, rng.integers(1, 9))) for k in range(300)}
     texts = {r.doc_id: r.text for r in documents.collect()} | made
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(table).collect()}
@@ -265,13 +269,30 @@ def test_mixing(odd, empty):
 
 
 def test_raked_margins(spark):
-    cells = spark.createDataFrame([("a", "x", "p", 100), ("a", "y", "p", 10), ("b", "x", "q", 50), ("b", "y", "p", 40), ("a", "x", "q", 5)],
-                                  "src string, lng string, topic string, tokens long")
-    got = mixing.rake(cells, rounds=30).toPandas()
-    got["mass"] = got.tokens * got.factor
-    for margin, target in mixing.default_targets(cells).items():
-        want = {r[margin]: r["share"] for r in target.collect()}
-        assert got.groupby(margin).mass.sum().to_dict() == pytest.approx(want, abs=1e-3)
+    """The drawn tokens have the target margins, though two cells are drawn whole."""
+    cells = spark.createDataFrame([("a", "x", "p", 1000), ("a", "y", "p", 60), ("b", "x", "q", 50), ("b", "y", "p", 40), ("a", "x", "q", 300),
+                                   ("b", "x", "p", 200), ("a", "y", "q", 90)], "src string, lng string, topic string, tokens long")
+    targets = mixing.default_targets(cells)
+    got = mixing.rake(cells, targets, rounds=60).toPandas()
+    got["drawn"] = got.tokens * got.factor.clip(upper=1.0)
+    assert (got.factor > 1).sum() >= 1
+    for margin, target in targets.items():
+        want = {r[margin]: r["target"] for r in target.collect()}
+        assert sum(want.values()) == pytest.approx(mixing.PART * got.tokens.sum())
+        assert got.groupby(margin).drawn.sum().to_dict() == pytest.approx(want, rel=2e-3)
+
+
+def test_drawn_margins(spark, documents):
+    """On the small table the expected tokens of every margin are within 2 percent of all drawn ones from the target."""
+    rows = mixing.described(documents)
+    cells = rows.groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    targets = mixing.default_targets(cells)
+    drawn = mixing.sampled(documents).withColumnsRenamed({"source_name": "src", "language": "lng"}).toPandas()
+    drawn["mass"] = drawn.n_tokens * drawn.prob
+    for margin, target in targets.items():
+        has = drawn.groupby(margin).mass.sum()
+        for r in target.collect():
+            assert abs(has[r[margin]] - r["target"]) < 0.02 * drawn.mass.sum(), (margin, r)
 
 
 def test_language(spark, documents, odd, empty):
