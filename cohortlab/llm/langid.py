@@ -1,6 +1,6 @@
 """Language of a text: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Character n-grams (of the lower-cased UTF-8 bytes, orders 1 to 4) are hashed to
+Character n-grams (of the lower-cased code points, orders 1 to 4) are hashed to
 2**BITS buckets; a row is log(1 + count) * idf, scaled to length 1. The weights
 are fitted with follow-the-regularised-leader steps and elastic-net penalties,
 which leaves most of them zero; a temperature fitted on held-back rows turns
@@ -8,7 +8,7 @@ the outputs into probabilities. Document frequencies are counted over all
 documents that may be learned from; the weights are fitted on a bounded sample.
 
 Defined cases: a null text or one without a letter gives ``und`` with score 0;
-rows with a null lang or id are not learned from; with a single language it is
+rows with a null lang or id are not learned from, and of rows that repeat an id the weights see one; with a single language it is
 predicted with score 1; without any, every row is ``und``; repeated rows are predicted one by one;
 an empty table gives no rows. Only the named columns are read.
 """
@@ -37,22 +37,28 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def gram_buckets(data: np.ndarray) -> np.ndarray:
+def code_points(data: np.ndarray) -> np.ndarray:
+    """The code points of UTF-8 bytes."""
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+
+def gram_buckets(points: np.ndarray) -> np.ndarray:
     """The bucket of every n-gram of one text."""
-    out, running = [], np.zeros(len(data), np.uint32)
+    out, running = [], np.zeros(len(points), np.uint32)
     for order in range(1, max(ORDERS) + 1):
-        n = len(data) - order + 1
+        n = len(points) - order + 1
         if n <= 0:
             break
-        running = running[:n] * np.uint32(0x01000193) + data[order - 1 :] + np.uint32(1)
-        mixed = (running ^ np.uint32(order)) * np.uint32(0x9E3779B1)
+        running = running[:n] * np.uint32(0x01000193) + points[order - 1 :] + np.uint32(1)
+        mixed = (running ^ np.uint32(order)) * np.uint32(0x85EBCA6B)
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x9E3779B1)
         out.append(mixed >> np.uint32(32 - BITS))
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and how often each occurs."""
-    all_ = np.bincount(gram_buckets(data), minlength=_SIZE)
+    all_ = np.bincount(gram_buckets(code_points(data)), minlength=_SIZE)
     at = np.flatnonzero(all_)
     return at, all_[at]
 
@@ -128,26 +134,31 @@ def fit_temperature(outputs: np.ndarray, label: np.ndarray) -> float:
 
 
 def fit(examples: list[tuple[np.ndarray, np.ndarray]], names: list[str], idf: np.ndarray, passes: int = 3) -> Model:
-    """Fit on (buckets, counts) rows; every sixth is held back for the temperature."""
+    """Fit on (buckets, counts) rows; every sixth is held back for the temperature.
+
+    Rows are weighed whenever they are used: weighted copies of all of them would take several times the memory.
+    """
     languages = sorted(set(names))
     model = Model(languages, idf, np.zeros((len(languages), _SIZE)), np.zeros(len(languages)), 1.0)
     if len(languages) < 2:
         return model
     label = np.array([languages.index(n) for n in names])
-    rows = []
-    for at, n in examples:
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, n = examples[i]
         x = np.log1p(n) * idf[at]
-        rows.append((at, x / max(np.sqrt(x @ x), 1e-12)))
-    back = np.arange(len(rows)) % 6 == 5
+        return at, x / max(np.sqrt(x @ x), 1e-12)
+
+    back = np.arange(len(examples)) % 6 == 5
     leader, order, rng = Ftrl(len(languages)), np.flatnonzero(~back), np.random.default_rng(3)
     for _ in range(passes):
         rng.shuffle(order)
         for i in order:
-            leader.step(*rows[i], label[i])
+            leader.step(*row(i), label[i])
     w = leader.weights(slice(None))
     model.weight, model.bias = np.ascontiguousarray(w[:, :_SIZE]), w[:, _SIZE]
     if back.any():
-        model.temperature = fit_temperature(np.array([model.outputs(*rows[i]) for i in np.flatnonzero(back)]), label[back])
+        model.temperature = fit_temperature(np.array([model.outputs(*row(i)) for i in np.flatnonzero(back)]), label[back])
     return model
 
 
@@ -175,17 +186,21 @@ def train(documents: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     table = known.select(F.col("text").cast("string")).mapInArrow(_frequency_rows, "bucket long, n long")
     # at most 2**BITS + 1 rows
-    found = table.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = table.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(_SIZE + 1)
-    seen[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    seen[found["bucket"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + seen[_SIZE]) / (1 + seen[:_SIZE])) + 1.0
     order = F.xxhash64("doc_id").alias("order")
     # the bound on the hash is found without reading texts
     chosen = known.select(order).orderBy("order").limit(rows).agg(F.max("order")).first()[0]
     sample = known.select(order, F.col("lang").cast("string"), F.col("text").cast("string")).where(F.col("order") <= F.lit(chosen))
-    got = sample.mapInArrow(_count_rows, "order long, lang string, at array<int>, n array<int>").toPandas()
-    got = got.sort_values(["order", "lang"], kind="stable")
-    return fit([(np.asarray(a, np.int64), np.asarray(n)) for a, n in zip(got["at"], got["n"], strict=True)], list(got["lang"]), idf)
+    got = sample.mapInArrow(_count_rows, "order long, lang string, at array<int>, n array<int>")
+    # one row for each id, however often it occurs: rows * 2**BITS numbers at most
+    got = got.groupBy("order").agg(F.min(F.struct("lang", "at", "n")).alias("r")).select("order", "r.*").toArrow()
+    place = np.argsort(got["order"].to_numpy(), kind="stable")
+    names, buckets, numbers = got["lang"].to_pylist(), got["at"], got["n"]
+    # views of the received table
+    return fit([(np.asarray(buckets[i].values), np.asarray(numbers[i].values)) for i in place.tolist()], [names[i] for i in place], idf)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:

@@ -8,7 +8,7 @@ with hinge loss is fitted on the scaled vectors by dual coordinate descent.
 A logistic curve fitted on held-back margins turns margins into scores.
 
 Defined cases: null and empty texts have no n-gram and get the score of the
-intercept; repeated rows and ids are scored one by one; a label other than 0 and
+intercept; repeated rows and ids are scored one by one, but learned from once; a label other than 0 and
 1, and a null label or id, is not learned from; without examples of both classes
 every score is the share of the class there is (0.5 without any). Only the named
 columns are read, so further columns may have any name.
@@ -92,19 +92,17 @@ class Indicators:
         self._slot[key] = at  # the last one written stands for all equal keys
         return self._slot[key] == at
 
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row, bucket) arrays for all n-grams of the given rows.
-
-        Each order is made distinct by itself: orders share no n-gram, and the
-        few buckets that two orders share count twice.
-        """
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (row, bucket) pairs of all n-grams of the given rows; a bucket that two orders share counts once."""
         rows = len(offsets) - 1
         byte_row = np.repeat(np.arange(rows), np.diff(offsets))
         shape, shape_row = _shapes(data, offsets)
-        for values, row, orders, salt in ((data, byte_row, BYTE_ORDERS, 1), (shape, shape_row, SHAPE_ORDERS, 2)):
-            for bucket, of in _grams(values, row, orders, salt):
-                keep = self._first(of * _SIZE + bucket, rows * _SIZE)
-                yield of[keep], bucket[keep]
+        keys = [of * _SIZE + bucket
+                for values, row, orders, salt in ((data, byte_row, BYTE_ORDERS, 1), (shape, shape_row, SHAPE_ORDERS, 2))
+                for bucket, of in _grams(values, row, orders, salt)]
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        key = key[self._first(key, rows * _SIZE)]
+        return key >> BITS, key & (_SIZE - 1)
 
 
 #: Rows and bytes of one chunk: the slots take 4 * 2**BITS bytes a row.
@@ -229,8 +227,7 @@ def _indicator_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         out: list[np.ndarray] = []
         for i in range(batch.num_rows):
             o = offsets[i : i + 2]
-            parts = [bucket for _, bucket in indicators.of(data[o[0] : o[1]], o)]
-            out.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64))
+            out.append(np.sort(indicators.of(data[o[0] : o[1]], o)[1]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("order"), batch.column("y"), pa.array(out, pa.list_(pa.int32()))], ["order", "y", "x"]
         )
@@ -251,7 +248,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows:
         .limit(rows)
     )
     texts = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("order", "y", "text")
-    found = texts.mapInArrow(_indicator_rows, "order long, y int, x array<int>").toArrow()
+    rows_ = texts.mapInArrow(_indicator_rows, "order long, y int, x array<int>")
+    # one row for each id, however often it occurs
+    found = rows_.groupBy("order").agg(F.min(F.struct("y", "x")).alias("r")).select("order", "r.*").toArrow()
     order = np.argsort(found["order"].to_numpy(), kind="stable")
     label = np.where(found["y"].to_numpy() > 0, 1.0, -1.0)
     sets = [np.asarray(x.values) for x in found["x"]]  # views of the received table
@@ -272,11 +271,9 @@ class Scorer:
         margin = np.zeros(len(offsets) - 1)
         for first, last in _chunks(offsets):
             o = offsets[first : last + 1]
-            total, length = np.zeros(last - first), np.zeros(last - first)
-            for row, bucket in self.indicators.of(data[o[0] : o[-1]], o):
-                both = self.table[bucket]
-                total += np.bincount(row, both[:, 0], last - first)
-                length += np.bincount(row, both[:, 1], last - first)
+            row, bucket = self.indicators.of(data[o[0] : o[-1]], o)
+            both = self.table[bucket]
+            total, length = (np.bincount(row, both[:, c], last - first) for c in (0, 1))
             margin[first:last] = total / np.sqrt(np.maximum(length, 1e-24))
         return self.model.score(margin + self.model.bias)
 

@@ -304,6 +304,19 @@ def test_language(spark, documents, odd, empty):
     assert langid.predict(empty, langid.train(empty)).count() == 0
 
 
+def test_language_of_other_scripts(spark):
+    """Three scripts of few characters; an id that occurs very often is learned from once."""
+    rng = np.random.default_rng(3)
+    scripts = {"zh": "的一是不了人我在有他这中大来上国", "ru": "абвгдежзиклмнопрст", "en": "abcdefghiklmnoprstu"}
+    rows = [(i, "".join(rng.choice(list(scripts[k]), 30)), k) for i in range(300) for k in [list(scripts)[i % 3]]]
+    table = spark.createDataFrame(rows + [rows[0]] * 2000, "doc_id long, text string, lang string")
+    model = langid.train(table, rows=200)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(table, model).collect()}
+    assert got == {i: k for i, _, k in rows}
+    points = langid.code_points(np.frombuffer("é你😀".encode(), np.uint8))
+    assert points.tolist() == [0xE9, 0x4F60, 0x1F600] and len(langid.gram_buckets(points)) == 3 + 2 + 1
+
+
 def test_personal_data(odd, empty):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -351,6 +364,29 @@ def test_quality(odd, empty):
         assert rows.count() == table.count() and rows.where(~F.col("score").between(0, 1)).count() == 0
 
 
+def test_indicators_are_a_set():
+    """Scoring sees the same buckets as fitting, each once."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefgh ABC,.01"), 4000)) for _ in range(3)] + ["", "x"]
+    from cohortlab.llm import buffers
+    import pyarrow as pa
+
+    data, offsets = buffers.utf8(pa.array(texts))
+    row, bucket = quality.Indicators().of(data, offsets)
+    assert len(set(zip(row.tolist(), bucket.tolist()))) == len(row)
+    model = quality.Model(rng.normal(size=quality._SIZE), 0.1, 1.0, 0.0)
+    model.scale = rng.normal(size=quality._SIZE)
+    alone = quality.margins([bucket[row == i] for i in range(5)], model.scale, model.weight / model.scale, 0.1)
+    assert quality.Scorer(model)(pa.array(texts)) == pytest.approx(model.score(alone))
+
+
+def test_quality_of_held_out_documents(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in quality.op10_quality(spark, sf_dir).collect() if r.held_out and r.doc_id in truth]
+    assert len(rows) > 50 and np.mean([r.predicted == truth[r.doc_id] for r in rows]) > 0.95
+
+
 def test_registry():
     names = registry.queries()
     assert len(names) == 14 and set(registry.oracle_sql()) <= set(names)
