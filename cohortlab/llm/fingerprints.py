@@ -20,12 +20,12 @@ neighbour; an empty table gives no rows. Only the named columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlab.scratch import materialize
-
-K, S = 6, 3
+K, S = 8, 4
 PIECE = r"\p{Lu}?\p{Ll}{1,12}|\p{Nd}{1,4}|[^\x20\x09-\x0D]"
 _LEAST = -(1 << 63)
 
@@ -91,28 +91,26 @@ def cut_points(rows: DataFrame, key: str, tie: str) -> list[tuple[int, int]]:
     return sorted(cuts)
 
 
-def with_next(rows: DataFrame, key: str, tie: str, cuts: list[tuple[int, int]], value: str) -> DataFrame:
-    """``rows`` with ``next``, the ``value`` of the row that follows in descending (key, tie); the last takes the first.
+def with_next(rows: DataFrame, key: str, tie: str, cuts: list[tuple[int, int]], values: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``make(rows)`` with ``next``, a struct of the ``values`` of the row that follows in descending (key, tie); the last takes the first.
 
-    The rows are cut into ranges; a window finds the successor inside a range,
-    and the last row of each range joins the first row of the next range that has any.
+    The rows are cut into ranges, and the last row of a range is followed by a copy of
+    the first row of the next range that has any, so that one window finds all successors.
     """
     place = F.struct(F.col(key), F.col(tie))
     pair = "struct<k:bigint,t:bigint>"
     borders = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t")) for k, t in cuts]).cast(f"array<{pair}>")
-    rows = rows.withColumn("_range", F.aggregate(borders, F.lit(0), lambda n, x: n + (x < place.cast(pair)).cast("int")))
+    ranged = rows.withColumn("_range", F.aggregate(borders, F.lit(0), lambda n, x: n + (x < place.cast(pair)).cast("int")))
     # one row for each range
-    heads = rows.groupBy("_range").agg(F.max(place).alias("h")).select("_range", F.col(f"h.{key}").alias("_k"), F.col(f"h.{tie}").alias("_t")).collect()
+    heads = ranged.groupBy("_range").agg(F.max(place).alias("h")).select("_range", F.col(f"h.{key}").alias("_k"), F.col(f"h.{tie}").alias("_t")).collect()
     ranges = sorted((r["_range"] for r in heads), reverse=True)
     before = {b: a for a, b in zip(ranges, ranges[1:] + ranges[:1], strict=True)}
     first = rows.sparkSession.createDataFrame([(before[r["_range"]], r["_k"], r["_t"]) for r in heads], "_range int, _k long, _t long")
-    window = Window.partitionBy("_range").orderBy(F.col(key).desc(), F.col(tie).desc())
-    inside = rows.withColumn("next", F.lead(F.struct(value)).over(window))
     # rows that repeat an id and text are the same head
-    found = rows.drop("_range").join(F.broadcast(first), (F.col(key) == F.col("_k")) & (F.col(tie) == F.col("_t"))).select(
-        "_range", F.struct(value).alias("head")).dropDuplicates(["_range"])
-    ends = inside.where("next IS NULL").drop("next").join(found.hint("merge"), "_range").withColumnRenamed("head", "next")
-    return inside.where("next IS NOT NULL").unionByName(ends).withColumn("next", F.col(f"next.{value}")).drop("_range")
+    copies = rows.join(F.broadcast(first), (F.col(key) == F.col("_k")) & (F.col(tie) == F.col("_t"))).dropDuplicates(["_range"])
+    both = make(ranged).withColumn("_copy", F.lit(False)).unionByName(make(copies.select(*ranged.columns)).withColumn("_copy", F.lit(True)))
+    window = Window.partitionBy("_range").orderBy("_copy", F.col(key).desc(), F.col(tie).desc())
+    return both.withColumn("next", F.lead(F.struct(*values)).over(window)).where("NOT _copy").drop("_range", "_copy")
 
 
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +122,15 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"_key": F.coalesce("doc_id", F.lit(_LEAST)), "_tie": F.xxhash64("text")})
     cuts = cut_points(rows, "_key", "_tie")
+    # the anchors go with their text, so that they are found once
+    rows = with_next(rows, "_key", "_tie", cuts, ["text", "own"], lambda r: with_anchors(r, "text", "own"))
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
-    edited = with_next(rows, "_key", "_tie", cuts, "text").select(
-        "doc_id", "_key", "_tie", n.cast("long").alias("n_chars"), "text",
-        F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut)).alias("edited"))
-    narrow = with_anchors(with_anchors(edited, "text", "own"), "edited", "new").select(
-        "doc_id", "_key", "_tie", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "new")
-    # the anchors are stored, so that the second walk reads no text
-    narrow = materialize(narrow, "anchors")
-    return with_next(narrow, "_key", "_tie", cuts, "own").select(
-        "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"),
-        likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"),
+    rows = rows.select(
+        "doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("other"),
+        F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut)).alias("edited"))
+    return with_anchors(rows, "edited", "new").select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"),
+        likeness("own", "new").alias("near_edited"), likeness("own", "other").alias("near_next"),
     )

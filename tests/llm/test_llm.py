@@ -105,15 +105,16 @@ def _anchors(names, hashes, pair):
 def test_anchors_by_brute_force(spark, documents):
     import regex
 
-    texts = [r.text for r in documents.limit(60).collect()] + ["漢字かな交じり文です" * 7, "aGVsbG8gd29ybGQ" * 9, "a b c d e f", "a b", "", "Ab1 " * 5]
+    texts = [r.text for r in documents.limit(60).collect()] + ["漢字かな交じり文です" * 7, "aGVsbG8gd29ybGQ" * 9, "a b c d e f g h", "a b c d e f g h i", "a b", "", "Ab1 " * 5]
     piece = regex.compile(fingerprints.PIECE)
     rows = [(i, t, piece.findall(t)) for i, t in enumerate(texts)]
     table = spark.createDataFrame(rows, "id long, text string, pieces array<string>")
+    size = fingerprints.S
     # the hashes come from Spark, all choices are made here
     hashed = table.withColumn("w", F.transform("pieces", lambda x: F.xxhash64(x))).withColumn("h", F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
+        F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(size)])))
     known = {r.id: r for r in hashed.withColumn("short", F.hash("w")).collect()}
-    pairs = {(a, b) for r in known.values() if len(r.pieces) >= 6 for a, b in zip(r.h, r.h[3:])}
+    pairs = {(a, b) for r in known.values() if len(r.pieces) >= fingerprints.K for a, b in zip(r.h, r.h[size:])}
     named = {(r.a, r.b): r.x for r in spark.createDataFrame(list(pairs), "a long, b long").withColumn("x", F.hash("a", "b")).collect()}
     for r in fingerprints.with_anchors(table, "text", "own").collect():
         want = _anchors(r.pieces, known[r.id].h, lambda a, b: named[a, b])
