@@ -90,9 +90,9 @@ def batch_sums(df: DataFrame, batch: str = "batch", g: str = "g") -> DataFrame:
 
 
 def running_group_metrics(df: DataFrame, batch: str = "batch", g: str = "g") -> DataFrame:
-    """State of each group after every batch that contains it."""
+    """State of each group after every batch that contains it; the rows are read once, their sums are stored."""
     sums = running_sums(
-        batch_sums(df, batch, g), [g], batch,
+        materialize(batch_sums(df, batch, g), "batch-sums"), [g], batch,
         {"processed": F.col("n"), "batches": F.lit(1), "_loss": F.col("loss_sum"), "_correct": F.col("correct_sum")},
     )
     return sums.select(
@@ -123,21 +123,45 @@ def running_overall(df: DataFrame, batch: str = "batch") -> DataFrame:
 
 
 def ema_group_loss(df: DataFrame, gamma: float = 0.1, batch: str = "batch", g: str = "g") -> DataFrame:
-    """Exponential average of each group's batch losses, started by its first batch.
+    """Exponential average of each group's batch losses, started by its first batch."""
+    sums = materialize(batch_sums(df, batch, g), "batch-sums")
+    return fold_batches(sums, gamma, batch, g).select(g, "batches", "exp_loss")
+
+
+def fold_batches(sums: DataFrame, gamma: float, batch: str = "batch", g: str = "g", before: DataFrame | None = None) -> DataFrame:
+    """Fold batch sums into each group's state: g, exp_loss, batches, n, loss_sum, correct_sum.
 
     The recurrence has a closed form: a batch counts with (1-gamma)^(later batches
-    of the group), times gamma unless it is the first. So it is a weighted sum,
-    and only the ordinal of each batch is needed.
+    of the group), times gamma unless it is the group's first. So it is a weighted
+    sum, and only the ordinal of each batch is needed. ``before`` is the state of
+    earlier batches. ``sums`` has one row for each group and batch and should be a stored table.
     """
-    means = batch_sums(df, batch, g).withColumn("_mean", F.col("loss_sum") / F.col("n"))
-    ordinal = running_sums(means, [g], batch, {"_t": F.lit(1)})
-    totals = means.groupBy(g).agg(F.count(F.lit(1)).alias("_last"))
-    weighted = ordinal.join(totals, g)  # one row per group on this side
-    weight = F.pow(F.lit(1.0 - gamma), F.col("_last") - F.col("_t"))
-    start = F.when(F.col("_t") == 1, F.lit(1.0)).otherwise(F.lit(gamma))
-    return weighted.groupBy(g).agg(
-        F.count(F.lit(1)).alias("batches"), F.sum(weight * start * F.col("_mean")).alias("exp_loss")
-    )
+    # one row for each group
+    totals = sums.groupBy(g).agg(F.count(F.lit(1)).alias("_last")).withColumnRenamed(g, "_g")
+    ordinal = running_sums(sums.withColumn("_mean", F.col("loss_sum") / F.col("n")), [g], batch, {"_t": F.lit(1)})
+    weighted = ordinal.join(totals, F.col(g).eqNullSafe(F.col("_g")))
+    decay = lambda n: F.pow(F.lit(1.0 - gamma), n)
+    # a group's first batch of all loses the factor gamma, see below
+    new = weighted.groupBy(g).agg(
+        F.count(F.lit(1)).alias("_batches"), F.sum(decay(F.col("_last") - F.col("_t")) * F.col("_mean") * gamma).alias("_exp"),
+        F.max(F.when(F.col("_t") == 1, F.col("_mean"))).alias("_first"),
+        F.sum("n").alias("_n"), F.sum("loss_sum").alias("_loss"), F.sum("correct_sum").alias("_correct"))
+    if before is None:
+        before = sums.sparkSession.createDataFrame([], FOLDED).withColumn("g", F.col("g").cast(sums.schema[g].dataType))
+    old = before.select(F.col("g").alias("_g"), *[F.col(c).alias(f"_o_{c}") for c in ("exp_loss", "batches", "n", "loss_sum", "correct_sum")])
+    both = new.join(old, F.col(g).eqNullSafe(F.col("_g")), "full_outer")
+    # before the first batch the average is that batch's mean
+    start = F.when(F.col("_o_batches").isNotNull(), F.col("_o_exp_loss")).otherwise(F.col("_first"))
+    exp_loss = F.when(F.col("_batches").isNull(), F.col("_o_exp_loss")).otherwise(F.col("_exp") + decay(F.col("_batches")) * start)
+    plus = lambda a, b: F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
+    return both.select(
+        F.when(F.col("_batches").isNotNull(), F.col(g)).otherwise(F.col("_g")).alias(g), exp_loss.alias("exp_loss"),
+        plus("_batches", "_o_batches").cast("long").alias("batches"), plus("_n", "_o_n").cast("long").alias("n"),
+        plus("_loss", "_o_loss_sum").alias("loss_sum"), plus("_correct", "_o_correct_sum").cast("double").alias("correct_sum"))
+
+
+#: The state of ``fold_batches``.
+FOLDED = "g string, exp_loss double, batches long, n long, loss_sum double, correct_sum double"
 
 
 def adjusted_loss(
