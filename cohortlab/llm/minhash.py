@@ -16,7 +16,8 @@ another component. That takes one row for each member and joins what belongs tog
 buckets. For buckets that still hold several components every pair of components has to be
 shown different: their members meet by shared rare shingles only. Of a set of n
 shingles in order of rarity, the first n - ceil(0.8 n) + 1 are looked up among the first
-n - ceil(8/9 n) + 1 of sets that are not larger; no pair with similarity 0.8 escapes that.
+n - ceil(8/9 n) + 1 of sets that are not larger, and only where the first shared one leaves
+enough shingles behind it in both sets; no pair with similarity 0.8 escapes that.
 Members of one component never meet, and no link between classes is lost. Classes are the
 connected components of the links.
 
@@ -232,14 +233,18 @@ def _bucket(parts: pa.Array) -> np.ndarray:
 
 
 def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, root, n, shingle of the rare shingles of each set; ``few`` marks those by which it is looked up as the smaller set."""
-    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+    """node, root, n, shingle of the rare shingles of each set; ``few`` marks those by which it is looked up as the smaller set.
+
+    ``slack``: with a share of s / (1 + s) of both sizes in common, a set of m shingles that shares no earlier
+    one needs ``slack`` >= m * s / (1 + s).
+    """
+    shared, least = sets.sparkSession.sparkContext.broadcast(_rarity(sets)), similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
             parts = batch.column("parts")
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             node, root = batch.column("node").to_numpy(), batch.column("root").to_numpy()
             for i in range(batch.num_rows):
                 h = np.asarray(parts[i].values)
@@ -247,12 +252,13 @@ def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
                 many = n - math.ceil(similarity * n - 1e-9) + 1
                 few = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
                 rare = h[np.lexsort((h, rarity[_bucket(h)]))[:many]]
-                for column, values in zip(out, (np.full(many, node[i]), np.full(many, root[i]), np.full(many, n), rare, np.arange(many) < few)):
+                for column, values in zip(out, (np.full(many, node[i]), np.full(many, root[i]), np.full(many, n), rare, np.arange(many) < few,
+                                                  n - np.arange(many) - least * n + 1e-6)):
                     column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["node", "root", "n", "shingle", "few"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["node", "root", "n", "shingle", "few", "slack"])
 
-    return sets.select("node", "root", "parts").mapInArrow(run, "node long, root long, n long, shingle long, few boolean")
+    return sets.select("node", "root", "parts").mapInArrow(run, "node long, root long, n long, shingle long, few boolean, slack double")
 
 
 def _meeting(sets: DataFrame, similarity: float) -> DataFrame:
@@ -262,12 +268,16 @@ def _meeting(sets: DataFrame, similarity: float) -> DataFrame:
     rows_ = materialize(rows.join(ends.hint("merge"), "shingle"), "shared")
     release(rows)
     # components meet first, so that the members of one component never do
-    smaller = rows_.where("few").select("shingle", "root").distinct()
-    larger = rows_.select("shingle", F.col("root").alias("lead_root")).distinct()
-    meet = smaller.join(larger.hint("merge"), "shingle").where("root <> lead_root")
-    pairs = meet.join(rows_.where("few").select("shingle", "root", "node", "n").hint("merge"), ["shingle", "root"]).join(
-        rows_.select("shingle", F.col("root").alias("lead_root"), F.col("node").alias("lead"), F.col("n").alias("m")).hint("merge"),
-        ["shingle", "lead_root"]).where((F.col("n") <= F.col("m")) & (F.col("n") >= similarity * F.col("m")))
+    least = similarity / (1 + similarity)
+    smaller = rows_.where("few").groupBy("shingle", "root").agg(F.max("slack").alias("slack"), F.min("n").alias("n"))
+    larger = rows_.groupBy("shingle", F.col("root").alias("lead_root")).agg(F.max("slack").alias("lead_slack"), F.min("n").alias("m"))
+    enough = (F.col("slack") >= least * F.col("m")) & (F.col("lead_slack") >= least * F.col("n"))
+    meet = smaller.join(larger.hint("merge"), "shingle").where((F.col("root") != F.col("lead_root")) & enough).select(
+        "shingle", "root", "lead_root")
+    pairs = meet.join(rows_.where("few").select("shingle", "root", "node", "n", "slack").hint("merge"), ["shingle", "root"]).join(
+        rows_.select("shingle", F.col("root").alias("lead_root"), F.col("node").alias("lead"), F.col("n").alias("m"),
+                     F.col("slack").alias("lead_slack")).hint("merge"),
+        ["shingle", "lead_root"]).where((F.col("n") <= F.col("m")) & (F.col("n") >= similarity * F.col("m")) & enough)
     found = materialize(pairs.select("node", "lead").distinct(), "meeting")
     release(rows_)
     return found
