@@ -122,7 +122,7 @@ def sample_split(
     if keep == 0:
         return df.where(outside)
     draw = u(seed, F.col(key))
-    last = kth_smallest(part.select(draw.alias("_u"), F.col(key)), ["_u", key], keep, n)
+    last = kth_smallest(part.select(draw.alias("_u"), F.col(key)), ["_u", key], keep)
     inside = at_most(["_u", key], last)
     return df.withColumn("_u", draw).where(outside | inside).drop("_u")
 

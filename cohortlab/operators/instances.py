@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions import arrays
 from cohortlab.functions.rand import below, u
-from cohortlab.functions.sizing import BROADCAST_ROWS, broadcast_if_small, fits
+from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.operators.ordering import dense_index, prefix_sums, running_sums
 from cohortlab.scratch import materialize
 
@@ -297,17 +297,6 @@ def assemble_pair(df: DataFrame, keys: Sequence[str], seed: int, max_seq_len: in
     }).drop("_la", "_lb", "_a", "_b", "tokens_a", "tokens_b")
 
 
-def vocab_array(vocab: DataFrame) -> Column:
-    """The vocabulary in id order as one constant array.
-
-    Its size is checked: it travels with the plan, like any broadcast table.
-    """
-    if not fits(vocab, BROADCAST_ROWS // 4):
-        raise ValueError("the vocabulary is too large to send to every task")
-    tokens = [r.token for r in vocab.select("token", "id").orderBy("id").collect()]
-    return F.split(F.lit("\n".join(tokens)), "\n")
-
-
 def mask_tokens(df: DataFrame, keys: Sequence[str], vocab: DataFrame, seed: int, prob: float = 0.0,
                 max_predictions: int = 20, whole_word: bool = False) -> DataFrame:
     """Choose positions and hide them: rewrites tokens, adds masked_lm_positions and masked_lm_labels.
@@ -316,10 +305,14 @@ def mask_tokens(df: DataFrame, keys: Sequence[str], vocab: DataFrame, seed: int,
     even at probability 0. Of these 80 % become the mask token, 10 % stay, 10 %
     become a random token. With ``whole_word`` continuation pieces are chosen with
     their word, and a word that would exceed ``n`` is passed over.
+
+    A random token is drawn as its place in the id order of the vocabulary; only
+    the positions that need one are joined with the vocabulary, which may be of any
+    size. ``keys`` identify a row.
     """
     row = [F.col(k) for k in keys]
-    words = vocab_array(vocab)
-    size = vocab.count()
+    places = dense_index(vocab.select("token", "id"), ["id"], "_place").select("_place", F.col("token").alias("_word"))
+    size = places.count()
     tokens = F.col("tokens")
     # Python and numpy round halves to even
     n = F.least(
@@ -365,15 +358,28 @@ def mask_tokens(df: DataFrame, keys: Sequence[str], vocab: DataFrame, seed: int,
     staged = staged.withColumn("masked_lm_positions", F.array_sort(chosen))
     labels = F.transform("masked_lm_positions", lambda p: F.element_at(tokens, p + 1))
 
+    staged = staged.withColumn("masked_lm_labels", labels).drop("_n", "_usable")
+    staged = materialize(staged, "chosen")
+
+    def masked(i: Column) -> Column:
+        return u(seed, "hide", *row, i) < 0.8
+
+    def kept(i: Column) -> Column:
+        return u(seed, "keep", *row, i) < 0.5
+
+    swapped = F.filter("masked_lm_positions", lambda i: ~masked(i) & ~kept(i))
+    drawn = staged.select(*keys, F.explode(swapped).alias("_i")).withColumn("_place", below(size, seed, "word", *row, F.col("_i")))
+    # places are drawn evenly, so that none is hot; a row has at most max_predictions of them
+    words = drawn.join(places, "_place").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_set(F.struct("_i", "_word"))).alias("_swaps"))
+    found = staged.join(words, list(keys), "left")
+
     def hide(token: Column, i: Column) -> Column:
-        swapped = F.element_at(words, below(size, seed, "word", *row, i).cast("int") + 1)
-        kept_or_swapped = F.when(u(seed, "keep", *row, i) < 0.5, token).otherwise(swapped)
-        hidden = F.when(u(seed, "hide", *row, i) < 0.8, F.lit(MASK)).otherwise(kept_or_swapped)
-        return F.when(F.array_contains("masked_lm_positions", i), hidden).otherwise(token)
+        # an empty vocabulary has no other token
+        other = F.when(kept(i), token).otherwise(F.coalesce(F.try_element_at("_swaps", i), token))
+        return F.when(F.array_contains("masked_lm_positions", i), F.when(masked(i), F.lit(MASK)).otherwise(other)).otherwise(token)
 
-    return staged.withColumn("masked_lm_labels", labels).withColumn("tokens", F.transform("tokens", hide)).drop(
-        "_n", "_usable"
-    )
+    return found.withColumn("tokens", F.transform("tokens", hide)).select(*staged.columns)
 
 
 def mask_fixed_pattern(df: DataFrame, seed: int, length: int, mask_id: int, special: Sequence[int],

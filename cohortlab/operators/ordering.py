@@ -7,17 +7,19 @@ blocks, and a small table of block totals that carries the offsets.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BinaryType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType, TimestampType
+)
 
 from cohortlab.scratch import materialize
 
 # monotonically_increasing_id keeps the row number within a partition in its low 33 bits.
 _ROW_BITS = 33
-SELECT_SORT_ROWS = 100_000
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
@@ -96,66 +98,90 @@ def running_sums(
     return joined.drop("_block", *drop)
 
 
-def _kth_of_column(df: DataFrame, column: str, k: int, total: int):
-    """Exact k-th smallest value (1-based) and how many rows are smaller.
+# --- exact selection ----------------------------------------------------------------------------------------------------
 
-    Each pass brackets the answer between two approximate percentiles and counts
-    exactly around them; a pass shrinks the candidates by orders of magnitude and
-    only one row of numbers reaches the driver.
+#: Fixed value: no digit; a null has it as its only one, since nulls come first.
+_NULL = -1
+
+
+def _long_digits(bits: Column) -> Iterator[Column]:
+    """Four digits of 16 bits of a long whose unsigned order is the order of the values."""
+    for shift in (48, 32, 16, 0):
+        yield F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFF))
+
+
+def _text_digits(column: Column) -> Iterator[Column]:
+    """Two bytes at a time; a digit is even when the text ends with it or before it."""
+    hexed, at = F.hex(column.cast("binary")), 1
+    while True:
+        part = F.substring(hexed, at, 4)
+        whole = (F.length(part) == 4).cast("long")
+        yield F.when(part == "", F.lit(0)).otherwise(F.conv(F.rpad(part, 4, "0"), 16, 10).cast("long") * 2 + whole)
+        at += 4
+
+
+def _digits(column: str, kind: DataType) -> Iterator[Column]:
+    """Columns of integers whose lexicographic order is the order of the column."""
+    c, sign = F.col(column), F.lit(-(1 << 63))
+    if isinstance(kind, (StringType, BinaryType)):
+        return _text_digits(c)
+    if isinstance(kind, (FloatType, DoubleType)):
+        # adding zero makes one zero of both; of the bits of a negative number the order is reversed
+        value = F.coalesce(c.cast("double") + 0.0, F.lit(0.0))  # the method takes no null
+        bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("long")
+        return _long_digits(F.when(c.isNotNull(), F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(sign))))
+    if isinstance(kind, TimestampType):
+        return _long_digits(F.unix_micros(c).bitwiseXOR(sign))
+    if isinstance(kind, DateType):
+        return _long_digits(F.unix_date(c).cast("long").bitwiseXOR(sign))
+    if isinstance(kind, DecimalType) and kind.precision <= 18:
+        return _long_digits((c * 10**kind.scale).cast("long").bitwiseXOR(sign))
+    if isinstance(kind, (IntegralType, BooleanType)):
+        return _long_digits(c.cast("long").bitwiseXOR(sign))
+    raise TypeError(f"no order of digits for {kind.simpleString()}")
+
+
+def _histogram(rows: DataFrame, digit: Column) -> list[tuple[int, int]]:
+    """One scan: how many rows have each digit, in order; at most 2**17 + 2 of them."""
+    counts = rows.groupBy(F.coalesce(digit, F.lit(_NULL)).cast("long").alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted((r["digit"], r["n"]) for r in counts.collect())
+
+
+def kth_smallest(df: DataFrame, order: Sequence[str], k: int) -> tuple:
+    """Exact k-th smallest key (1-based) in the lexicographic order of the columns, nulls first.
+
+    A radix selection: the rows are counted by one digit of the key at a time, and only
+    those that have the digit of the answer are counted by the next one. Each digit is one scan,
+    whatever the number of rows, the types and the ties, and only counts reach the driver. It
+    ends early when a single row is left.
     """
-    smaller, rows = 0, df.select(column)
-    while total > SELECT_SORT_ROWS:
-        accuracy = 10_000
-        low_p, high_p = max(0.0, (k - 1) / total - 2 / accuracy), min(1.0, k / total + 2 / accuracy)
-        marks = rows.agg(
-            F.percentile_approx(column, F.lit(low_p), accuracy).alias("lo"),
-            F.percentile_approx(column, F.lit(high_p), accuracy).alias("hi"),
-        ).first()
-        c = F.col(column)
-
-        def count_if(condition: Column) -> Column:
-            return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
-
-        n = rows.agg(
-            count_if(c < marks.lo).alias("lt_lo"), count_if(c <= marks.lo).alias("le_lo"),
-            count_if(c < marks.hi).alias("lt_hi"), count_if(c <= marks.hi).alias("le_hi"),
-        ).first()
-        if n.lt_lo < k <= n.le_lo:
-            return marks.lo, smaller + n.lt_lo
-        if n.lt_hi < k <= n.le_hi:
-            return marks.hi, smaller + n.lt_hi
-        if k <= n.lt_lo:
-            rows, total = rows.where(c < marks.lo), n.lt_lo
-        elif k <= n.lt_hi:
-            rows, total = rows.where((c > marks.lo) & (c < marks.hi)), n.lt_hi - n.le_lo
-            smaller, k = smaller + n.le_lo, k - n.le_lo
-        else:
-            rows, total = rows.where(c > marks.hi), total - n.le_hi
-            smaller, k = smaller + n.le_hi, k - n.le_hi
-    value = rows.orderBy(column).offset(k - 1).limit(1).first()[0]
-    below = rows.where(F.col(column) < F.lit(value)).count()
-    return value, smaller + below
-
-
-def kth_smallest(df: DataFrame, order: Sequence[str], k: int, total: int | None = None) -> tuple:
-    """Exact k-th smallest key (1-based) in the lexicographic order of the columns."""
-    total = df.count() if total is None else total
-    key, rows = [], df.select(*order)
+    rows, left = df.select(*order), None
     for column in order:
-        value, smaller = _kth_of_column(rows, column, k, total)
-        key.append(value)
-        rows, k = rows.where(F.col(column) == F.lit(value)), k - smaller
-        if column != order[-1]:
-            total = rows.count()
-    return tuple(key)
-
-
-def at_most(order: Sequence[str], key: Sequence) -> Column:
-    """Lexicographic ``order <= key`` as a plain filter."""
-    result = F.col(order[-1]) <= F.lit(key[-1])
-    for column, value in zip(reversed(order[:-1]), reversed(key[:-1])):
-        result = (F.col(column) < F.lit(value)) | ((F.col(column) == F.lit(value)) & result)
-    return result
+        kind = df.schema[column].dataType
+        for digit in _digits(column, kind):
+            if left == 1:
+                break
+            counts, seen = _histogram(rows, digit), 0
+            for value, left in counts:
+                if k <= seen + left:
+                    break
+                seen += left
+            else:
+                raise ValueError(f"there is no row {k} of {seen}")
+            rows, k = rows.where(F.coalesce(digit, F.lit(_NULL)).cast("long") == value), k - seen
+            if value == _NULL or (isinstance(kind, (StringType, BinaryType)) and value % 2 == 0):
+                break  # a null, or the end of a text
+    return tuple(rows.first())
+
+
+def at_most(order: Sequence[str | Column], key: Sequence) -> Column:
+    """Lexicographic ``order <= key`` as a plain filter, nulls first."""
+    result = F.lit(True)
+    for column, value in zip(reversed(order), reversed(key)):
+        c = F.col(column) if isinstance(column, str) else column
+        below = F.lit(False) if value is None else c.isNull() | (c < F.lit(value))
+        result = below | (c.eqNullSafe(F.lit(value)) & result)
+    return F.coalesce(result, F.lit(False))
 
 
 def average_ranks(counts: DataFrame, value: str, weight: str, name: str = "rank") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions import chars
-from cohortlab.functions.sizing import BROADCAST_ROWS, broadcast_if_small, fits
+from cohortlab.functions.sizing import HOT_KEYS, broadcast_if_small, fits
 from cohortlab.scratch import materialize
 
 UNK = "[UNK]"
@@ -152,16 +152,16 @@ def lookup(rows: DataFrame, key: str, dictionary: DataFrame, counts: DataFrame |
     """Add each row's dictionary entry (null without one), whatever the sizes and the skew.
 
     A small dictionary is broadcast. Otherwise the entries of frequent keys are
-    broadcast (at most ``BROADCAST_ROWS`` keys can each hold that share of all
+    broadcast (at most ``HOT_KEYS`` keys can each hold that share of all
     rows) and the rest, which then has no hot key, goes through a shuffle.
     ``counts`` gives the rows per key as (key, n); it is computed when missing.
     """
-    if fits(dictionary.select(key)):
+    if fits(dictionary):
         return rows.join(F.broadcast(dictionary), key, "left")
     if counts is None:
         counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where(F.col("n") > max(1, total // BROADCAST_ROWS)).select(key)
+    frequent = counts.where(F.col("n") > max(1, total // HOT_KEYS)).select(key)
     hot = dictionary.join(frequent, key, "left_semi").withColumn("_hot", F.lit(True))
     tried = rows.join(F.broadcast(hot), key, "left")
     # rows without a key have nothing to look up and must not meet in one task
@@ -208,7 +208,7 @@ def tokens_to_ids(df: DataFrame, keys: Sequence[str], vocab: DataFrame, tokens:
     """Ids of each row's tokens: (keys, ids, too_long); a token that is null or outside the vocabulary is unknown."""
     unknown = vocab.where(F.col("token") == unk).select("id").scalar()
     exploded = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
-    found = exploded.join(broadcast_if_small(vocab.select("token", "id")), "token", "left").withColumn(
+    found = lookup(exploded, "token", vocab.select("token", "id")).withColumn(
         "id", F.when(F.col("_pos").isNotNull(), F.coalesce("id", unknown))
     )
     ids = found.groupBy(*keys).agg(collect_in_order("_pos", "id").alias(name))
@@ -219,7 +219,7 @@ def tokens_to_ids(df: DataFrame, keys: Sequence[str], vocab: DataFrame, tokens:
 def ids_to_tokens(df: DataFrame, keys: Sequence[str], vocab: DataFrame, ids: str = "ids") -> DataFrame:
     """Tokens of each row's ids and their text: (keys, tokens, decoded); an unknown id fails the job."""
     exploded = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "id"))
-    joined = exploded.join(broadcast_if_small(vocab.select("token", "id")), "id", "left")
+    joined = lookup(exploded, "id", vocab.select("token", "id"))
     missing = F.raise_error(F.concat(F.lit("no token has id "), F.col("id").cast("string"))).cast("string")
     checked = joined.withColumn(
         "token", F.when(F.col("token").isNotNull() | F.col("id").isNull(), F.col("token")).otherwise(missing)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions.rand import u
 from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.operators import text as T
-from cohortlab.operators.ordering import kth_smallest
+from cohortlab.operators.ordering import at_most, kth_smallest
 from cohortlab.scratch import materialize
 
 
@@ -39,33 +39,23 @@ def token_words(tokens: DataFrame, ngram: bool) -> DataFrame:
 
 
 def _pieces(old: DataFrame, added: DataFrame, ngrams: bool) -> DataFrame:
-    """Pieces of each added token in the old vocabulary, with the old vectors: token, id, parts."""
+    """Pieces of each added token in the old vocabulary: token, id, n_chars, piece; a token without pieces has one null row."""
     is_ngram = F.col("token").rlike("[^_]_[^_]") if ngrams else F.lit(False)
     plain = token_words(added.where(~is_ngram), False)
     joined = token_words(added.where(is_ngram), True)
     words = materialize(plain.unionByName(joined), "words")
     tokens = T.tokenize_words(words, ["token", "id", "n_chars"], old)
-    exploded = tokens.select("token", "id", "n_chars", F.posexplode("tokens").alias("pos", "piece"))
-    vectors = old.select(F.col("token").alias("piece"), _doubles(F.col("embedding")).alias("v"))
-    found = exploded.join(broadcast_if_small(vectors, 20_000), "piece")
-    # a token has at most as many pieces as characters
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.char_length(F.regexp_replace("piece", "^##", "")).alias("n"), "v")))
-    return found.groupBy("token", "id", "n_chars").agg(parts.alias("parts"))
-
-
-def _combine(parts: Column, weight: Callable[[Column], Column]) -> Column:
-    zero = F.transform(F.element_at(parts, 1)["v"], lambda x: F.lit(0.0))
-    return F.aggregate(parts, zero, lambda acc, p: F.zip_with(acc, p["v"], lambda a, x: a + weight(p) * x))
+    return tokens.select("token", "id", "n_chars", F.explode_outer("tokens").alias("piece"))
 
 
 def transfer_average(old: DataFrame, new: DataFrame, ngrams: bool = False) -> DataFrame:
     """Shared tokens keep their vector, new ones get the mean of their old pieces."""
-    return _transfer(old, new, ngrams, lambda p: 1.0 / F.size("parts"))
+    return _transfer(old, new, ngrams, False)
 
 
 def transfer_weighted(old: DataFrame, new: DataFrame, ngrams: bool = False) -> DataFrame:
     """As the average, with each piece weighted by its share of the token's characters."""
-    return _transfer(old, new, ngrams, lambda p: p["n"] / F.col("n_chars"))
+    return _transfer(old, new, ngrams, True)
 
 
 def _kept(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,11 +63,27 @@ def _kept(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.select("token", "id", "embedding"), new.join(old.select("token"), "token", "left_anti")
 
 
-def _transfer(old: DataFrame, new: DataFrame, ngrams: bool, weight: Callable[[Column], Column]) -> DataFrame:
+def _transfer(old: DataFrame, new: DataFrame, ngrams: bool, weighted: bool) -> DataFrame:
+    """One vector for every new token.
+
+    A piece without a vector counts with the vector of the unknown token, or with
+    zeros where the old table has none; so does a token that has no piece at all. Vectors are looked
+    up with care for pieces that very many tokens share, and summed dimension by
+    dimension, so that no task holds the vectors of a token.
+    """
     shared, added = _kept(old, new)
-    parts = _pieces(old, added.select("token", "id"), ngrams)
-    filled = parts.select("token", "id", _combine(F.col("parts"), weight).alias("embedding"))
-    return shared.unionByName(filled)
+    vectors = old.select(F.col("token").alias("piece"), _doubles(F.col("embedding")).alias("v"))
+    width = old.agg(F.max(F.size("embedding"))).first()[0] or 0
+    unknown = old.where(F.col("token") == T.UNK).select(_doubles(F.col("embedding"))).limit(1).scalar()
+    found = T.lookup(materialize(_pieces(old, added.select("token", "id"), ngrams), "pieces"), "piece", vectors)
+    found = found.withColumn("v", F.coalesce("v", unknown, F.array_repeat(F.lit(0.0), width)))
+    share = F.char_length(F.regexp_replace("piece", "^##", "")) / F.col("n_chars")
+    weight = F.coalesce(share, F.lit(1.0)) if weighted else F.lit(1.0)
+    sums = [F.sum(weight * F.get("v", F.lit(i))).alias(f"s{i}") for i in range(width)]
+    summed = found.groupBy("token", "id").agg(F.count(F.lit(1)).alias("n"), *sums)
+    total = F.lit(1.0) if weighted else F.col("n")
+    vector = F.array(*[F.col(f"s{i}") / total for i in range(width)]).cast("array<double>")
+    return shared.unionByName(summed.select("token", "id", vector.alias("embedding")))
 
 
 def transfer_random(old: DataFrame, new: DataFrame, dim: int, seed: int = 0, per_token: bool = False) -> DataFrame:
@@ -111,13 +117,10 @@ def prune_magnitude(df: DataFrame, amount: float, key: str, vector: str = "embed
     long = df.select(F.col(key), F.posexplode(vector).alias("_dim", "_w")).select(
         F.abs("_w").alias("_abs"), key, "_dim"
     )
-    size, at_key, at_dim = kth_smallest(long, ["_abs", key, "_dim"], k, total)
+    last = kth_smallest(long, ["_abs", key, "_dim"], k)
 
     def cut(w: Column, i: Column) -> Column:
-        tie = (F.abs(w) == F.lit(size)) & (
-            (F.col(key) < F.lit(at_key)) | ((F.col(key) == F.lit(at_key)) & (i <= F.lit(at_dim)))
-        )
-        return F.when((F.abs(w) < F.lit(size)) | tie, F.lit(0.0).cast("float")).otherwise(w)
+        return F.when(at_most([F.abs(w), F.col(key), i], last), F.lit(0.0).cast("float")).otherwise(w)
 
     return df.withColumn(vector, F.transform(vector, cut))
 

@@ -46,8 +46,10 @@ PARTS = TOKENS + f""",
 parts AS MATERIALIZED (
   SELECT a.token, a.id, a.word, unnest(pieces) AS piece FROM added a JOIN pieces USING (word)),
 part_vec AS (
-  SELECT p.token, p.id, length(regexp_replace(piece, '^##', '')) / length(p.word)::DOUBLE AS w, unnest(o.e) AS x, unnest(range(64)) AS dim
-  FROM parts p JOIN old_tokens o ON o.token = p.piece),
+  SELECT a.token, a.id, coalesce(length(regexp_replace(piece, '^##', '')) / length(a.word)::DOUBLE, 1) AS w,
+         unnest(coalesce(o.e, (SELECT e FROM old_tokens WHERE token = '[UNK]'), list_resize([0.0::DOUBLE], 64, 0.0::DOUBLE))) AS x,
+         unnest(range(64)) AS dim
+  FROM added a LEFT JOIN parts p USING (token, id) LEFT JOIN old_tokens o ON o.token = p.piece),
 kept_vec AS (SELECT n.token, n.id, unnest(o.e) AS x, unnest(range(64)) AS dim FROM new_tokens n JOIN old_tokens o ON o.token = n.token)"""
 
 

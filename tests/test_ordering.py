@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlab.functions.rand import u
@@ -32,14 +33,46 @@ def test_running_sums_do_not_depend_on_blocks(spark):
     assert results[0][-1] == (1, 49, 2 * sum(range(50)))
 
 
-def test_kth_smallest_with_many_ties(spark, monkeypatch):
-    monkeypatch.setattr(O, "SELECT_SORT_ROWS", 10)
+@pytest.mark.parametrize("n", [1_000, 120_000])
+def test_kth_smallest_of_any_type(spark, monkeypatch, n):
+    """Ties, nulls and texts on both sides of any size; one scan for each digit."""
+    scans = []
+    histogram = O._histogram
+    monkeypatch.setattr(O, "_histogram", lambda *a: scans.append(1) or histogram(*a))
+    i = F.col("id")
+    value = F.when(i % 7 == 0, None).when(i % 3 == 0, F.lit(0.0)).when(i % 5 == 0, F.lit(-0.0)).otherwise(F.sin(i) * F.pow(F.lit(10.0), i % 40 - 20))
+    name = F.when(i % 11 == 0, None).otherwise(F.concat(F.lit("k"), F.substring(F.md5((i % 900).cast("string")), 1, (i % 5).cast("int"))))
+    df = spark.range(n).select(value.alias("v"), name.alias("s"), i.alias("i"))
+    df.write.mode("overwrite").parquet(path := f"/tmp/kth-{n}-{random.randrange(1 << 40)}")
+    df = spark.read.parquet(path)
+    rows = [(r.v, r.s, r.i) for r in df.collect()]
+    for order in (["v", "s", "i"], ["s", "v", "i"]):
+        places = ["vsi".index(c) for c in order]
+        none_first = lambda r: [(r[p] is not None, r[p] if r[p] is not None else 0) for p in places]
+        ordered = sorted(rows, key=lambda r: [(flag, x + 0 if isinstance(x, float) else x) for flag, x in none_first(r)])
+        for k in (1, n // 9, n // 2, n - 1, n):
+            scans.clear()
+            key = O.kth_smallest(df, order, k)
+            assert key == tuple(ordered[k - 1][p] for p in places)
+            assert len(scans) <= 4 + 4 + 3  # a number, an id, and up to five letters, two to a digit
+            assert k > 1000 or df.where(O.at_most(order, key)).count() == k
+    with pytest.raises(ValueError):
+        O.kth_smallest(df, ["i"], n + 1)
+
+
+def test_kth_smallest_with_many_ties(spark):
     rows = [(0.0, i) for i in range(400)] + [(random.Random(i).random(), i) for i in range(600)]
     df = spark.createDataFrame(rows, "v double, i int")
     for k in (1, 399, 400, 401, 777, 1000):
         key = O.kth_smallest(df, ["v", "i"], k)
         assert key == sorted(rows)[k - 1]
-        assert df.where(O.at_most(["v", "i"], key)).count() >= k
+        assert df.where(O.at_most(["v", "i"], key)).count() == k
+    same = spark.createDataFrame([(2.5, "x")] * 50, "v float, s string")
+    assert O.kth_smallest(same, ["v", "s"], 50) == (2.5, "x")
+    days = spark.sql("SELECT date_add(DATE '1969-12-20', cast(id AS int)) AS d, cast(id - 5 AS decimal(10,2)) / 4 AS x FROM range(30)")
+    for column in ("d", "x"):
+        ordered = sorted(r[0] for r in days.select(column).collect())
+        assert [O.kth_smallest(days.select(F.col(column).cast("decimal(12,3)") if column == "x" else column), [column], k)[0] for k in (1, 13, 30)] == [ordered[0], ordered[12], ordered[29]]
 
 
 def test_sample_has_exact_size_and_ignores_partitioning(spark):
