@@ -48,7 +48,7 @@ _M = BANDS * WIDTH
 _LEAST = -(1 << 63)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 #: Rows and bytes of text that are hashed at once.
-_ROWS, _BYTES = 2048, 1 << 19
+_ROWS, _BYTES = 1024, 1 << 18
 _WORD = r"[^ \t\n\x0b\f\r]"
 #: The frequency of a shingle is counted in so many buckets; it only orders shingles.
 _RARITY_BITS = 20
@@ -56,30 +56,37 @@ _RARITY_BITS = 20
 
 def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For chunks of rows: first row, last row, hashes of the shingles and their rows (from 0 in the chunk)."""
-    data, offsets = buffers.utf8(pc.utf8_lower(column.cast(pa.string())))
-    for first, last in buffers.row_chunks(offsets, _BYTES, _ROWS):
-        o = offsets[first : last + 1]
-        part = data[o[0] : o[-1]]
-        if not len(part):
-            yield first, last, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            continue
-        start, end, row = buffers.words(part, o)
-        names = buffers.span_hash(buffers.prefix_hash(part), start, end)
-        n = max(len(names) - SHINGLE + 1, 0)
-        total = np.zeros(n, np.uint64)
-        for i in range(SHINGLE):
-            total = total * _ODD + names[i : i + n]
-        whole = row[:n] == row[SHINGLE - 1 :] if n else np.zeros(0, bool)
-        hashes, rows = [buffers.mix(total[whole])], [row[:n][whole]]
-        count = np.bincount(row, minlength=last - first)
-        begin = np.concatenate(([0], np.cumsum(count)))
-        for r in np.flatnonzero((count > 0) & (count < SHINGLE)):
-            value = np.full(1, count[r], np.uint64)
-            for name in names[begin[r] : begin[r + 1]]:
-                value = buffers.mix(value * _ODD + name)
-            hashes.append(value)
-            rows.append(np.array([r]))
-        yield first, last, np.concatenate(hashes), np.concatenate(rows)
+    for at in range(0, len(column), _ROWS):
+        # copies of texts are made for one piece of a batch at a time
+        data, offsets = buffers.utf8(pc.utf8_lower(column.slice(at, _ROWS).cast(pa.string())))
+        for first, last in buffers.row_chunks(offsets, _BYTES, _ROWS):
+            o = offsets[first : last + 1]
+            hashes, rows = _shingle_hashes(data[o[0] : o[-1]], o)
+            yield at + first, at + last, hashes, rows
+    pa.default_memory_pool().release_unused()
+
+
+def _shingle_hashes(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(part):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = len(offsets) - 1
+    start, end, row = buffers.words(part, offsets)
+    names = buffers.span_hash(buffers.prefix_hash(part), start, end)
+    n = max(len(names) - SHINGLE + 1, 0)
+    total = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        total = total * _ODD + names[i : i + n]
+    whole = row[:n] == row[SHINGLE - 1 :] if n else np.zeros(0, bool)
+    hashes, rows = [buffers.mix(total[whole])], [row[:n][whole]]
+    count = np.bincount(row, minlength=size)
+    begin = np.concatenate(([0], np.cumsum(count)))
+    for r in np.flatnonzero((count > 0) & (count < SHINGLE)):
+        value = np.full(1, count[r], np.uint64)
+        for name in names[begin[r] : begin[r + 1]]:
+            value = buffers.mix(value * _ODD + name)
+        hashes.append(value)
+        rows.append(np.array([r]))
+    return np.concatenate(hashes), np.concatenate(rows)
 
 
 def _weighted(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
