@@ -28,6 +28,8 @@ CLS, SEP, MASK, EMPTY_SIDE = "[CLS]", "[SEP]", "[MASK]", "."
 BLOCK_TOKENS = 16_384
 # Segments per bucket when an offset is looked up among documents.
 OFFSET_BUCKET = 64
+#: A piece of a document, in which a chain is followed by one task, has at most so many segments.
+PIECE_SEGMENTS = 16_384
 
 
 def segment_positions(segments: DataFrame) -> DataFrame:
@@ -116,34 +118,54 @@ def _chunk_ends(positions: DataFrame, most: int, block: int, target: Column, epo
     return ends.select("epoch", "doc_id", "seg_no", "before", "blk", "target", "seg_end")
 
 
+def _inside(links: str = "links") -> Column:
+    """For each link of a piece the index that it leads to; the size of the piece and more lie outside."""
+    first = F.element_at(links, 1)["seg_no"]
+    return F.transform(links, lambda l: (l["next"] - first).cast("int"))
+
+
 def _walk(entry: Column, links: str = "links") -> Column:
-    """Follow the pointers of one block from ``entry``: the next start outside and the links taken."""
-    start = F.struct(
-        entry.cast("long").alias("next"),
-        F.array().cast("array<struct<seg_no:bigint,next:bigint,a_end:bigint,seg_end:bigint,random_next:boolean,"
-                        "before:bigint,target:bigint>>").alias("taken"),
-    )
+    """The links of one piece that the chain takes from ``entry`` on.
+
+    Only indexes are gathered on the way, and each link is looked at once.
+    """
+    at = (entry - F.element_at(links, 1)["seg_no"]).cast("int")
+    start = F.struct(at.alias("at"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("taken"))
 
-    def step(state: Column, link: Column) -> Column:
-        taken = F.struct(link["next"].alias("next"), F.concat(state["taken"], F.array(link)).alias("taken"))
-        return F.when(link["seg_no"] == state["next"], taken).otherwise(state)
+    def step(state: Column, to: Column) -> Column:
+        here, i = state["at"] == state["i"], state["i"]
+        return F.struct(
+            F.when(here, to).otherwise(state["at"]).alias("at"), (i + 1).alias("i"),
+            F.when(here, F.concat(state["taken"], F.array(i))).otherwise(state["taken"]).alias("taken"))
 
-    return F.aggregate(links, start, step)
+    return F.transform(F.aggregate(_inside(links), start, step)["taken"], lambda i: F.get(links, i))
 
 
-def _block_entries(blocks: DataFrame, most: int, block: int, rounds: int) -> DataFrame:
-    """Where the chain of a long document enters each of its blocks: epoch, doc_id, entry.
+def _piece_exits(pieces: DataFrame) -> DataFrame:
+    """Adds ``exits``: for each link the first segment outside of the piece that its chain reaches.
 
-    A block can only be entered near its beginning. Each such entry leads to one
-    exit, and doubling the jumps reaches all blocks in a logarithmic number of joins.
+    The jumps are doubled for all links at once, so every link costs a logarithm of the piece, wherever the chain enters.
+    """
+    pieces = pieces.withColumn("_to", _inside())
+    for _ in range(PIECE_SEGMENTS.bit_length()):
+        pieces = pieces.withColumn("_to", F.transform("_to", lambda x: F.coalesce(F.get("_to", x), x)))
+    first = F.element_at("links", 1)["seg_no"]
+    return pieces.withColumn("exits", F.transform("_to", lambda x: x + first)).drop("_to")
+
+
+def _piece_entries(pieces: DataFrame, most: int, rounds: int) -> DataFrame:
+    """Where the chain of a long document enters each of its pieces: epoch, doc_id, entry.
+
+    A piece can only be entered near its beginning, by the tokens before. Each such entry leads to one
+    exit, and doubling the jumps reaches all pieces in a logarithmic number of joins.
     """
     keys = ["epoch", "doc_id"]
-    near = F.filter(
-        "links", lambda l, i: (i == 0) | (F.element_at("links", F.greatest(i, F.lit(1)))["before"]
-                                          - F.col("blk") * block < most)
-    )
-    entries = blocks.select(*keys, "links", F.explode(F.transform(near, lambda l: l["seg_no"])).alias("entry"))
-    jumps = materialize(entries.select(*keys, "entry", _walk(F.col("entry"))["next"].alias("exit")), "jumps")
+    found = _piece_exits(pieces)
+    first = F.element_at("links", 1)["before"]
+    pairs = F.zip_with("links", "exits", lambda l, x: F.struct(l["seg_no"].alias("entry"), x.alias("exit")))
+    # an entry follows a segment that begins near the piece's beginning, however long that segment is
+    near = F.filter(pairs, lambda x, i: (i == 0) | (F.get("links", i - 1)["before"] - first < most))
+    jumps = materialize(found.select(*keys, F.explode(near).alias("j")).select(*keys, "j.entry", "j.exit"), "jumps")
     reached = jumps.where(F.col("entry") == 0).select(*keys, "entry")
     for _ in range(rounds):
         ahead = reached.join(jumps, [*keys, "entry"]).select(*keys, F.col("exit").alias("entry"))
@@ -180,21 +202,27 @@ def chunk_plan(positions: DataFrame, seed: int, epochs: int = 1, max_seq_len: in
         F.col("seg_end").cast("long").alias("seg_end"), "random_next", F.col("before").cast("long").alias("before"),
         F.col("target").cast("long").alias("target"),
     )
-    blocks = linked.groupBy("epoch", "doc_id", "blk").agg(F.array_sort(F.collect_list(link)).alias("links"))
-    last = positions.agg(F.max("before")).first()[0] or 0
-    if last < block:
-        entered = blocks.withColumn("entry", F.lit(0).cast("long"))
+    # a piece is bounded by tokens, and by segments, which may be empty
+    piece = ["blk", "part"]
+    part = F.floor(F.col("seg_no") / PIECE_SEGMENTS).cast("long").alias("part")
+    pieces = linked.select("*", part).groupBy("epoch", "doc_id", *piece).agg(F.array_sort(F.collect_list(link)).alias("links"))
+    last = positions.agg(F.max("before").alias("tokens"), F.max("seg_no").alias("segments")).first()
+    tokens, count = last.tokens or 0, last.segments or 0
+    if tokens < block and count < PIECE_SEGMENTS:
+        entered = pieces.withColumn("entry", F.lit(0).cast("long"))
     else:
-        blocks = materialize(blocks, "blocks")
-        several = blocks.where(F.col("blk") > 0).select("epoch", "doc_id").distinct()
-        long = blocks.join(several, ["epoch", "doc_id"], "left_semi")
-        short = blocks.join(several, ["epoch", "doc_id"], "left_anti").withColumn("entry", F.lit(0).cast("long"))
-        rounds = (last // block + 1).bit_length()
-        entries = _block_entries(long, most, block, rounds)
-        bounds = positions.select("doc_id", "seg_no", F.floor(F.col("before") / block).cast("long").alias("blk"))
-        placed = entries.join(bounds.withColumnRenamed("seg_no", "entry"), ["doc_id", "entry"])
-        entered = short.unionByName(long.join(placed, ["epoch", "doc_id", "blk"]).select(*blocks.columns, "entry"))
-    taken = entered.select("epoch", "doc_id", F.explode(_walk(F.col("entry"))["taken"]).alias("l"))
+        pieces = materialize(pieces, "pieces")
+        several = pieces.where((F.col("blk") > 0) | (F.col("part") > 0)).select("epoch", "doc_id").distinct()
+        long = pieces.join(several, ["epoch", "doc_id"], "left_semi")
+        short = pieces.join(several, ["epoch", "doc_id"], "left_anti").withColumn("entry", F.lit(0).cast("long"))
+        rounds = (tokens // block + count // PIECE_SEGMENTS + 1).bit_length()
+        entries = _piece_entries(long, most, rounds)
+        bounds = positions.select("doc_id", F.col("seg_no").alias("entry"), F.floor(F.col("before") / block).cast("long").alias("blk"), part)
+        placed = entries.join(bounds, ["doc_id", "entry"])
+        # the chain is in a piece from its first entry on
+        placed = placed.groupBy("epoch", "doc_id", *piece).agg(F.min("entry").alias("entry"))
+        entered = short.unionByName(long.join(placed, ["epoch", "doc_id", *piece]).select(*pieces.columns, "entry"))
+    taken = entered.select("epoch", "doc_id", F.explode(_walk(F.col("entry"))).alias("l"))
     return taken.select("epoch", "doc_id", "l.*").drop("next")
 
 

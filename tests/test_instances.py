@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,35 @@ def test_chunks_do_not_depend_on_blocks_and_cover_each_document(spark):
             assert expected == last[doc] + 1
 
 
+def test_pieces_do_not_change_the_plan(spark, monkeypatch):
+    """Pieces of few segments, long segments at their borders, and runs of empty ones."""
+    rng = random.Random(11)
+    sizes = [rng.choice([0, 0, 0, 1, 2, 40, 90]) for _ in range(700)]
+    rows = [(d, s, ["t"] * n) for d in (0, 1) for s, n in enumerate(sizes if d else sizes[:30] + [0] * 200 + [300] + sizes[:50])]
+    positions = I.segment_positions(spark.createDataFrame(rows, "doc_id long, seg_no long, tokens array<string>"))
+    plans = []
+    for pieces, block in ((1 << 14, I.BLOCK_TOKENS), (8, 40), (37, 1000), (64, I.BLOCK_TOKENS)):
+        monkeypatch.setattr(I, "PIECE_SEGMENTS", pieces)
+        plan = I.chunk_plan(positions, 3, 2, 32, 0.3, block=block)
+        plans.append(sorted(tuple(r) for r in plan.select("epoch", "doc_id", "seg_no", "a_end", "seg_end", "random_next").collect()))
+    assert plans[0] == plans[1] == plans[2] == plans[3] and len(plans[0]) > 200
+
+
+@pytest.mark.parametrize("tokens", [1, 0])
+def test_many_short_lines_in_one_document(spark, tokens):
+    """200,000 lines of one token, or of none, take linear time."""
+    lines = spark.range(200_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("seg_no"), F.array_repeat(F.lit("t"), tokens).alias("tokens"))
+    other = spark.createDataFrame([(2, 0, ["x"]), (2, 1, ["y"])], "doc_id int, seg_no long, tokens array<string>")
+    started = time.time()
+    plan = I.chunk_plan(I.segment_positions(lines.unionByName(other)), 5, 1).where("doc_id = 1").collect()
+    assert time.time() - started < 90
+    starts = {r.seg_no: r.a_end if r.random_next else r.seg_end + 1 for r in plan}
+    at = 0
+    while at < 200_000:  # the chain visits every planned chunk, from the first segment to the last
+        at = starts.pop(at)
+    assert at == 200_000 and not starts
+
+
 def test_instances_keep_their_promises(spark):
     segments, rows = corpus(spark)
     vocab = spark.createDataFrame([(f"t{i}", i) for i in range(50)], "token string, id int")
