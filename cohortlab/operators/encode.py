@@ -58,12 +58,12 @@ class Layout:
 def encode(df: DataFrame, max_len: int, layout: Layout, a: str = "ids_a", b: str | None = "ids_b") -> DataFrame:
     """Add input_ids, input_mask and segment_ids of length ``max_len``.
 
-    ``a`` and ``b`` are id arrays; a null ``b`` means a single text.
+    ``a`` and ``b`` are id arrays; a null or empty ``b`` means a single text.
     """
     extra = 1 if layout.extra_sep else 0
     ids_a = F.col(a)
     ids_b = F.col(b) if b is not None else F.lit(None).cast("array<int>")
-    pair = ids_b.isNotNull()
+    pair = F.coalesce(F.size(ids_b) > 0, F.lit(False))
     pair_a, pair_b = arrays.pair_lengths(F.size(ids_a), F.size(ids_b), max_len - 3 - extra)
     none = F.array().cast("array<int>")
     cut = df.withColumns({

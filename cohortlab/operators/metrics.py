@@ -250,8 +250,13 @@ def mcc(df: DataFrame, by: Sequence[str] = (), pred: str = "pred", y: str = "y")
 
     Everything after the first aggregate has one row per (slice, class pair).
     """
+    cells = confusion(df.withColumn("_all", F.lit(1)), [*by, "_all"], pred, y)
+    return _mcc_of_cells(cells.drop("_all"), by)
+
+
+def _mcc_of_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     keys, by = list(by), [*by, "_all"]
-    cells = confusion(df.withColumn("_all", F.lit(1)), by, pred, y).withColumn("n", F.col("n").cast("double"))
+    cells = cells.withColumns({"_all": F.lit(1), "n": F.col("n").cast("double")})
     whole = cells.groupBy(*by).agg(
         F.sum("n").alias("s"), F.sum(F.when(F.col("pred") == F.col("label"), F.col("n")).otherwise(0.0)).alias("c")
     )
@@ -273,20 +278,21 @@ def mcc(df: DataFrame, by: Sequence[str] = (), pred: str = "pred", y: str = "y")
     return joined.select(*keys, value.alias("mcc"))
 
 
-
-
 def pearson_and_spearman(df: DataFrame, pred: str = "pred", y: str = "y") -> DataFrame:
-    """Linear and rank correlation, and their mean.
+    """Linear and rank correlation, and their mean; a pair with a null is an error.
 
     Equal pairs are counted first. Ranks are computed on the distinct values of
     each column by prefix sums over their counts, so no task sorts all rows.
     """
-    pairs = materialize(
-        df.select(F.col(pred).cast("double").alias("a"), F.col(y).cast("double").alias("b"))
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")),
-        "pairs",
-    )
+    return _correlations(materialize(
+        df.groupBy(F.col(pred).cast("double").alias("a"), F.col(y).cast("double").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs"))
+
+
+def _correlations(pairs: DataFrame) -> DataFrame:
+    """The correlations of stored pairs a, b that occur n times."""
+    missing = pairs.where(F.col("a").isNull() | F.col("b").isNull()).agg(F.sum("n")).first()[0]
+    if missing:
+        raise ValueError(f"{missing} pairs have no prediction or no label")
     ranks_a = materialize(average_ranks(pairs.groupBy("a").agg(F.sum("n").alias("w")), "a", "w", "ra"), "ranks")
     ranks_b = materialize(average_ranks(pairs.groupBy("b").agg(F.sum("n").alias("w")), "b", "w", "rb"), "ranks")
     ranked = pairs.join(broadcast_if_small(ranks_a), "a").join(broadcast_if_small(ranks_b), "b")
@@ -335,18 +341,39 @@ def join_predictions(preds: DataFrame, labels: DataFrame, key: str) -> DataFrame
 
 def task_metrics(df: DataFrame, task: str, pred: str = "pred", y: str = "y") -> DataFrame:
     """Metrics of one task in long form: task, metric, value."""
-    if task not in TASK_METRICS:
-        raise KeyError(task)
-    kind = TASK_METRICS[task]
-    if kind == "mcc":
-        wide = mcc(df, (), pred, y)
-    elif kind == "acc":
-        wide = accuracy(df, (), pred, y)
-    elif kind == "acc_and_f1":
-        wide = acc_and_f1(df, (), pred, y)
-    else:
-        wide = pearson_and_spearman(df, pred, y)
-    return wide.select(F.lit(task).alias("task"), "*").unpivot("task", wide.columns, "metric", "value")
+    return all_task_metrics(df.withColumn("task", F.lit(task)), [task], pred, y)
+
+
+def all_task_metrics(df: DataFrame, tasks: Sequence[str] = tuple(TASK_METRICS), pred: str = "pred", y: str = "y") -> DataFrame:
+    """Metrics of all tasks in long form: task, metric, value. ``df`` has the name of the task in each row.
+
+    The rows are read once, into counts of equal (task, prediction, label). These hold all that any metric
+    needs: the confusion table of a classification, and the distinct pairs of a regression.
+    """
+    unknown = sorted(set(tasks) - set(TASK_METRICS))
+    if unknown:
+        raise KeyError(unknown[0])
+    counts = materialize(
+        df.where(F.col("task").isin(list(tasks))).groupBy("task", F.col(pred).cast("double").alias("pred"), F.col(y).cast("double").alias("label"))
+        .agg(F.count(F.lit(1)).alias("n")), "task-counts")
+    of = {kind: [t for t in tasks if TASK_METRICS[t] == kind] for kind in set(TASK_METRICS.values())}
+
+    def long_form(wide: DataFrame) -> DataFrame:
+        return wide.unpivot("task", [c for c in wide.columns if c != "task"], "metric", "value")
+
+    n = F.col("n")
+    total = lambda condition: F.sum(F.when(condition, n).otherwise(0))
+    acc = total(F.col("pred").eqNullSafe(F.col("label"))) / F.sum(n)
+    positive, true = F.col("pred") == 1, F.col("label") == 1
+    f1 = _ratio(2.0 * total(positive & true), total(positive) + total(true))
+    both = counts.where(F.col("task").isin(of["acc_and_f1"])).groupBy("task").agg(acc.alias("acc"), f1.alias("f1"))
+    out = long_form(counts.where(F.col("task").isin(of["acc"])).groupBy("task").agg(acc.alias("acc")))
+    out = out.unionByName(long_form(both.withColumn("acc_and_f1", (F.col("acc") + F.col("f1")) / 2)))
+    out = out.unionByName(long_form(_mcc_of_cells(counts.where(F.col("task").isin(of["mcc"])), ["task"])))
+    for task in of["correlation"]:
+        pairs = counts.where(F.col("task") == task).select(F.col("pred").alias("a"), F.col("label").alias("b"), "n")
+        out = out.unionByName(long_form(_correlations(pairs).select(F.lit(task).alias("task"), "*")))
+    return out
 
 
 def report_lines(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,20 +51,29 @@ def run_keys(path: Column) -> dict[str, Column]:
     }
 
 
-def best_epoch(df: DataFrame, runs: Sequence[str], metric: str, epoch: str = "epoch",
+#: A column, or what computes one from the columns of an epoch's row.
+Metric = str | Callable[[], Column]
+
+
+def _value(metric: Metric, larger_better: bool) -> Column:
+    value = metric() if callable(metric) else F.col(metric)
+    return value if larger_better else -value
+
+
+def best_epoch(df: DataFrame, runs: Sequence[str], metric: Metric, epoch: str = "epoch",
                larger_better: bool = True) -> DataFrame:
     """Best epoch of each run, the earliest one on a tie; one aggregate, no sort."""
-    value = F.col(metric) if larger_better else -F.col(metric)
-    best = F.max_by(F.struct(epoch, metric), F.struct(value.alias("v"), (-F.col(epoch)).alias("e")))
-    return df.where(F.col(metric).isNotNull()).groupBy(*runs).agg(best.alias("_best")).select(
-        *runs, F.col(f"_best.{epoch}").alias("best_epoch"), F.col(f"_best.{metric}").alias("best_value")
+    valued = df.withColumns({"_value": _value(metric, True), "_v": _value(metric, larger_better)})
+    best = F.max_by(F.struct(epoch, "_value"), F.struct("_v", (-F.col(epoch)).alias("e")))
+    return valued.where(F.col("_v").isNotNull()).groupBy(*runs).agg(best.alias("_best")).select(
+        *runs, F.col(f"_best.{epoch}").alias("best_epoch"), F.col("_best._value").alias("best_value")
     )
 
 
-def early_stop(df: DataFrame, runs: Sequence[str], metric: str, patience: int = 3, epoch: str = "epoch",
+def early_stop(df: DataFrame, runs: Sequence[str], metric: Metric, patience: int = 3, epoch: str = "epoch",
                larger_better: bool = True) -> DataFrame:
     """First epoch after ``patience`` evaluations without improvement (null if none), and the last epoch."""
-    value = F.col(metric) if larger_better else -F.col(metric)
+    value = _value(metric, larger_better)
     run = Window.partitionBy(*runs).orderBy(epoch)  # the epochs of one run are few
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     so_far = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -107,10 +107,10 @@ def lens_sql(limit: int, single: int) -> str:
     high, low = (limit + 1) // 2, limit // 2
     return f"""
 cut AS (
-  SELECT conv_id, turn, ids_b IS NOT NULL AS pair,
-    CASE WHEN ids_b IS NULL THEN ids_a[1:{single}] ELSE ids_a[1:CASE WHEN len(ids_a) + len(ids_b) <= {limit} THEN len(ids_a)
+  SELECT conv_id, turn, coalesce(len(ids_b), 0) > 0 AS pair,
+    CASE WHEN coalesce(len(ids_b), 0) = 0 THEN ids_a[1:{single}] ELSE ids_a[1:CASE WHEN len(ids_a) + len(ids_b) <= {limit} THEN len(ids_a)
       WHEN len(ids_b) < {low} THEN {limit} - len(ids_b) WHEN len(ids_a) < {high} THEN len(ids_a) ELSE {high} END] END AS a,
-    CASE WHEN ids_b IS NULL THEN [] ELSE ids_b[1:CASE WHEN len(ids_a) + len(ids_b) <= {limit} THEN len(ids_b)
+    CASE WHEN coalesce(len(ids_b), 0) = 0 THEN [] ELSE ids_b[1:CASE WHEN len(ids_a) + len(ids_b) <= {limit} THEN len(ids_b)
       WHEN len(ids_b) < {low} THEN len(ids_b) WHEN len(ids_a) < {high} THEN {limit} - len(ids_a) ELSE {low} END] END AS b
   FROM pair_ids)"""
 

@@ -236,14 +236,14 @@ UNION ALL SELECT 'sts-b', 'pearson', round(p, 6) FROM k
 UNION ALL SELECT 'sts-b', 'spearmanr', round(s, 6) FROM k
 UNION ALL SELECT 'sts-b', 'corr', round((p + s) / 2, 6) FROM k""")
 def task_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Every task's metric set, regression on prices, classification on the scored documents."""
-    classified = scored(spark, sf)
-    pairs = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("pred"), F.col("l_quantity").alias("y"))
-    out = None
-    for task, kind in M.TASK_METRICS.items():
-        part = M.task_metrics(pairs if kind == "correlation" else classified, task)
-        out = part if out is None else out.unionByName(part)
-    return _r6(out, "value")
+    """Every task's metric set, regression on prices, classification on the scored documents; one scan of either."""
+    named = [t for t, kind in M.TASK_METRICS.items() if kind != "correlation"]
+    labels = scored(spark, sf).select("doc_id", F.explode(F.array(*[F.lit(t) for t in named])).alias("task"), F.col("y").cast("double").alias("y"))
+    preds = scored(spark, sf).select("doc_id", F.col("pred").cast("double").alias("pred"))
+    classified = M.join_predictions(preds, labels, "doc_id").select("task", "pred", "y")
+    pairs = table(spark, sf, "lineitem").select(
+        F.lit("sts-b").alias("task"), F.col("l_extendedprice").cast("double").alias("pred"), F.col("l_quantity").cast("double").alias("y"))
+    return _r6(M.all_task_metrics(classified.unionByName(pairs)), "value")
 
 
 @query(f"WITH {SCORED} SELECT g, pred, y AS label, count(*) AS n FROM scored GROUP BY ALL")

@@ -105,7 +105,7 @@ SELECT doc::BIGINT AS doc_id, row_number() OVER (PARTITION BY doc ORDER BY doc_i
 def read_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a text corpus; blank lines inside a document break it as well."""
     docs = documents(spark, sf).select("doc_id", F.concat("text", F.lit("\n")).alias("value"))
-    return files.check_corpus(files.read_corpus(spark, written_lines(docs, ["doc_id"], "corpus")))
+    return files.read_corpus(spark, written_lines(docs, ["doc_id"], "corpus"), min_docs=2)
 
 
 @query("SELECT replace(text, chr(10), ' ') AS line FROM documents")
@@ -154,7 +154,7 @@ def instances_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.lit(0)).alias("masked_lm_positions"), F.slice("tokens", 1, 1).alias("masked_lm_labels"),
     )
     path = fresh_path(spark, "instances_json")
-    files.write_instances(made, path)
+    files.write_instances(made, path, 128, 2)
     n = files.count_epochs(spark, path)
     out = None
     for epoch in range(3):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -119,8 +120,8 @@ def read_task_tsv(spark: SparkSession, folder: str, task: str, split: str = "tra
     )
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Documents separated by blank lines: doc_id, seg_no, line.
+def read_corpus(spark: SparkSession, path: str, min_docs: int = 0) -> DataFrame:
+    """Documents separated by blank lines: doc_id, seg_no, line; fewer than ``min_docs`` are refused.
 
     A document starts at a non-blank line after a blank one. Starts and lines are
     counted inside each input split; a small table of split totals carries the
@@ -145,6 +146,9 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.withColumn("_opens", ~F.col("_first") & before)
     parts = parts.withColumn("_all", F.coalesce(F.col("_starts"), F.lit(0)) + F.col("_opens").cast("long"))
     parts = parts.withColumn("_docs", F.coalesce(F.sum("_all").over(order), F.lit(0)))
+    # counted from the split totals, before any line is numbered
+    if min_docs and (parts.agg(F.sum("_all")).first()[0] or 0) < min_docs:
+        raise ValueError("too few document breaks were found; separate documents by blank lines")
     marked = seen.join(parts.select("file", "split_no", "_opens", "_docs"), ["file", "split_no"])
     marked = marked.withColumn("_start", (~F.col("_blank") & F.coalesce("_prev", F.col("_opens"))).cast("long"))
     marked = marked.withColumn("doc_id", F.col("_docs") + F.sum("_start").over(so_far) - 1)
@@ -160,13 +164,6 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def check_corpus(corpus: DataFrame) -> DataFrame:
-    """Refuse a corpus with fewer than two documents: another one could not be drawn."""
-    if corpus.select("doc_id").distinct().limit(2).count() < 2:
-        raise ValueError("no document breaks were found; separate documents by blank lines")
-    return corpus
-
-
 def flatten_corpus(df: DataFrame, column: str = "text") -> DataFrame:
     """One line per text: line breaks become spaces. Other columns are never read."""
     return df.select(F.regexp_replace(column, "\n", " ").alias("line"))
@@ -204,25 +201,46 @@ INSTANCE = ("epoch int, tokens array<string>, segment_ids array<int>, is_random_
             "masked_lm_positions array<int>, masked_lm_labels array<string>")
 
 
-def write_instances(df: DataFrame, path: str) -> None:
-    """One JSON line per instance, in one folder per epoch."""
+def write_instances(df: DataFrame, path: str, max_seq_len: int, epochs: int) -> None:
+    """One JSON line per instance in one folder per epoch, and one line of metrics per epoch beside them.
+
+    The examples are counted while they are written. An epoch without examples has no line.
+    """
+    seen = Observation("instances")
+    counts = [F.count_if(F.col("epoch") == e).alias(f"e{e}") for e in range(epochs)]
+    counts.append(F.count_if(~F.col("epoch").between(0, epochs - 1)).alias("other"))
     df.select(
         "epoch", "tokens", "segment_ids", "is_random_next", "masked_lm_positions", "masked_lm_labels"
-    ).write.partitionBy("epoch").json(path)
+    ).observe(seen, *counts).write.partitionBy("epoch").json(f"{path}/instances")
+    found = seen.get
+    if found["other"]:
+        raise ValueError(f"{found['other']} instances are not of the epochs 0 to {epochs - 1}")
+    rows = [(e, found[f"e{e}"], max_seq_len) for e in range(epochs) if found[f"e{e}"]]
+    df.sparkSession.createDataFrame(rows, METRICS).coalesce(1).write.json(f"{path}/metrics")
+
+
+METRICS = "epoch int, num_training_examples long, max_seq_len int"
+
+
+def read_instance_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """epoch, num_training_examples and max_seq_len of the generated epochs; no instance file is touched."""
+    return spark.read.schema(METRICS).json(f"{path}/metrics")
 
 
-def count_epochs(spark: SparkSession, path: str) -> int:
-    """Generated epochs in a folder; only the partition folders are listed and counted."""
-    n = spark.read.schema(INSTANCE).json(path).select("epoch").distinct().count()
+def count_epochs(spark: SparkSession, path: str, requested: int | None = None) -> int:
+    """Generated epochs in a folder, from their metrics; fewer than requested are an occasion for a warning."""
+    n = read_instance_metrics(spark, path).count()
     if n == 0:
         raise ValueError("no training data was found")
+    if requested is not None and n < requested:
+        warnings.warn(f"{n} generated epochs serve {requested} training epochs in turn", stacklevel=2)
     return n
 
 
 def read_instances(spark: SparkSession, path: str, epoch: int, n_epochs: int | None = None) -> DataFrame:
     """Instances for a training epoch; with fewer generated epochs they are used in turn."""
     n = n_epochs if n_epochs is not None else count_epochs(spark, path)
-    return spark.read.schema(INSTANCE).json(path).where(F.col("epoch") == epoch % n)
+    return spark.read.schema(INSTANCE).option("basePath", f"{path}/instances").json(f"{path}/instances/epoch={epoch % n}")
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

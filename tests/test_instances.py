@@ -137,10 +137,32 @@ def test_lines_and_documents_across_splits(spark, tmp_path):
 def test_corpus_of_one_document_is_refused(spark, tmp_path):
     (tmp_path / "one.txt").write_text("a\nb\n")
     with pytest.raises(ValueError):
-        files.check_corpus(files.read_corpus(spark, str(tmp_path / "one.txt")))
+        files.read_corpus(spark, str(tmp_path / "one.txt"), min_docs=2)
+    assert files.read_corpus(spark, str(tmp_path / "one.txt")).count() == 2
 
 
 def test_layers_have_to_divide():
     assert layer_map(12, 6)["attention"][0] == (1, 0)
     with pytest.raises(ValueError):
         layer_map(12, 5)
+
+
+def test_epoch_metrics_are_read_without_instances(spark, tmp_path):
+    rows = [(e, ["[CLS]", str(i), "[SEP]"], [0, 0, 0], False, [1], [str(i)]) for e, n in ((0, 3), (1, 5)) for i in range(n)]
+    made = spark.createDataFrame(rows, files.INSTANCE.replace("epoch int", "epoch int"))
+    path = str(tmp_path / "made")
+    files.write_instances(made, path, 32, 4)
+    found = files.read_instance_metrics(spark, path)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 3, 32), (1, 5, 32)]
+    assert all("/metrics/" in f for f in found.inputFiles())
+    # the instances may be gone: only the metrics are counted
+    for f in (tmp_path / "made" / "instances" / "epoch=0").glob("*"):
+        f.rename(tmp_path / f.name)
+    with pytest.warns(UserWarning, match="2 generated epochs serve 3"):
+        assert files.count_epochs(spark, path, requested=3) == 2
+    assert files.read_instances(spark, path, 3, 2).count() == 5 and files.read_instances(spark, path, 3, 2).first().epoch == 1
+    files.write_instances(made.where("false"), str(tmp_path / "none"), 32, 4)
+    with pytest.raises(ValueError):
+        files.count_epochs(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        files.write_instances(made, str(tmp_path / "few"), 32, 1)
