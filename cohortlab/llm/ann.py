@@ -1,17 +1,19 @@
 """Nearest neighbours by robust-pruned directed graphs, one for each shard of vectors.
 
-Rows are dealt into shards of about SHARD vectors by a hash of their id. In a
-shard every vector is searched for greedily in the graph so far; of the vectors
+Equal vectors are one node, which keeps the smallest of their ids: as many as a
+query can ask for, and one more for its own. Nodes are dealt into shards of about SHARD by a hash of the vector. In a
+shard every node is searched for greedily in the graph so far; of the vectors
 met, the nearest is kept and those much nearer to it than to the searched one
 are dropped, again and again, which leaves short and long edges. Reverse edges
-are added and pruned likewise. Queries are packed into blocks, and each block is
+are added and pruned likewise, and vectors that no edge leads to any more get one from the nearest that is reached. Queries are packed into blocks, and each block is
 answered in each shard by a beam search; the results are merged by distance.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part; neither do those whose length is not the most common
 one (the larger on ties); rows that repeat an id are candidates one by one, and
-a query leaves out every row of its own id; with fewer candidates than asked
-for, all are returned; an empty table gives no rows. Only the named columns are read.
+a query leaves out every row of its own id; queries that repeat an id and vector are
+answered once, and those that repeat an id with other vectors are queries of
+their own; with fewer candidates than asked for, all are returned; an empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -122,7 +124,34 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, rela
                 added[np.searchsorted(nodes, target[now]), turn[now]] = source[now]
                 edges[nodes] = robust_prune(points, nodes, np.concatenate((edges[nodes], added), axis=1), degree, alpha)
                 source, target = source[~now], target[~now]
-    return edges, start
+    return reachable(points, edges, start), start
+
+
+def reachable(points: np.ndarray, edges: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``edges`` with further ones, so that every vector can be reached from the entry points.
+
+    A vector that pruning has cut off gets an edge from the nearest one that is reached.
+    """
+    while True:
+        seen = np.zeros(len(points), bool)
+        seen[start] = True
+        front = start
+        while len(front):
+            near = np.unique(edges[front])
+            front = near[(near >= 0) & ~seen[near]]
+            seen[front] = True
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            return edges
+        known = np.flatnonzero(seen)
+        source = np.concatenate([known[_squares(points[part], np.broadcast_to(points[known], (len(part), *points[known].shape))).argmin(axis=1)]
+                                 for part in np.array_split(lost, -(-len(lost) // 64))])
+        order = np.argsort(source, kind="stable")
+        source, lost = source[order], lost[order]
+        turn = np.arange(len(source)) - np.searchsorted(source, source)
+        more = np.full((len(points), turn.max() + 1), -1, edges.dtype)
+        more[source, turn] = lost
+        edges = np.concatenate((edges, more), axis=1)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -130,63 +159,87 @@ def _pack(values: np.ndarray) -> bytes:
 
 
 def _graph(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id", kind="stable")
+    rows = rows.sort_values(["k1", "k2"], kind="stable")
     points = np.stack(rows["v"].to_list()).astype(np.float64)
     edges, start = build_graph(points)
+    ids = [np.asarray(x, np.int64) for x in rows["ids"]]
     return pd.DataFrame({
-        "shard": [rows["shard"].iloc[0]], "ids": [_pack(rows["vec_id"].to_numpy(np.int64))], "points": [_pack(points)],
-        "edges": [_pack(edges.astype(np.int32))], "start": [_pack(start.astype(np.int64))]})
+        "shard": [rows["shard"].iloc[0]], "ids": [_pack(np.concatenate(ids))], "ends": [_pack(np.cumsum([len(x) for x in ids]))],
+        "points": [_pack(points)], "edges": [_pack(edges.astype(np.int32))], "start": [_pack(start.astype(np.int64))]})
 
 
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
     points = np.stack(rows["v"].to_list()).astype(np.float64)
-    return pd.DataFrame({"q_ids": [_pack(rows["vec_id"].to_numpy(np.int64))], "q_points": [_pack(points)]})
+    return pd.DataFrame({"q_ids": [_pack(rows["vec_id"].to_numpy(np.int64))], "q_keys": [_pack(rows["k1"].to_numpy(np.int64))],
+                         "q_points": [_pack(points)]})
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
-            get = {c: batch.column(c)[row].as_buffer() for c in ("ids", "points", "edges", "start", "q_ids", "q_points")}
-            ids, q_ids = np.frombuffer(get["ids"], np.int64), np.frombuffer(get["q_ids"], np.int64)
-            points = np.frombuffer(get["points"]).reshape(len(ids), -1)
+            get = {c: batch.column(c)[row].as_buffer() for c in ("ids", "ends", "points", "edges", "start", "q_ids", "q_keys", "q_points")}
+            ids, ends, q_ids, q_keys = (np.frombuffer(get[c], np.int64) for c in ("ids", "ends", "q_ids", "q_keys"))
+            points = np.frombuffer(get["points"]).reshape(len(ends), -1)
             queries = np.frombuffer(get["q_points"]).reshape(len(q_ids), -1)
-            edges = np.frombuffer(get["edges"], np.int32).reshape(len(ids), -1)
+            edges = np.frombuffer(get["edges"], np.int32).reshape(len(ends), -1)
+            begins = ends - np.diff(ends, prepend=0)
             met, _ = beam_search(points, edges, queries, np.frombuffer(get["start"], np.int64), SEARCH_BEAM)
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for i, found in enumerate(met):
-                found = found[(found >= 0)]
-                found = found[ids[found] != q_ids[i]]
+                found = found[found >= 0]
                 score = np.sqrt(((points[found] - queries[i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[found], score))[:NEAREST]
-                out[0].append(np.full(len(best), q_ids[i]))
-                out[1].append(ids[found][best])
-                out[2].append(score[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+                # every node with all the ids that it keeps
+                count = ends[found] - begins[found]
+                at = np.repeat(begins[found] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                of, far = ids[at], np.repeat(score, count)
+                of, far = of[of != q_ids[i]], far[of != q_ids[i]]
+                best = np.lexsort((of, far))[:NEAREST]
+                for column, values in zip(out, (np.full(len(best), q_ids[i]), np.full(len(best), q_keys[i]), of[best], far[best])):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "q_key", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """vec_id and ``v`` (doubles) of the rows that take part."""
-    v = F.col(vector).cast("array<double>")
+    # adding zero makes one zero of both
+    v = F.transform(F.col(vector).cast("array<double>"), lambda x: x + 0.0)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("v") == (sizes["n"] if sizes else 0))
 
 
+_KEYS = ["k1", "k2"]
+
+
+def _keyed(vectors: DataFrame) -> DataFrame:
+    return vectors.select("vec_id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
+
+
+def distinct_nodes(vectors: DataFrame, keep: int = NEAREST + 1) -> DataFrame:
+    """k1, k2, v and the ``keep`` smallest ids of every distinct vector."""
+    # limited before the shuffle: a vector that most rows share sends a few rows for each task
+    place = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("vec_id"))
+    few = _keyed(vectors).withColumn("place", place).where(F.col("place") <= keep)
+    return few.groupBy(*_KEYS).agg(F.first("v").alias("v"), F.collect_list("vec_id").alias("ids"))
+
+
 def search(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rank, vec_id, score: the NEAREST found for each query; both tables as from ``usable``."""
-    shards = max(1, -(-vectors.count() // SHARD))
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
+    nodes = materialize(distinct_nodes(vectors), "nodes")
+    shards = max(1, -(-nodes.count() // SHARD))
+    dealt = nodes.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
     graphs = materialize(
-        dealt.groupBy("shard").applyInPandas(_graph, "shard int, ids binary, points binary, edges binary, start binary"), "graphs")
-    blocks = max(1, -(-queries.count() // BLOCK))
+        dealt.groupBy("shard").applyInPandas(_graph, "shard int, ids binary, ends binary, points binary, edges binary, start binary"), "graphs")
+    asked = materialize(_keyed(queries).dropDuplicates(["vec_id", *_KEYS]), "queries")
+    blocks = max(1, -(-asked.count() // BLOCK))
     packed = materialize(
-        queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block"))
-        .applyInPandas(_block, "q_ids binary, q_points binary"), "query-blocks")
+        asked.groupBy(F.pmod(F.xxhash64("vec_id", "k1"), F.lit(blocks)).alias("block"))
+        .applyInPandas(_block, "q_ids binary, q_keys binary, q_points binary"), "query-blocks")
     # every block meets every shard: the stated queries against all rows
     tasks = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = tasks.join(graphs.hint("shuffle_hash"), "shard").mapInArrow(_answers, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = tasks.join(graphs.hint("shuffle_hash"), "shard").mapInArrow(_answers, "query_id long, q_key long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q_key").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")
 
 

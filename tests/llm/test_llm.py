@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -347,6 +348,40 @@ def test_neighbours(spark):
     assert hits >= 0.9 * len(got)
 
 
+def test_neighbours_among_copies_and_shards(spark, monkeypatch):
+    """200 copies of every vector, several shards, and queries that repeat an id."""
+    monkeypatch.setattr(ann, "SHARD", 30)
+    rng = np.random.default_rng(12)
+    kinds = rng.integers(-4, 5, (60, 8))
+    kinds[:, 0] = np.where(np.abs(kinds).sum(axis=1) == 0, 1, kinds[:, 0])
+    rows = [(i, kinds[i % 60].astype(float).tolist()) for i in rng.permutation(12_000).tolist()]
+    rows += [(400, rows[0][1]), *[r for r in rows if r[0] == 500]]
+    table = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(table, table.where("vec_id % 100 = 0")).toPandas()
+    ids, points = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hits = total = 0
+    for query in range(0, 12_000, 100):
+        part = got[got.query_id == query]
+        if query == 400 and len(part) == 20:  # two vectors, two queries
+            assert sorted(part["rank"]) == sorted([*range(1, 11)] * 2)
+            continue
+        assert sorted(part["rank"]) == list(range(1, 11))
+        far = np.sqrt(((points - points[ids == query][0]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((ids, far)) if ids[i] != query][:10]
+        # the id 500 is two candidates
+        want = Counter(zip(far[order].tolist(), ids[order].tolist()))
+        hits += (want & Counter(zip(part.score.tolist(), part.vec_id.tolist()))).total()
+        total += 10
+    assert hits >= 0.99 * total
+
+
+def test_every_vector_can_be_reached():
+    points = np.random.default_rng(2).normal(size=(40, 3))
+    edges = ann.reachable(points, np.full((40, 2), -1), np.array([7]))
+    met, _ = ann.beam_search(points, edges, points, np.array([7]), 40)
+    assert all(sorted(row) == list(range(40)) for row in met.tolist())
+
+
 def test_odd_vectors(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (100, [1.0, 2.0]), (200, [1.0, 2.0]), (200, [1.0, 2.0])]
     table = spark.createDataFrame(bad, "vec_id long, embedding array<double>")
