@@ -1,4 +1,16 @@
-"""The corpus pipeline: quality, shared lines, near-duplicates, mixing and tokens, one after the other."""
+"""The corpus pipeline: quality, shared lines, near-duplicates, mixing and tokens, one after the other.
+
+Every stage but the last returns the columns of its input, further ones included,
+whatever their names; the last one returns the ids and what the encoder makes of the texts.
+
+Defined cases: null texts are scored like empty ones and stay null, have no line to lose,
+are near-duplicates of nothing, have no token to draw, and are encoded as empty; a
+null doc_id is smaller than any other and is not learned from; rows that repeat an id
+and text stay or go together; rows that repeat an id with other texts are judged by
+their own text, except that mixing draws an id and not a row; null sources and languages
+are values of their own in mixing; without usable labels every document has the same score, and
+all stay if it is at least the threshold; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
