@@ -43,8 +43,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete the files of tables from ``materialize`` that nothing reads any more."""
+    """Delete the files of tables from ``materialize`` that nothing reads any more.
+
+    Shuffle files of jobs that are over go when the driver collects its garbage, which it is asked to do.
+    """
     for table in tables:
         path, jvm = table.stored_path, table.sparkSession._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
