@@ -11,8 +11,8 @@ positions in one order; what decides a removal has 128 bits.
 2. The whole context, LENGTH bytes on and LENGTH - ANCHOR back (or up to the border of the text): where it
    stands earlier, all strings around the anchor do. They are one run, and only the
    first anchor of every context goes on.
-3. Two thirds of LENGTH, on and back: a string around the anchor holds one of the two. If one is
-   unique, half of the strings are.
+3. Contexts of LENGTH - STEP bytes at SIDES offsets: a string around the anchor holds one of
+   them. If one is unique, the strings that hold it are.
 4. LENGTH bytes, as pairs of ranks of the two halves, for the strings that are left.
 
 Defined cases: null texts count as empty; a text that stands with a smaller id
@@ -36,11 +36,14 @@ from cohortlab.scratch import materialize, release
 
 LENGTH = 100
 ANCHOR = 32
-#: How far a context reaches back from its anchor, and where strings turn from one half context to the other.
+#: How far a context reaches back from its anchor.
 BACK = LENGTH - ANCHOR
-TURN = BACK // 2
+#: The strings around an anchor by how far they reach back: SIDES ranges of STEP bytes.
+SIDES = 4
+STEP = BACK // SIDES
 _LEAST = -(1 << 63)
 _KEY = ["doc", "body"]
+_SIDES = [f"side{k}" for k in range(SIDES)]
 
 
 def slide(x: np.ndarray, w: int, op: np.ufunc, filler: int) -> np.ndarray:
@@ -116,13 +119,14 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 at, rank, back, on = at[keep], rank[keep], back[keep], on[keep]
                 n, prefix = len(at), buffers.prefix_hash(text)
                 whole = buffers.mix(buffers.span_hash(prefix, at - back, at + on) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                right_end, left_start = at + LENGTH - TURN, at - TURN
-                right = np.ma.masked_array(
-                    buffers.span_hash(prefix, at, np.minimum(right_end, len(text))).view(np.int64), right_end > len(text))
-                left = np.ma.masked_array(buffers.span_hash(prefix, np.maximum(left_start, 0), at + ANCHOR).view(np.int64), left_start < 0)
-                yield np.full(n, doc[i]), np.full(n, body[i]), at, rank, whole, right, left, at - back, at - np.maximum(LENGTH - on, 0)
+                sides = []
+                for k in range(SIDES):
+                    low, high = at - k * STEP, at - (k + 1) * STEP + LENGTH
+                    names = buffers.span_hash(prefix, np.maximum(low, 0), np.minimum(high, len(text))).view(np.int64)
+                    sides.append(np.ma.masked_array(names, (low < 0) | (high > len(text))))
+                yield np.full(n, doc[i]), np.full(n, body[i]), at, rank, whole, *sides, at - back, at - np.maximum(LENGTH - on, 0)
 
-    yield from _batched(rows(), ["doc", "body", "at", "rank", "whole", "right", "left", "low", "high"])
+    yield from _batched(rows(), ["doc", "body", "at", "rank", "whole", *_SIDES, "low", "high"])
 
 
 def _covered(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
@@ -146,12 +150,12 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least = slide(rank, BACK + 1, np.minimum, none)
                 chosen = np.zeros(count, bool)
                 places, sides = np.asarray(near[i].values.field("at")), np.asarray(near[i].values.field("side"))
-                for side, first, size in ((1, 0, TURN + 1), (2, TURN, BACK - TURN + 1)):
+                for k in range(SIDES):
                     active = np.full(len(rank), none, np.uint64)
-                    at = places[sides == side]
+                    at = places[sides == k]
                     active[at] = rank[at]
-                    # the anchor of the string that starts at p is from p + first on
-                    chosen |= slide(active, size, np.minimum, none)[first : first + count] == least
+                    # the anchor of a string that starts at p is at p + k * STEP or up to STEP further on
+                    chosen |= slide(active, STEP + 1, np.minimum, none)[k * STEP : k * STEP + count] == least
                 at = np.flatnonzero(chosen)
                 for part in np.array_split(at, max(1, len(at) // 200_000)):
                     n = len(part)
@@ -200,29 +204,32 @@ def repeated_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = materialize(near.join(firsts.hint("merge"), "body"), "near")
     release(found, again)
     # 2. the whole context
-    schema = "doc long, body long, at long, rank long, whole long, right long, left long, low long, high long"
+    schema = f"doc long, body long, at long, rank long, whole long, {', '.join(f'{x} long' for x in _SIDES)}, low long, high long"
     contexts = materialize(texts.join(near.hint("merge"), _KEY).mapInArrow(_context_rows, schema), "contexts")
     release(near)
-    first = F.min(F.struct("doc", "at", "body", "right", "left")).alias("first")
+    first = F.min(F.struct("doc", "at", "body", *_SIDES)).alias("first")
     groups = materialize(contexts.groupBy("rank", "whole").agg(first, F.count("*").alias("n")), "groups")
     settled = weighted_join(
         contexts.select("doc", "body", "at", "rank", "whole", "low", "high"),
         groups.where("n > 1").select("rank", "whole", "n", F.struct("first.doc", "first.at").alias("first")),
         ["rank", "whole"], "n", contexts.count()).where(F.struct("doc", "at") > F.col("first"))
     settled = materialize(settled.select(*_KEY, "low", "high"), "settled")
-    # 3. two thirds of the length, on and back
+    # 3. nearly the length, at several offsets
     left = groups.select("rank", "first.*")
-    on, back = (_repeated(left.select(*_KEY, "at", "rank", side), ["rank", side]) for side in ("right", "left"))
-    active = on.select(*_KEY, "at", F.lit(1).alias("side")).unionByName(back.select(*_KEY, "at", F.lit(2).alias("side")))
+    active = None
+    for k, side in enumerate(_SIDES):
+        found = _repeated(left.select(*_KEY, "at", "rank", side), ["rank", side]).select(*_KEY, "at", F.lit(k).alias("side"))
+        active = found if active is None else active.unionByName(found)
     near = materialize(active.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "side")).alias("near")), "near")
     release(contexts, groups)
     # 4. the strings themselves
     pairs = materialize(texts.join(near.hint("merge"), _KEY).mapInArrow(_pair_rows, "doc long, body long, at long, a long, b long"), "rank-pairs")
-    twice = pairs.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    twice = materialize(twice, "repeated-pairs")
-    later = weighted_join(pairs, twice, ["a", "b"], "n", pairs.count()).where(F.struct("doc", "at") > F.col("first"))
+    twice = materialize(_repeated(pairs, ["a", "b"]), "repeated-pairs")
+    release(near, pairs)
+    first = twice.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
+    later = weighted_join(twice, materialize(first, "first-pairs"), ["a", "b"], "n", twice.count()).where(F.struct("doc", "at") > F.col("first"))
     later = materialize(later.select(*_KEY, F.col("at").alias("low"), F.col("at").alias("high")), "later")
-    release(near, pairs, twice)
+    release(twice)
     return copies, settled.unionByName(later)
 
 
