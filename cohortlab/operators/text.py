@@ -99,23 +99,45 @@ def corpus_vocab(counts: DataFrame, base_size: int, fraction: float = 1.0) -> Da
     return kept.select("token", (F.row_number().over(Window.orderBy(*order)) - 1).alias("id"))
 
 
+#: Characters under which the vocabulary lists the lengths of its entries.
+PREFIX = 3
+
+
+def piece_lengths(vocab: DataFrame) -> DataFrame:
+    """first, prefix and the ``lens`` of the entries that begin with the prefix; shorter entries are their own prefix.
+
+    ``first`` marks what may begin a word; an entry with ## goes on after its sign, or begins a word as it is.
+    """
+    token = F.col("token")
+    entries = F.array(
+        F.struct(F.lit(True).alias("first"), token.alias("text")),
+        F.when(token.startswith("##"), F.struct(F.lit(False).alias("first"), F.substring(token, F.lit(3), F.char_length(token)).alias("text"))))
+    rows = vocab.select(F.explode(entries).alias("e")).where(F.col("e").isNotNull()).select("e.*").where("text <> ''")
+    return rows.groupBy("first", F.substring("text", 1, PREFIX).alias("prefix")).agg(F.collect_set(F.char_length("text")).alias("lens"))
+
+
+def candidate_spans(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word, start and len of the parts that some entry's prefix and length allow."""
+    word, size = F.col("word"), F.char_length("word")
+    starts = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    keys = F.transform(F.sequence(F.lit(1), F.least(F.lit(PREFIX), size - F.col("start") + 1)), lambda n: F.substring(word, F.col("start"), n))
+    asked = starts.select("word", "start", (F.col("start") == 1).alias("first"), F.explode(keys).alias("prefix"))
+    known = asked.join(broadcast_if_small(materialize(piece_lengths(vocab), "prefixes")), ["first", "prefix"])
+    lens = F.filter("lens", lambda n: F.col("start") + n - 1 <= size)
+    return known.select("word", "start", F.explode(lens).alias("len"))
+
+
 def wordpiece(words: DataFrame, vocab: DataFrame, column: str = "word", unk: str = UNK) -> DataFrame:
     """Greedy longest-match pieces of each distinct word: (word, pieces).
 
-    All substrings up to the longest vocabulary entry are matched with one
-    equi-join, and one aggregate per word brings the matches together, where the
+    From each start, the parts of those lengths that occur in the vocabulary under the
+    next characters are matched with one equi-join, and one aggregate per word brings the matches together, where the
     longest match is taken from each start reached. Give it distinct words (as
     from ``word_counts``): the work is per row, though repeated rows do no harm.
     """
-    longest = vocab.agg(F.max(F.char_length(F.regexp_replace("token", "^##", "")))).first()[0] or 1
     size = F.char_length("word")
     all_words = words.select(F.col(column).alias("word"))
-    short = all_words.where((size <= MAX_WORD_CHARS) & (size > 0))
-    starts = short.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    spans = starts.select(
-        "word", "start",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start") + 1))).alias("len"),
-    )
+    spans = candidate_spans(all_words.where((size <= MAX_WORD_CHARS) & (size > 0)), vocab)
     text = F.substring(F.col("word"), F.col("start"), F.col("len"))
     spans = spans.withColumn("token", F.when(F.col("start") > 1, F.concat(F.lit("##"), text)).otherwise(text))
     matched = spans.join(broadcast_if_small(vocab.select("token")), "token", "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlab.functions.chars import CJK_RANGES
 from cohortlab.operators import text as T
 from cohortlab.plans.registry import query
 from cohortlab.plans.tables import spread, table
@@ -14,8 +15,8 @@ BASE_SIZE = 8000
 
 CLEAN_SQL = r"""regexp_replace(regexp_replace({0}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{{FFFD}}\p{{Cf}}\p{{Co}}]', '', 'g'),
   '[\t\n\r\p{{Zs}}]', ' ', 'g')"""
-CJK_SQL = (r"regexp_replace({0}, '([\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{20000}}-\x{{2A6DF}}"
-           r"\x{{2A700}}-\x{{2CEAF}}\x{{F900}}-\x{{FAFF}}\x{{2F800}}-\x{{2FA1F}}])', ' \1 ', 'g')")
+_IDEOGRAPHS = "".join(rf"\x{{{{{a:X}}}}}-\x{{{{{b:X}}}}}" for a, b in CJK_RANGES)
+CJK_SQL = rf"regexp_replace({{0}}, '([{_IDEOGRAPHS}])', ' \1 ', 'g')"
 WORDS_SQL = r"regexp_extract_all({0}, '[!-/:-@\[-`{{-~\p{{P}}]|[^!-/:-@\[-`{{-~\p{{P}} \x{{2028}}\x{{2029}}]+')"
 
 

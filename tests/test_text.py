@@ -55,16 +55,41 @@ def test_wordpiece_equals_greedy_loop(spark):
     df = spark.createDataFrame([(w,) for w in words], "word string")
     table = spark.createDataFrame([(t, i) for i, t in enumerate(vocab)], "token string, id int")
     got = {r.word: r.pieces for r in T.wordpiece(df, table).collect()}
+    # Fixed value: the usual example of the definition.
     assert got["unaffable"] == ["un", "##aff", "##able"]
     assert got == {w: greedy(w, set(vocab)) for w in words}
 
 
+def test_few_candidate_spans(spark):
+    """The parts looked up are few against all substrings, and none that matches is left out."""
+    import random
+
+    rng = random.Random(3)
+    vocab = {"[UNK]", "##x", "é", "##ss"} | {"##" * (i % 2) + "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(1, 9))) for i in range(400)}
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(1, 25))) for _ in range(300)] + ["##xss", "éss", "##x"]
+    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(sorted(vocab))], "token string, id int")
+    spans = T.candidate_spans(df, table).collect()
+    longest = max(len(t.removeprefix("##")) for t in vocab)
+    everything = sum(min(longest, len(w) - i) for w in set(words) for i in range(len(w)))
+    assert 5 * len(spans) <= everything
+    found = {(r.word, r.start, r.len) for r in spans}
+    assert len(found) == len(spans)
+    for w in set(words):
+        for i in range(len(w)):
+            for n in range(1, len(w) - i + 1):
+                if ("##" if i else "") + w[i : i + n] in vocab:
+                    assert (w, i + 1, n) in found
+    got = {r.word: r.pieces for r in T.wordpiece(df, table).collect()}
+    assert got == {w: greedy(w, vocab) for w in words}
+
+
 def test_lookup_is_the_same_with_hot_and_cold_keys(spark, monkeypatch):
     rows = [("hot", i) for i in range(300)] + [(f"w{i % 40}", i) for i in range(200)] + [(None, 1)]
     df = spark.createDataFrame(rows, "word string, n int")
     dictionary = spark.createDataFrame([("hot", "H")] + [(f"w{i}", f"W{i}") for i in range(40)], "word string, v string")
     small = sorted(map(tuple, T.lookup(df, "word", dictionary).select("word", "n", "v").collect()), key=str)
-    monkeypatch.setattr(T, "BROADCAST_ROWS", 4)
+    monkeypatch.setattr(T, "HOT_KEYS", 4)
     monkeypatch.setattr(T, "fits", lambda d, m=4: sizing.fits(d, 4))
     large = sorted(map(tuple, T.lookup(df, "word", dictionary).select("word", "n", "v").collect()), key=str)
     assert small == large and len(small) == len(rows)
