@@ -48,23 +48,26 @@ def score_rows(df: DataFrame, logits: str = "logits", y: str = "y", loss: Loss =
 def group_metrics(df: DataFrame, space: GroupSpace, g: str = "g", by: Sequence[str] = ()) -> DataFrame:
     """Count, mean loss and mean accuracy of every group; an empty group gets zeros.
 
-    One aggregate: a zero-weight row per group rides along, so empty groups need
+    The rows are read once. A zero-weight row per group rides along, so empty groups need
     no join. With ``by`` every slice that has a row reports all groups.
     """
     rows = df.select(*by, F.col(g).cast("int").alias("g"), "loss", "correct", F.lit(1).cast("long").alias("n"))
-    slices = df.select(*by).distinct() if by else df.sparkSession.range(1)
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by, "g").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("correct").alias("correct"))
+
+    if by:
+        rows = materialize(summed(rows), "slices")  # one row for each slice and group
+    slices = rows.select(*by).distinct() if by else df.sparkSession.range(1)
     empty = slices.select(
         *by, F.explode(F.sequence(F.lit(0), F.lit(space.n_groups - 1))).alias("g"), F.lit(0.0).alias("loss"),
         F.lit(0).alias("correct"), F.lit(0).cast("long").alias("n"),
     )
-    rows = rows.unionByName(empty)
-    sums = rows.groupBy(*by, "g").agg(
-        F.sum("n").alias("n"), F.sum("loss").alias("_loss"), F.sum("correct").alias("_correct")
-    )
+    sums = summed(rows.unionByName(empty))
     denominator = F.greatest(F.col("n"), F.lit(1))
     return sums.select(
-        *by, "g", "n", (F.col("_loss") / denominator).alias("avg_loss"),
-        (F.col("_correct") / denominator).alias("avg_acc"),
+        *by, "g", "n", (F.col("loss") / denominator).alias("avg_loss"),
+        (F.col("correct") / denominator).alias("avg_acc"),
     )
 
 

@@ -175,7 +175,7 @@ class QuantRange:
 def calibrate(df: DataFrame, vector: str = "embedding") -> QuantRange:
     """Range of the calibration rows, always containing zero (two numbers on the driver)."""
     found = df.agg(F.min(F.array_min(vector)).alias("lo"), F.max(F.array_max(vector)).alias("hi")).first()
-    low, high = min(float(found.lo), 0.0), max(float(found.hi), 0.0)
+    low, high = min(float(found.lo or 0.0), 0.0), max(float(found.hi or 0.0), 0.0)  # an empty table has no range
     scale = (high - low) / 255.0 or 1.0
     return QuantRange(scale, round(-128 - low / scale))
 
@@ -278,6 +278,8 @@ def distillation_loss(attention: DataFrame | None, representation: DataFrame | N
     if representation is not None and (use_hidden or use_embedding):
         wanted = F.when(F.col("layer") == 0, F.lit(use_embedding)).otherwise(F.lit(use_hidden))
         terms.append(representation.where(wanted).select(F.lit(0.0).alias("att"), F.col("mse").alias("rep")))
+    if not terms:
+        raise ValueError("no table of an enabled term is given")
     rows = terms[0] if len(terms) == 1 else terms[0].unionByName(terms[1])
     return rows.agg(F.sum("att").alias("att_loss"), F.sum("rep").alias("rep_loss")).withColumn(
         "loss", F.col("att_loss") + F.col("rep_loss")

@@ -54,3 +54,25 @@ def test_an_empty_second_text_is_none(spark):
     table = spark.createDataFrame([(list(range(10, 30)), []), (list(range(10, 30)), None), ([7], [8])], "ids_a array<int>, ids_b array<int>")
     out = [r.input_ids for r in E.encode(table, 8, E.Layout(cls_id=1, sep_id=2)).collect()]
     assert out == [[1, 10, 11, 12, 13, 14, 15, 2]] * 2 + [[1, 7, 2, 8, 2, 0, 0, 0]]
+
+
+def test_slices_report_all_groups_from_one_scan(spark, tmp_path):
+    from cohortlab.operators.groups import GroupSpace
+
+    rows = [("a", 0, 1.0, 1), ("a", 0, 3.0, 0), ("b", 2, 5.0, 1), (None, 3, 2.0, 0)]
+    spark.createDataFrame(rows, "lang string, g int, loss double, correct int").write.parquet(str(tmp_path / "rows"))
+    out = M.group_metrics(spark.read.parquet(str(tmp_path / "rows")), GroupSpace(2, 2), by=["lang"])
+    assert not any("/rows/" in f for f in out.inputFiles())
+    got = {(r.lang, r.g): (r.n, r.avg_loss, r.avg_acc) for r in out.collect()}
+    want = {(s, g): (0, 0.0, 0.0) for s in ("a", "b", None) for g in range(4)}
+    assert got == want | {("a", 0): (2, 2.0, 0.5), ("b", 2): (1, 5.0, 1.0), (None, 3): (1, 2.0, 0.0)}
+
+
+def test_empty_tables_and_missing_terms(spark):
+    from cohortlab.operators import vectors as V
+
+    empty = spark.createDataFrame([], "id int, embedding array<double>")
+    assert V.quantize_static(empty, V.calibrate(empty)).count() == 0
+    errors = spark.createDataFrame([(0, 1.0)], "layer int, mse double")
+    with pytest.raises(ValueError):
+        V.distillation_loss(errors, None, use_attention=False)

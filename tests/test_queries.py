@@ -8,6 +8,8 @@ from cohortlab.plans import oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL = oracle_sql()
+#: Its parts have SQL of their own; together they would take too long there.
+WITHOUT_SQL = {"generate_epochs"}
 
 
 @pytest.fixture(scope="module")
@@ -21,4 +23,4 @@ def connection():
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, connection, name):
     state, note, _, _ = compare(spark, connection, name, queries()[name], SQL.get(name), SF_DIR)
-    assert state in ("OK", "ROWS"), note
+    assert state == ("ROWS" if name in WITHOUT_SQL else "OK"), note
