@@ -147,8 +147,7 @@ def encode_dataset(df: DataFrame, key: str, recipe: str | Recipe, vocab: DataFra
         F.struct(F.lit(0).alias("side"), F.col("text_a").alias("text")),
         F.struct(F.lit(1).alias("side"), F.col("text_b").alias("text")),
     )).alias("s")).select(key, "s.side", "s.text").where(F.coalesce("text", F.lit("")) != "")
-    pieces = T.tokenize(sides, [key, "side"], vocab)
-    ids = T.tokens_to_ids(pieces, [key, "side"], vocab)
+    ids = T.text_to_ids(sides, [key, "side"], vocab)
     both = ids.groupBy(key).agg(
         F.first(F.when(F.col("side") == 0, F.col("ids")), ignorenulls=True).alias("ids_a"),
         F.first(F.when(F.col("side") == 1, F.col("ids")), ignorenulls=True).alias("ids_b"),

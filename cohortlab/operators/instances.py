@@ -19,6 +19,7 @@ from cohortlab.functions import arrays
 from cohortlab.functions.rand import below, u
 from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.operators.ordering import dense_index, prefix_sums, running_sums
+from cohortlab.operators.text import lookup
 from cohortlab.scratch import materialize
 
 # Tokens of the instance layout.
@@ -59,7 +60,7 @@ def sample_other_doc(draws: DataFrame, docs: DataFrame, keys: Sequence[Column |
     if sizes.docs is None or sizes.docs < 2:
         raise ValueError("another document cannot be drawn from fewer than two documents")
     own = docs.select("doc_id", "n_segs", "idx", "cum_start")
-    known = draws.join(broadcast_if_small(own), "doc_id")
+    known = lookup(draws, "doc_id", own)  # one document may make most of the draws
     if not weighted:
         index = (F.col("idx") + 1 + below(sizes.docs - 1, *keys)) % sizes.docs
         other = docs.select(F.col("idx").alias("_idx"), F.col("doc_id").alias("doc_b"), F.col("n_segs").alias("n_segs_b"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,29 +200,51 @@ def collect_in_order(position: str, value: str) -> Column:
     return F.transform(F.array_sort(pairs), lambda s: s[value])
 
 
+def _by_word(df: DataFrame, keys: Sequence[str], words: str, entries: Callable[[DataFrame], DataFrame], value: str, name: str) -> DataFrame:
+    """The arrays ``value`` that ``entries`` gives for each distinct word, put together for every row: (keys, name).
+
+    The words are stored, so that texts are normalized once.
+    """
+    stored = materialize(df.select(*keys, F.col(words).alias("words")), "worded")
+    exploded = stored.select(*keys, F.posexplode_outer("words").alias("_pos", "word"))
+    counts = materialize(exploded.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    dictionary = materialize(entries(counts).select("word", value), "dictionary")
+    found = lookup(exploded, "word", dictionary, counts)
+    return found.groupBy(*keys).agg(F.flatten(collect_in_order("_pos", value)).alias(name))
+
+
 def tokenize_words(df: DataFrame, keys: Sequence[str], vocab: DataFrame, words: str = "words",
                    unk: str = UNK) -> DataFrame:
     """Replace the word array of each row by its pieces: (keys, tokens).
 
     Pieces are found once per distinct word, then looked up for all occurrences.
     """
-    exploded = df.select(*keys, F.posexplode_outer(words).alias("_pos", "word"))
-    seen = exploded.where(F.col("word").isNotNull())
-    counts = materialize(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    dictionary = materialize(wordpiece(counts, vocab, unk=unk), "pieces")
-    found = lookup(exploded, "word", dictionary, counts)
-    return found.groupBy(*keys).agg(F.flatten(collect_in_order("_pos", "pieces")).alias("tokens"))
+    return _by_word(df, keys, words, lambda counts: wordpiece(counts, vocab, unk=unk), "pieces", "tokens")
 
 
-def tokenize(df: DataFrame, keys: Sequence[str], vocab: DataFrame, column: str = "text", lower: bool = True,
-             basic: bool = True) -> DataFrame:
-    """Text to pieces; without ``basic`` the words are only split at spaces."""
+def _worded(df: DataFrame, keys: Sequence[str], column: str, lower: bool, basic: bool) -> DataFrame:
     if basic:
         worded = basic_tokenize(df, column, "words", lower)
     else:
         split = F.filter(F.split(F.col(column), r"[\s\p{Z}\x{85}]+"), lambda t: t != "")
         worded = df.withColumn("words", split)
-    return tokenize_words(worded.select(*keys, "words"), keys, vocab)
+    return worded.select(*keys, "words")
+
+
+def tokenize(df: DataFrame, keys: Sequence[str], vocab: DataFrame, column: str = "text", lower: bool = True,
+             basic: bool = True) -> DataFrame:
+    """Text to pieces; without ``basic`` the words are only split at spaces."""
+    return tokenize_words(_worded(df, keys, column, lower, basic), keys, vocab)
+
+
+def text_to_ids(df: DataFrame, keys: Sequence[str], vocab: DataFrame, column: str = "text", lower: bool = True,
+                basic: bool = True, unk: str = UNK) -> DataFrame:
+    """Text to ids of pieces: (keys, ids). Pieces become ids once per distinct word, so rows are taken apart once."""
+
+    def entries(counts: DataFrame) -> DataFrame:
+        return tokens_to_ids(wordpiece(counts, vocab, unk=unk), ["word"], vocab, "pieces", "_ids", unk=unk)
+
+    return _by_word(_worded(df, keys, column, lower, basic), keys, "words", entries, "_ids", "ids")
 
 
 def tokens_to_ids(df: DataFrame, keys: Sequence[str], vocab: DataFrame, tokens: str = "tokens", name: str = "ids",

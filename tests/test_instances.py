@@ -84,6 +84,24 @@ def test_many_short_lines_in_one_document(spark, tokens):
     assert at == 200_000 and not starts
 
 
+def test_draws_of_one_huge_document_spread(spark, monkeypatch):
+    """Without any broadcast table, a document that makes nine tenths of the draws is not one task's key."""
+    from cohortlab.operators import text as T
+
+    docs = I.doc_lengths(spark.range(200).select((F.col("id") % 40).alias("doc_id")))
+    draws = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id") % 40).cast("long").alias("doc_id"))
+    for weighted in (True, False):
+        wanted = {r.k: r.doc_b for r in I.sample_other_doc(draws, docs, [3, F.col("k")], weighted).collect()}
+        assert len(wanted) == 20_000 and all(b != 7 for k, b in wanted.items() if k % 10)
+        with monkeypatch.context() as patch:
+            patch.setattr(T, "fits", lambda *a: False)
+            patch.setattr(T, "HOT_KEYS", 20)
+            patch.setattr(I, "broadcast_if_small", lambda df, *a: df.hint("merge"))
+            out = I.sample_other_doc(draws, docs, [3, F.col("k")], weighted)
+            assert {r.k: r.doc_b for r in out.collect()} == wanted
+            assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_instances_keep_their_promises(spark):
     segments, rows = corpus(spark)
     vocab = spark.createDataFrame([(f"t{i}", i) for i in range(50)], "token string, id int")

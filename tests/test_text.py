@@ -101,3 +101,29 @@ def test_empty_texts_keep_their_rows(spark):
     tokens = T.tokenize(df, ["k"], vocab)
     ids = {r.k: r.ids for r in T.tokens_to_ids(tokens, ["k"], vocab).collect()}
     assert ids == {1: [1, 1], 2: []}
+
+
+def test_texts_to_ids_in_one_go(spark):
+    vocab = spark.createDataFrame([("[UNK]", 0), ("a", 1), ("##b", 2), ("c", 3), (".", 4)], "token string, id int")
+    df = spark.createDataFrame([(1, "A ab. abb"), (2, ""), (3, None), (4, "zz c c")], "k int, text string")
+    for basic in (True, False):
+        pieces = T.tokenize(df, ["k"], vocab, basic=basic)
+        want = {r.k: r.ids for r in T.tokens_to_ids(pieces, ["k"], vocab).collect()}
+        assert {r.k: r.ids for r in T.text_to_ids(df, ["k"], vocab, basic=basic).collect()} == want
+    assert want[4] == [0, 3, 3] and want[2] == want[3] == []
+
+
+def test_texts_are_normalized_once(spark, monkeypatch, tmp_path):
+    """Only the stored words read the texts; everything behind them reads what is stored."""
+    vocab = spark.createDataFrame([("[UNK]", 0), ("a", 1)], "token string, id int")
+    spark.createDataFrame([(1, "a b"), (2, "b")], "k int, text string").write.parquet(str(tmp_path / "texts"))
+    stored, read = [], spark.read.parquet(str(tmp_path / "texts"))
+    materialize = T.materialize
+
+    def noted(df, name="table"):
+        stored.append((name, any("texts" in f for f in df.inputFiles())))
+        return materialize(df, name)
+
+    monkeypatch.setattr(T, "materialize", noted)
+    out = T.text_to_ids(read, ["k"], vocab)
+    assert [name for name, texts in stored if texts] == ["worded"] and not any("texts" in f for f in out.inputFiles())
