@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from cohortlab.functions.rand import u
 from cohortlab.functions.sizing import broadcast_if_small
 from cohortlab.plans.tables import u_sql
-from cohortlab.scratch import materialize
+from cohortlab.scratch import materialize, release
 
 MARGINS = ("src", "lng", "topic")
 FLATTEN = 0.7
-ROUNDS = 12
+ROUNDS = 8
 #: Share of all tokens that is drawn, and steps to find the scale for it.
 PART = 0.5
 STEPS = 12
@@ -73,17 +73,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     ``cells`` has one row for each source, language and topic that occur together.
     """
     targets = targets or default_targets(cells, part)
+    # every cell carries its three targets, so that a step joins nothing but the sums of one margin
     now = cells.select(*MARGINS, "tokens", F.lit(part).alias("factor"))
+    for margin in MARGINS:
+        now = now.join(targets[margin].withColumnRenamed("target", f"to_{margin}"), margin)
+    now = materialize(now, "targets")
     for _ in range(rounds):
+        before = now
         for margin in MARGINS:
             drawn = F.sum(F.col("tokens") * F.least(F.col("factor"), F.lit(1.0)))
-            sums = now.groupBy(margin).agg(drawn.alias("has")).join(targets[margin], margin)
-            now = now.join(sums, margin).select(
-                *MARGINS, "tokens",
-                F.when(F.col("has") > 0, F.col("factor") * F.col("target") / F.col("has")).otherwise(F.col("factor")).alias("factor"),
-            )
+            target = F.col(f"to_{margin}")
+            now = now.join(now.groupBy(margin).agg(drawn.alias("has")), margin).withColumn(
+                "factor", F.when(F.col("has") > 0, F.col("factor") * target / F.col("has")).otherwise(F.col("factor"))).drop("has")
         now = materialize(now, "raked")
-    return now
+        release(before)
+    return now.select(*MARGINS, "tokens", "factor")
 
 
 def calibrated_scale(factors: DataFrame, part: float = PART, steps: int = STEPS) -> float:

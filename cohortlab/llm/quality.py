@@ -254,7 +254,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows:
     order = np.argsort(found["order"].to_numpy(), kind="stable")
     label = np.where(found["y"].to_numpy() > 0, 1.0, -1.0)
     sets = [np.asarray(x.values) for x in found["x"]]  # views of the received table
-    return fit([sets[i] for i in order], label[order])
+    model = fit([sets[i] for i in order], label[order])
+    del found, sets
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 class Scorer:
