@@ -96,6 +96,57 @@ def read_task_mnli_mismatched(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_task_tsv(spark, written_lines(rows, ["k"], "mnli", "/dev_mismatched.tsv"), "mnli-mm", "dev")
 
 
+@query("""
+SELECT 'train-' || row_number() OVER (ORDER BY p_partkey) AS guid, p_name AS text_a, NULL::VARCHAR AS text_b, (p_size % 2)::VARCHAR AS label
+FROM part""")
+def read_task_sst2(spark: SparkSession, sf: str) -> DataFrame:
+    """Single texts, text first, line numbers as identifiers."""
+    rows = task_rows(spark, sf, F.col("p_name"), F.pmod("p_size", F.lit(2)).cast("string"))
+    return files.read_task_tsv(spark, written_lines(rows, ["k"], "sst2", "/train.tsv"), "sst-2")
+
+
+@query("""
+SELECT 'dev-' || p_partkey AS guid, p_name AS text_a, p_type AS text_b, (p_size / 10.0)::DECIMAL(5, 1)::VARCHAR AS label FROM part""")
+def read_task_stsb(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores in the last column."""
+    score = (F.col("p_size") / 10).cast("decimal(5,1)").cast("string")
+    rows = task_rows(spark, sf, F.col("p_partkey").cast("string"), *[F.lit(str(i)) for i in range(6)], "p_name", "p_type", score)
+    return files.read_task_tsv(spark, written_lines(rows, ["k"], "stsb", "/dev.tsv"), "sts-b", "dev")
+
+
+@query("""
+SELECT 'dev_matched-' || p_partkey AS guid, p_name AS text_a, p_type AS text_b, p_brand AS label FROM part""")
+def read_task_mnli(spark: SparkSession, sf: str) -> DataFrame:
+    """The matched file; further columns may stand before the last one."""
+    key = F.col("p_partkey").cast("string")
+    rows = task_rows(spark, sf, key, *[F.lit(str(i)) for i in range(7)], "p_name", "p_type", F.lit("y"), F.lit("z"), "p_brand")
+    return files.read_task_tsv(spark, written_lines(rows, ["k"], "mnli-matched", "/dev_matched.tsv"), "mnli", "dev")
+
+
+def _numbered_pairs(spark: SparkSession, sf: str, task: str, split: str) -> DataFrame:
+    rows = task_rows(spark, sf, F.col("p_partkey").cast("string"), "p_name", "p_type", F.pmod("p_size", F.lit(2)).cast("string"))
+    return files.read_task_tsv(spark, written_lines(rows, ["k"], task, f"/{split}.tsv"), task, split)
+
+
+@query("""
+SELECT 'dev_matched-' || p_partkey AS guid, p_name AS text_a, p_type AS text_b, (p_size % 2)::VARCHAR AS label FROM part""")
+def read_task_qnli(spark: SparkSession, sf: str) -> DataFrame:
+    """Its development rows are named like those of another task."""
+    return _numbered_pairs(spark, sf, "qnli", "dev")
+
+
+@query("""
+SELECT 'dev-' || p_partkey AS guid, p_name AS text_a, p_type AS text_b, (p_size % 2)::VARCHAR AS label FROM part""")
+def read_task_rte(spark: SparkSession, sf: str) -> DataFrame:
+    return _numbered_pairs(spark, sf, "rte", "dev")
+
+
+@query("""
+SELECT 'train-' || p_partkey AS guid, p_name AS text_a, p_type AS text_b, (p_size % 2)::VARCHAR AS label FROM part""")
+def read_task_wnli(spark: SparkSession, sf: str) -> DataFrame:
+    return _numbered_pairs(spark, sf, "wnli", "train")
+
+
 @query(r"""
 WITH x AS (
   SELECT doc_id, unnest(string_split(text || chr(10), chr(10))) AS line, unnest(range(len(string_split(text || chr(10), chr(10))))) AS i FROM documents),
