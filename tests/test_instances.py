@@ -184,3 +184,48 @@ def test_epoch_metrics_are_read_without_instances(spark, tmp_path):
         files.count_epochs(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         files.write_instances(made, str(tmp_path / "few"), 32, 1)
+
+
+def test_tokens_travel_as_texts_and_come_back(spark, monkeypatch):
+    """No array of tokens is stored or shuffled before its side is complete, and any token comes back, nulls included."""
+    segments, _ = corpus(spark)
+    odd = F.when(F.col("t") == "t7", F.lit(None)).when(F.col("t") == "t8", F.lit("")).otherwise(F.concat(F.lit("\x1f"), "t", F.lit(" \x1e")))
+    odd_segments = segments.select("doc_id", "seg_no", F.posexplode_outer("tokens").alias("i", "t")).groupBy("doc_id", "seg_no").agg(
+        F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", odd.alias("t"))))).alias("s")).select(
+        "doc_id", "seg_no", F.transform("s", lambda x: x["t"]).alias("tokens"))
+    stored, materialize = [], I.materialize
+
+    def noted(df, name="table"):
+        stored.append((name, [t for _, t in df.dtypes]))
+        return materialize(df, name)
+
+    monkeypatch.setattr(I, "materialize", noted)
+    plain = I.make_pairs(segments, 1, 2, 32)
+    assert not any("array<string>" in kinds for _, kinds in stored)
+    key = lambda r: (r.epoch, r.doc_id, r.seg_no)
+    wanted = {key(r): r for r in plain.collect()}
+    change = lambda t: {"t7": None, "t8": "", ".": "."}.get(t, f"\x1f{t} \x1e")
+    found = I.make_pairs(odd_segments, 1, 2, 32).collect()
+    assert len(found) == len(wanted)
+    for r in found:
+        w = wanted[key(r)]
+        assert (r.doc_b, r.tokens_a, r.tokens_b) == (w.doc_b, [change(t) for t in w.tokens_a], [change(t) for t in w.tokens_b])
+
+
+def test_masking_with_a_small_vocabulary_needs_no_shuffle(spark, monkeypatch):
+    vocab = spark.createDataFrame([(f"t{i}", 3 * i) for i in range(50)], "token string, id int")
+    rows = spark.range(200).select(F.col("id").alias("k"), F.concat(F.array(F.lit("[CLS]")), F.array_repeat(F.lit("w"), 40)).alias("tokens"))
+    out = I.mask_tokens(rows, ["k"], vocab, 7, 0.3)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    small = {r.k: r for r in out.collect()}
+    monkeypatch.setattr(I, "fits", lambda *a: False)
+    assert {r.k: r for r in I.mask_tokens(rows, ["k"], vocab, 7, 0.3).collect()} == small and len(small) == 200
+
+
+def test_instances_are_stored_compressed(spark, tmp_path):
+    made = spark.createDataFrame([(0, ["a", "b"] * 50, [0] * 100, False, [1], ["b"])] * 20, files.INSTANCE)
+    files.write_instances(made, str(tmp_path / "made"), 128, 1)
+    parts = list((tmp_path / "made" / "instances").glob("*/part-*"))
+    assert parts and all(p.name.endswith(".json.gz") for p in parts)
+    back = files.read_instances(spark, str(tmp_path / "made"), 0)
+    assert [r.asDict() for r in back.collect()] == [r.asDict() for r in made.collect()]
