@@ -204,14 +204,14 @@ INSTANCE = ("epoch int, tokens array<string>, segment_ids array<int>, is_random_
 def write_instances(df: DataFrame, path: str, max_seq_len: int, epochs: int) -> None:
     """One JSON line per instance in one folder per epoch, and one line of metrics per epoch beside them.
 
-    The examples are counted while they are written. An epoch without examples has no line.
+    Words and segment numbers repeat, so that the compressed files have a fraction of the size. The examples are counted while they are written. An epoch without examples has no line.
     """
     seen = Observation("instances")
     counts = [F.count_if(F.col("epoch") == e).alias(f"e{e}") for e in range(epochs)]
     counts.append(F.count_if(~F.col("epoch").between(0, epochs - 1)).alias("other"))
     df.select(
         "epoch", "tokens", "segment_ids", "is_random_next", "masked_lm_positions", "masked_lm_labels"
-    ).observe(seen, *counts).write.partitionBy("epoch").json(f"{path}/instances")
+    ).observe(seen, *counts).write.partitionBy("epoch").json(f"{path}/instances", compression="gzip")
     found = seen.get
     if found["other"]:
         raise ValueError(f"{found['other']} instances are not of the epochs 0 to {epochs - 1}")
