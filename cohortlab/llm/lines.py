@@ -1,10 +1,11 @@
 """Lines that many documents share, removed with levelled sorted runs of line hashes.
 
-Each batch of documents becomes a run: one row for each line key, sorted by its
-hash, with the number of documents and the largest id. When a level holds
-``fanout`` runs they are merged into one of the next level. A new batch is
-anti-joined with the runs before its own run is added, which tells the lines
-that were never seen before.
+Each batch of documents becomes one row for each line key, with the number of
+documents and the largest id. It is anti-joined with the runs before it: the lines
+that were never seen before become a run, sorted by their hash, and the others are
+updates of lines that a run has. So every line is in exactly one run, and only
+lines that came again are counted. When a level holds ``fanout`` runs they are
+merged into one of the next level.
 
 Defined cases: a null or empty text is one empty line; a null id counts as one
 document that is smaller than any other; rows that repeat an id count as one
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cohortlab.llm.skew import weighted_join
-from cohortlab.scratch import fresh_path, materialize
+from cohortlab.scratch import fresh_path, materialize, release
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -58,6 +59,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
+        self.updates: list[DataFrame] = []
 
     def _store(self, run: DataFrame) -> DataFrame:
         path = fresh_path(self.spark, "line-run")
@@ -74,7 +76,7 @@ class LineRuns:
         return rows
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """Add a batch of line rows as a run, and return the part of it that no earlier run has.
+        """Add the part of a batch of line rows that no earlier run has as a run, and return it; the rest are updates.
 
         A document has to be whole in one batch.
         """
@@ -82,9 +84,15 @@ class LineRuns:
             rows.select(*_HASH, "doc").distinct()
             .groupBy(*_HASH).agg(F.count("*").alias("docs"), F.max("doc").alias("last"))
         )
-        batch = self._store(batch)
-        fresh = self.unseen(batch)
-        self._push(0, batch)
+        first = not self.levels
+        batch = self._store(batch) if first else materialize(batch, "line-batch")
+        if first:
+            fresh = batch
+        else:
+            fresh = self._store(self.unseen(batch))
+            self.updates.append(materialize(batch.join(fresh.select(*_HASH).hint("merge"), _HASH, "left_anti"), "line-updates"))
+            release(batch)
+        self._push(0, fresh)
         return fresh
 
     def _push(self, level: int, run: DataFrame) -> None:
@@ -97,15 +105,24 @@ class LineRuns:
             self._push(level + 1, merged)
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return rows.groupBy(*_HASH).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    def _union(parts: list[DataFrame]) -> DataFrame:
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """No line is in two runs."""
+        return self._union(runs).repartition(*[F.col(h) for h in _HASH])
 
     def shared(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """Lines of at least ``min_docs`` documents: h1, h2, docs, last."""
-        return self._merged(self.runs()).where(F.col("docs") >= min_docs)
+        rows = self._union(self.runs())
+        if self.updates:
+            more = self._union(self.updates).groupBy(*_HASH).agg(F.sum("docs").alias("_docs"), F.max("last").alias("_last"))
+            rows = rows.join(more, _HASH, "left").select(
+                *_HASH, (F.col("docs") + F.coalesce("_docs", F.lit(0))).alias("docs"), F.greatest("last", "_last").alias("last"))
+        return rows.where(F.col("docs") >= min_docs)
 
 
 def dropped_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,

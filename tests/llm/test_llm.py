@@ -33,6 +33,24 @@ def test_unseen_lines(spark):
     assert [len(level) for level in runs.levels] == [1, 1]
 
 
+def test_each_line_is_in_one_run_and_the_rest_are_updates(spark):
+    runs, n = lines.LineRuns(spark, fanout=2), lambda i: i % 7 if i % 3 else i
+    texts = {i: f"a line with the number {n(i)} in it" for i in range(60)}
+    for at in range(0, 60, 12):
+        rows = [(i, texts[i]) for i in range(at, at + 12)]
+        runs.add(lines.line_rows(spark.createDataFrame(rows, "doc_id long, text string")))
+    kept = [tuple(r) for run in runs.runs() for r in run.select("h1", "h2").collect()]
+    assert len(kept) == len(set(kept)) == len(set(texts.values())) and sum(u.count() for u in runs.updates) > 0
+    wanted = sorted((list(texts.values()).count(t), max(i for i in texts if texts[i] == t)) for t in set(texts.values()))
+    assert sorted((r.docs, r["last"]) for r in runs.shared(3).collect()) == [w for w in wanted if w[0] >= 3]
+    # the counts rest on the anti-join: a run that knows no earlier line counts too few
+    blind = lines.LineRuns(spark, fanout=2)
+    blind.unseen = lambda rows: rows
+    for at in range(0, 60, 12):
+        blind.add(lines.line_rows(spark.createDataFrame([(i, texts[i]) for i in range(at, at + 12)], "doc_id long, text string")))
+    assert len(blind.shared(3).collect()) != len(runs.shared(3).collect())
+
+
 def test_bpe(odd, empty):
     public_tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
