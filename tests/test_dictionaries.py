@@ -25,6 +25,9 @@ def test_values_stand_in_the_places_of_their_keys(spark):
     find = dictionaries.finder(table, "word", "v")
     wanted = {1: [["p", "q"], None, None, ["p", "q"]], 2: None, 3: [], 4: [[]]}
     assert {r.k: r.v for r in rows.select("k", find("w").alias("v")).collect()} == wanted
+    # tasks need not know the package
+    used = [find.func.__globals__.get(n) for n in find.func.__code__.co_names]
+    assert not any((getattr(v, "__module__", None) or "").startswith("cohortlab") for v in used)
     none = dictionaries.finder(table.where("false"), "word", "v")
     assert {r.k: r.v for r in rows.select("k", none("w").alias("v")).collect()} == {1: [None] * 4, 2: None, 3: [], 4: [None]}
 
