@@ -12,8 +12,9 @@ exactly (Jaccard).
 
 Equal texts are one node before anything is hashed. The members of a bucket are
 compared with one of them, and where they then are of several components, with a member of
-another component. That takes one row for each member and joins what belongs together in nearly all
-buckets. For buckets that still hold several components every pair of components has to be
+another component and with the most typical member, whose shingles most other sets have: of edits
+of one text that is the least edited one, which all links of the others lead to or pass nearby.
+That takes a row or two for each member and joins what belongs together in nearly all buckets. For buckets that still hold several components every pair of components has to be
 shown different: their members meet by shared rare shingles only. Of a set of n
 shingles in order of rarity, the first n - ceil(0.8 n) + 1 are looked up among the first
 n - ceil(8/9 n) + 1 of sets that are not larger, and only where the first shared one leaves
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,13 +241,33 @@ def _bucket(parts: pa.Array) -> np.ndarray:
     return (np.asarray(parts).view(np.uint64) >> np.uint64(64 - _RARITY_BITS)).astype(np.int64)
 
 
-def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+def _typical(members: DataFrame, sets: DataFrame, rarity: Broadcast) -> DataFrame:
+    """Pairs (node, lead) of the members of each bucket and its most typical member, where that is of another component.
+
+    A set is the less typical the larger the mean of 1 / frequency of its shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts")
+            size = pc.list_value_length(parts).to_numpy()
+            total = np.bincount(np.repeat(np.arange(len(size)), size), 1 / rarity.value[_bucket(parts.flatten())], len(size))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(total / np.maximum(size, 1))], ["node", "odd"])
+
+    odd = sets.select("node", "parts").mapInArrow(run, "node long, odd double")
+    ranked = members.select("bucket", "node", "root").join(odd.hint("merge"), "node")
+    centres = ranked.groupBy("bucket").agg(F.min(F.struct("odd", "node", "root")).alias("centre"))
+    return members.select("bucket", "node", "root").join(centres.hint("merge"), "bucket").where(F.col("root") != F.col("centre.root")).select(
+        "node", F.col("centre.node").alias("lead"))
+
+
+def _rare_shingles(sets: DataFrame, similarity: float, shared: Broadcast) -> DataFrame:
     """node, root, n, shingle of the rare shingles of each set; ``few`` marks those by which it is looked up as the smaller set.
 
     ``slack``: with a share of s / (1 + s) of both sizes in common, a set of m shingles that shares no earlier
     one needs ``slack`` >= m * s / (1 + s).
     """
-    shared, least = sets.sparkSession.sparkContext.broadcast(_rarity(sets)), similarity / (1 + similarity)
+    least = similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
@@ -268,9 +290,9 @@ def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.select("node", "root", "parts").mapInArrow(run, "node long, root long, n long, shingle long, few boolean, slack double")
 
 
-def _meeting(sets: DataFrame, similarity: float) -> DataFrame:
+def _meeting(sets: DataFrame, similarity: float, rarity: Broadcast) -> DataFrame:
     """Pairs (node, lead) of different components that share a rare shingle and whose sizes allow a link."""
-    rows = materialize(_rare_shingles(sets.where(F.size("parts") > 0), similarity), "rare")
+    rows = materialize(_rare_shingles(sets.where(F.size("parts") > 0), similarity, rarity), "rare")
     ends = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     rows_ = materialize(rows.join(ends.hint("merge"), "shingle"), "shared")
     release(rows)
@@ -308,17 +330,21 @@ def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
     labels = components(found)
     mixed = _mixed(members, labels)
     release(members, labels)
-    # the members of other components with a member of the component that has the largest root
-    pairs = mixed.where("root <> high").select("node", F.col("high").alias("lead")).distinct()
-    more = materialize(_linked(pairs, sets, similarity), "links")
+    # the members of other components with a member of the component that has the largest root, and with the most typical member
+    pairs = mixed.where("root <> high").select("node", F.col("high").alias("lead"))
+    used = mixed.select("node").union(mixed.select("high")).distinct()
+    held = materialize(sets.select("node", "parts").join(used.hint("merge"), "node"), "held")
+    release(sets)
+    rarity = held.sparkSession.sparkContext.broadcast(_rarity(held))
+    pairs = materialize(pairs.union(_typical(mixed, held, rarity)).distinct(), "pairs")
+    more = materialize(_linked(pairs, held, similarity), "links")
     found = found.unionByName(more)
     labels = components(found)
     again = _mixed(mixed, labels)
-    release(mixed, labels)
-    left = materialize(sets.select("node", "parts").join(
-        again.select("node", "root").distinct().hint("merge"), "node"), "left")
-    last = materialize(_linked(_meeting(left, similarity), left, similarity), "links")
-    release(sets, again, left)
+    release(mixed, labels, pairs)
+    left = materialize(held.join(again.select("node", "root").distinct().hint("merge"), "node"), "left")
+    last = materialize(_linked(_meeting(left, similarity, rarity), left, similarity), "links")
+    release(held, again, left)
     return found.unionByName(last)
 
 

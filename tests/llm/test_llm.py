@@ -256,6 +256,36 @@ def test_no_link_lost_in_a_large_bucket(spark, one_bucket):
     assert {i: v for (i, _), v in got.items()} == {i: find(i) for i in texts}
 
 
+def test_edits_of_one_text_do_not_meet_in_pairs(spark, one_bucket, monkeypatch):
+    """Copies with one to six edits lie around the threshold; they are joined by the least edited one, not pair by pair."""
+    rng, words = np.random.default_rng(4), [f"w{i}" for i in range(150)]
+    texts = {0: words}
+    for k in range(1, 160):
+        texts[k] = list(words)
+        for place in rng.choice(np.arange(5, 145), int(rng.integers(1, 7)), replace=False):
+            texts[k][place] = f"e{k}x{place}"
+    met, meeting = [], minhash._meeting
+    monkeypatch.setattr(minhash, "_meeting", lambda *a: met.append(meeting(*a)) or met[0])
+    monkeypatch.setattr(minhash, "release", lambda *a: None)
+    table = [(k, " ".join(t)) for k, t in texts.items()]
+    got = _class_ids(spark.createDataFrame(table, "doc_id long, text string"))
+    sets, root = {i: _shingles(t) for i, t in table}, {i: i for i, _ in table}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {i: v for (i, _), v in got.items()} == {i: find(i) for i in sets}
+    assert 20 < sum(find(i) == i for i in sets) < 140
+    assert met[0].count() < len(sets)
+
+
 def test_one_id_with_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, a.upper()), (None, "c d e"), (None, b + " other"), (4, "c  d e")]
