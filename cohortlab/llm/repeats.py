@@ -13,7 +13,8 @@ positions in one order; what decides a removal has 128 bits.
    first anchor of every context goes on.
 3. Contexts of LENGTH - STEP bytes at SIDES offsets: a string around the anchor holds one of
    them. If one is unique, the strings that hold it are.
-4. LENGTH bytes, as pairs of ranks of the two halves, for the strings that are left.
+4. LENGTH bytes, as pairs of ranks of the two halves, for the strings that are left. Those
+   that their own text holds further ahead are settled where they are found; the others meet once.
 
 Defined cases: null texts count as empty; a text that stands with a smaller id
 is removed whole if it has LENGTH bytes; rows that repeat an id are one document
@@ -72,7 +73,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple
 
 
 def _batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Record batches of bounded size from tuples of equally long arrays."""
+    """Record batches of bounded size from tuples of equally long arrays, or of (values, where they are null)."""
     out: list[tuple] = []
     held = 0
     for columns in rows:
@@ -87,8 +88,12 @@ def _batched(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch
 
 
 def _joined(parts: tuple) -> pa.Array:
-    values = np.ma.concatenate(parts) if any(np.ma.isMaskedArray(p) for p in parts) else np.concatenate(parts)
-    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
+    missing = None
+    if isinstance(parts[0], tuple):
+        parts, missing = zip(*parts, strict=True)
+        missing = np.concatenate(missing)
+    values = np.concatenate(parts)
+    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, mask=missing)
 
 
 def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -115,15 +120,16 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for i, text in _texts_of(batch):
                 at, rank = anchors(text)
                 back, on = np.minimum(at, BACK), np.minimum(len(text) - at, LENGTH)
-                keep = np.isin(rank.view(np.int64), np.asarray(near[i].values)) & (back + on >= LENGTH)
+                known = np.sort(np.asarray(near[i].values).view(np.uint64))
+                keep = (known[np.minimum(np.searchsorted(known, rank), len(known) - 1)] == rank) & (back + on >= LENGTH)
                 at, rank, back, on = at[keep], rank[keep], back[keep], on[keep]
                 n, prefix = len(at), buffers.prefix_hash(text)
                 whole = buffers.mix(buffers.span_hash(prefix, at - back, at + on) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                sides = []
-                for k in range(SIDES):
-                    low, high = at - k * STEP, at - (k + 1) * STEP + LENGTH
-                    names = buffers.span_hash(prefix, np.maximum(low, 0), np.minimum(high, len(text))).view(np.int64)
-                    sides.append(np.ma.masked_array(names, (low < 0) | (high > len(text))))
+                low = at - np.arange(SIDES)[:, None] * STEP
+                high = low - STEP + LENGTH
+                missing = (low < 0) | (high > len(text))
+                names = buffers.span_hash(prefix, np.maximum(low, 0), np.minimum(high, len(text)))
+                sides = zip(names, missing, strict=True)
                 yield np.full(n, doc[i]), np.full(n, body[i]), at, rank, whole, *sides, at - back, at - np.maximum(LENGTH - on, 0)
 
     yield from _batched(rows(), ["doc", "body", "at", "rank", "whole", *_SIDES, "low", "high"])
@@ -157,12 +163,16 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     # the anchor of a string that starts at p is at p + k * STEP or up to STEP further on
                     chosen |= slide(active, STEP + 1, np.minimum, none)[k * STEP : k * STEP + count] == least
                 at = np.flatnonzero(chosen)
-                for part in np.array_split(at, max(1, len(at) // 200_000)):
+                a, b = buffers.span_hash(prefix, at, at + half).view(np.int64), buffers.span_hash(prefix, at + half, at + LENGTH).view(np.int64)
+                # of a string that its text holds further ahead nothing else has to be known
+                order = np.lexsort((b, a))
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+                for part in np.array_split(np.arange(len(at)), max(1, len(at) // 200_000)):
                     n = len(part)
-                    yield (np.full(n, doc[i]), np.full(n, body[i]), part, buffers.span_hash(prefix, part, part + half),
-                           buffers.span_hash(prefix, part + half, part + LENGTH))
+                    yield np.full(n, doc[i]), np.full(n, body[i]), at[part], a[part], b[part], again[part]
 
-    yield from _batched(rows(), ["doc", "body", "at", "a", "b"])
+    yield from _batched(rows(), ["doc", "body", "at", "a", "b", "again"])
 
 
 def _keyed_columns() -> list[Column]:
@@ -188,7 +198,9 @@ def _copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = weighted_join(sums, groups.where("n > 1"), ["body", "more"], "n", sums.count()).where("doc > first")
     copies = materialize(copies.select(*_KEY).distinct(), "copies")
     release(sums)
-    return groups.select(F.col("first").alias("doc"), "body"), copies
+    firsts = groups.select(F.col("first").alias("doc"), "body")
+    firsts.stored_path = groups.stored_path
+    return firsts, copies
 
 
 def repeated_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -216,6 +228,13 @@ def repeated_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     settled = materialize(settled.select(*_KEY, "low", "high"), "settled")
     # 3. nearly the length, at several offsets
     left = groups.select("rank", "first.*")
+    single = firsts.groupBy("doc").count().where("count > 1").isEmpty()
+    if not single:  # texts of one id may hold a context at the same place, and none of them is later
+        tied = weighted_join(
+            contexts.select("rank", "whole", "doc", "at", "body", *_SIDES),
+            groups.where("n > 1").select("rank", "whole", "n", F.struct("first.doc", "first.at").alias("first"), F.col("first.body").alias("other")),
+            ["rank", "whole"], "n", contexts.count()).where((F.struct("doc", "at") == F.col("first")) & (F.col("body") != F.col("other")))
+        left = left.unionByName(materialize(tied.select(*left.columns), "tied"))
     active = None
     for k, side in enumerate(_SIDES):
         found = _repeated(left.select(*_KEY, "at", "rank", side), ["rank", side]).select(*_KEY, "at", F.lit(k).alias("side"))
@@ -223,13 +242,17 @@ def repeated_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = materialize(active.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "side")).alias("near")), "near")
     release(contexts, groups)
     # 4. the strings themselves
-    pairs = materialize(texts.join(near.hint("merge"), _KEY).mapInArrow(_pair_rows, "doc long, body long, at long, a long, b long"), "rank-pairs")
-    twice = materialize(_repeated(pairs, ["a", "b"]), "repeated-pairs")
-    release(near, pairs)
-    first = twice.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
-    later = weighted_join(twice, materialize(first, "first-pairs"), ["a", "b"], "n", twice.count()).where(F.struct("doc", "at") > F.col("first"))
-    later = materialize(later.select(*_KEY, F.col("at").alias("low"), F.col("at").alias("high")), "later")
-    release(twice)
+    pairs = materialize(texts.join(near.hint("merge"), _KEY).mapInArrow(_pair_rows, "doc long, body long, at long, a long, b long, again boolean"), "rank-pairs")
+    release(near)
+    # a text holds a string once here, so ids decide, unless several texts have one; a plain number is aggregated without sorting
+    place = F.col("doc") if single else F.struct("doc", "at")
+    strings = pairs.where("NOT again").drop("again")
+    first = materialize(strings.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-pairs")
+    release(firsts)
+    later = weighted_join(strings, first, ["a", "b"], "n", pairs.count()).where(place > F.col("first")).select(*_KEY, "at")
+    later = materialize(later.unionByName(pairs.where("again").select(*_KEY, "at")), "later")
+    release(pairs, first)
+    later = later.select(*_KEY, F.col("at").alias("low"), F.col("at").alias("high"))
     return copies, settled.unionByName(later)
 
 

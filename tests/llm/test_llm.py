@@ -97,6 +97,38 @@ def test_repeats(spark, documents, odd, empty):
     assert repeats.remove_repeats(odd).count() == odd.count() and repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeated_strings_are_written_once(spark, monkeypatch):
+    """No table after the rank pairs holds all of their repeated rows again; also where one id has several texts."""
+    rng = np.random.default_rng(3)
+    pool = ["".join(rng.choice(list("abcdefgh "), 150)) for _ in range(8)]
+    rows = [(k // 2 if k < 40 else k, "".join(rng.choice(pool, 4)) + f"-{k}") for k in range(80)]
+    written, materialize = [], repeats.materialize
+
+    def note(df, name="table"):
+        table = materialize(df, name)
+        written.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(repeats, "materialize", note)
+    for table in (rows, rows[40:]):
+        written.clear()
+        got = {r.kept.decode() for r in repeats.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+        at = [name for name, _ in written].index("rank-pairs")
+        assert all(n <= written[at][1] / 2 for name, n in written[at + 1 :] if name != "later")
+        first = {}
+        for doc, text in table:
+            for i in range(len(text) - 99):
+                s = text[i : i + 100]
+                first[s] = min(first.get(s, (doc, i)), (doc, i))
+        want = set()
+        for doc, text in table:
+            gone = np.zeros(len(text), bool)
+            for i in range(len(text) - 99):
+                gone[i : i + 100] |= first[text[i : i + 100]] < (doc, i)
+            want.add("".join(c for c, x in zip(text, gone, strict=True) if not x))
+        assert got == want
+
+
 def test_fingerprints(spark, documents):
     rows = {r.doc_id: r for r in fingerprints.op7_syncmer_fingerprints(spark, SF_DIR).collect()}
     texts = {r.doc_id: r.text for r in documents.collect()}
