@@ -313,7 +313,7 @@ def _meeting(sets: DataFrame, similarity: float, rarity: Broadcast) -> DataFrame
 
 
 def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Similar pairs (node, lead) that join all nodes of a bucket that belong together."""
+    """Pairs (node, lead) of one class that join all nodes that belong together: similar ones, and nodes with the least one of theirs."""
     bands = materialize(_texts(documents, nodes).select("node", "text").mapInArrow(_band_rows, "bucket long, node long"), "bands")
     ends = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = materialize(bands.join(ends.select("bucket", "low").hint("merge"), "bucket"), "members")
@@ -329,7 +329,7 @@ def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
     found = materialize(_similar(stars.join(other.hint("merge"), "lead"), similarity), "links")
     labels = components(found)
     mixed = _mixed(members, labels)
-    release(members, labels)
+    release(members)
     # the members of other components with a member of the component that has the largest root, and with the most typical member
     pairs = mixed.where("root <> high").select("node", F.col("high").alias("lead"))
     used = mixed.select("node").union(mixed.select("high")).distinct()
@@ -338,14 +338,14 @@ def links(documents: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
     rarity = held.sparkSession.sparkContext.broadcast(_rarity(held))
     pairs = materialize(pairs.union(_typical(mixed, held, rarity)).distinct(), "pairs")
     more = materialize(_linked(pairs, held, similarity), "links")
-    found = found.unionByName(more)
-    labels = components(found)
-    again = _mixed(mixed, labels)
+    # a label stands for the links it comes from, which leaves shorter ways to walk
+    joined = components(labels.select("node", F.col("root").alias("lead")).unionByName(more))
+    again = _mixed(mixed, joined)
     release(mixed, labels, pairs)
     left = materialize(held.join(again.select("node", "root").distinct().hint("merge"), "node"), "left")
     last = materialize(_linked(_meeting(left, similarity, rarity), left, similarity), "links")
     release(held, again, left)
-    return found.unionByName(last)
+    return joined.select("node", F.col("root").alias("lead")).unionByName(last)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -357,16 +357,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = materialize(labels.join(seen.withColumnRenamed("a", "node").hint("merge"), "node").select(
             "node", "root", F.least("root", "near").alias("new")), "step")
+        if step.where("root <> new").isEmpty():  # no edge joins two labels
+            release(both, labels)
+            stored = step.select("node", "root")
+            stored.stored_path = step.stored_path
+            return stored
         up = step.select(F.col("node").alias("new"), F.col("new").alias("top"))
         jumped = materialize(step.join(up.hint("merge"), "new", "left").select(
-            "node", F.col("root").alias("old"), F.least("new", F.coalesce("top", "new")).alias("root")), "labels")
+            "node", F.least("new", F.coalesce("top", "new")).alias("root")), "labels")
         release(labels, step)
         labels = jumped
-        if labels.where("old <> root").isEmpty():
-            release(both)
-            stored = labels.select("node", "root")
-            stored.stored_path = labels.stored_path
-            return stored
 
 
 # --- classes ------------------------------------------------------------------------------------------------------------

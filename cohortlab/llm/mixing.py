@@ -20,11 +20,11 @@ Only the named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.rand import u
-from cohortlab.functions.sizing import broadcast_if_small
+from cohortlab.functions.sizing import broadcast_if_small, fits
 from cohortlab.plans.tables import u_sql
 from cohortlab.scratch import materialize, release
 
@@ -34,6 +34,8 @@ ROUNDS = 8
 #: Share of all tokens that is drawn, and steps to find the scale for it.
 PART = 0.5
 STEPS = 12
+#: So few cells are raked in one partition, without shuffles; their number follows the sources and languages, not the documents.
+FEW_CELLS = 10_000
 
 
 def topic_of(text: Column) -> Column:
@@ -55,13 +57,14 @@ def described(documents: DataFrame) -> DataFrame:
 
 def default_targets(cells: DataFrame, part: float = PART) -> dict[str, DataFrame]:
     """For each margin its values and the tokens to draw of them, never more than there are."""
-    targets = {}
+    targets, few = {}, fits(cells, FEW_CELLS)
+    cells = cells.coalesce(1) if few else cells
     for margin in MARGINS:
         sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("tokens"))
         # wanted of every token, up to a scale for the whole margin
         wanted = materialize(sums.select(
             margin, "tokens", F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(FLATTEN)) / F.col("tokens")).otherwise(0.0).alias("factor")), "wanted")
-        scale = calibrated_scale(wanted, part)
+        scale = calibrated_scale(wanted.coalesce(1) if few else wanted, part)
         targets[margin] = materialize(
             wanted.select(margin, (F.col("tokens") * F.least(F.col("factor") * scale, F.lit(1.0))).alias("target")), f"target-{margin}")
     return targets
@@ -72,7 +75,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
 
     ``cells`` has one row for each source, language and topic that occur together.
     """
-    targets = targets or default_targets(cells, part)
+    targets, few = targets or default_targets(cells, part), fits(cells, FEW_CELLS)
     # every cell carries its three targets, so that a step joins nothing but the sums of one margin
     now = cells.select(*MARGINS, "tokens", F.lit(part).alias("factor"))
     for margin in MARGINS:
@@ -80,10 +83,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     now = materialize(now, "targets")
     for _ in range(rounds):
         before = now
+        now = before.coalesce(1) if few else before
         for margin in MARGINS:
             drawn = F.sum(F.col("tokens") * F.least(F.col("factor"), F.lit(1.0)))
             target = F.col(f"to_{margin}")
-            now = now.join(now.groupBy(margin).agg(drawn.alias("has")), margin).withColumn(
+            # in one partition a window needs no shuffle; many cells are summed up first, or else a value would have all of its cells in one task
+            summed = now.withColumn("has", drawn.over(Window.partitionBy(margin))) if few else now.join(
+                now.groupBy(margin).agg(drawn.alias("has")), margin)
+            now = summed.withColumn(
                 "factor", F.when(F.col("has") > 0, F.col("factor") * target / F.col("has")).otherwise(F.col("factor"))).drop("has")
         now = materialize(now, "raked")
         release(before)
