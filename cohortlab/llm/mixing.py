@@ -40,14 +40,16 @@ FEW_CELLS = 10_000
 
 def topic_of(text: Column) -> Column:
     size = F.char_length(text)
-    signs = F.char_length(F.regexp_replace(text, r"[^!-/:-@\[-`{-~]", ""))
-    breaks = size - F.char_length(F.translate(text, "\n", ""))
+    # a match takes a whole run, or else every character would cost one
+    signs = F.char_length(F.regexp_replace(text, r"[^!-/:-@\[-`{-~]+", ""))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return F.when((size > 0) & (signs * 20 >= size), "symbols").when((size > 0) & (breaks * 200 >= size), "lines").otherwise("prose")
 
 
 def described(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.char_length(F.regexp_replace(F.regexp_replace(text, r"[^ \t\n\r]+", "w"), r"[ \t\n\r]+", ""))
+    # a word and the white space after it become one character
+    words = F.char_length(F.regexp_replace(F.ltrim(text, F.lit(" \t\n\r")), r"[^ \t\n\r]+[ \t\n\r]*", "w"))
     return documents.select(
         F.col("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("src"),
         F.coalesce(F.col("lang"), F.lit("")).alias("lng"), topic_of(text).alias("topic"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -350,6 +351,19 @@ def test_mixing(odd, empty):
     assert set(mixing.keep_drawn(odd).columns) == set(odd.columns)
 
 
+def test_texts_are_measured_run_by_run(spark):
+    """Words, signs and line breaks of odd texts by hand; a pass over the text replaces runs, not single characters."""
+    texts = ["", " \t\r\n ", "  two words\n", "a\x0bb\x0cc d", "\u00a0x \U0001f600\U0001f600 \u00e9", "!!..!! a", "a" * 19 + "!", "a" * 20 + "!", "x\n" * 3, "x" * 199 + "\n", "x" * 200 + "\n", "\n"]
+    rows = mixing.described(spark.createDataFrame([(i, t, "s", "l") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string"))
+    signs = [sum(c in string.punctuation for c in t) for t in texts]
+    want = {i: ("symbols" if t and 20 * n >= len(t) else "lines" if t and 200 * t.count("\n") >= len(t) else "prose", len(re.findall(r"[^ \t\n\r]+", t)))
+            for i, (t, n) in enumerate(zip(texts, signs))}
+    assert {r.doc_id: (r.topic, r.n_tokens) for r in rows.collect()} == want
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    patterns = re.findall(r"(\[\^[^,]*), (?:w|), 1\)", plan)
+    assert len(patterns) == 2 and all(p.endswith(("+", "*")) for p in patterns) and "translate(" not in plan
+
+
 def test_raked_margins(spark):
     """The drawn tokens have the target margins, though two cells are drawn whole."""
     cells = spark.createDataFrame([("a", "x", "p", 1000), ("a", "y", "p", 60), ("b", "x", "q", 50), ("b", "y", "p", 40), ("a", "x", "q", 300),
