@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlab.llm import buffers
+
 #: Entries of the piece cache of one worker; the table of transitions holds four times as many.
 MAX_CACHED = 200_000
 #: Characters from which the pieces of a text are not listed before they are encoded.
@@ -188,9 +190,6 @@ class Codec:
         yield decoder.decode(b"", final=True)
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digest: bool = False) -> DataFrame:
     """doc_id with ``ids`` and the decoded ``text``, or with their digests."""
     shared = documents.sparkSession.sparkContext.broadcast((ranks, pattern))
@@ -198,12 +197,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, digest:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # tasks of one worker process share the tables they have made
-        from cohortlab.llm.bpe import _codecs  # the worker's own module, not a copy sent with this function
-
-        if name not in _codecs:
-            _codecs.clear()
-            _codecs[name] = Codec(*shared.value)
-        codec = _codecs[name]
+        codec = buffers.kept(name, lambda: Codec(*shared.value))
         for batch in batches:
             # a few rows at a time, or else a batch of long texts would stand in memory three times
             for at in range(0, batch.num_rows, 256):

@@ -6,17 +6,39 @@ unsigned integers, so they are the same on every machine and in every run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+T = TypeVar("T")
+
 #: Bytes of text handled at once; the temporary arrays take about 60 times as much.
 CHUNK_BYTES = 1 << 20
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What tasks of one worker process share, made when it is first asked for. Only the last one is kept."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]  # type: ignore[return-value]
+
+
+def forget() -> None:
+    """Drop what other tasks of this worker process have kept: it would stand in memory beside the tables of this one."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the row offsets (one more than rows); null counts as empty."""

@@ -58,6 +58,7 @@ _RARITY_BITS = 20
 
 def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For chunks of rows: first row, last row, hashes of the shingles and their rows (from 0 in the chunk)."""
+    buffers.forget()
     for at in range(0, len(column), _ROWS):
         # copies of texts are made for one piece of a batch at a time
         data, offsets = buffers.utf8(pc.utf8_lower(column.slice(at, _ROWS).cast(pa.string())))

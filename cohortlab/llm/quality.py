@@ -221,6 +221,7 @@ def fit(examples: list[np.ndarray], label: np.ndarray) -> Model:
 
 
 def _indicator_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    buffers.forget()
     indicators = Indicators()
     for batch in batches:
         data, offsets = buffers.utf8(batch.column("text"))
@@ -286,6 +287,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.forget()
         scorer = Scorer(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
@@ -313,6 +315,7 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESH
     shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers.forget()
         scorer = Scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column("text")) >= threshold))

@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.llm import ann, bpe, fingerprints, langid, lines, minhash, mixing, pii, quality, registry, repeats
+from cohortlab.llm import ann, bpe, buffers, fingerprints, langid, lines, minhash, mixing, pii, quality, registry, repeats
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -391,6 +392,17 @@ def test_few_cells_are_raked_without_shuffles(spark, documents, monkeypatch):
     assert found[0][1] <= mixing.ROUNDS + 8 and found[1][1] > 4 * mixing.ROUNDS
 
 
+def test_workers_keep_tables_of_one_step_only():
+    """The encoder's tables go when other tasks of the process begin."""
+    made = buffers.kept("a", list)
+    assert buffers.kept("a", list) is made and buffers.kept("b", list) is not made and buffers.kept("a", list) is not made
+    list(minhash.shingles(pa.array(["a b c"])))
+    assert not buffers._kept
+    buffers.kept("a", list)
+    list(quality._indicator_rows(iter([])))
+    assert not buffers._kept
+
+
 def test_components_end_when_no_edge_joins_two_labels(spark, monkeypatch):
     """Stars are seen to be whole by one pass over the edges."""
     written, materialize = [], minhash.materialize
