@@ -89,3 +89,24 @@ def test_truncation_draws_as_before(spark):
         fronts = sum(number(3, "a", r.id, i) < 0.5 for i in range(1, 40 - left + 1))
         assert r.a == [str(i) for i in range(1, 41)][fronts:fronts + left]
     assert spark.range(50).where((u(3, F.col("id")) < 0.5) != (F.md5(F.concat_ws("|", F.lit("3"), F.col("id").cast("string"))) < "8")).count() == 0
+
+
+def test_texts_are_sent_once_for_all_epochs(spark, monkeypatch):
+    """No text is stored, and the text of a segment is repeated for the epochs' chunks behind the last shuffle."""
+    stored, materialize = [], I.materialize
+
+    def noted(df, name="table"):
+        stored.append([t for _, t in df.dtypes])
+        return materialize(df, name)
+
+    monkeypatch.setattr(I, "materialize", noted)
+    rows = [(d, s, [f"t{d}", f"s{s}", "x"] * (1 + s % 4)) for d in range(9) for s in range(1 + 4 * d)]
+    segments = spark.createDataFrame(rows, "doc_id long, seg_no long, tokens array<string>")
+    many = I.make_pairs(segments, 5, 3, 24)
+    assert not any("string" in kind for kinds in stored for kind in kinds)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("explode(chunks")] and "Join" not in plan[:plan.index("explode(chunks")]
+    # small blocks deal a document out in parts and change nothing
+    parts = I.make_pairs(segments, 5, 3, 24, block=24)
+    assert parts.select(F.col("epoch")).distinct().count() == 3
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, parts.collect()))
