@@ -110,3 +110,22 @@ def test_texts_are_sent_once_for_all_epochs(spark, monkeypatch):
     parts = I.make_pairs(segments, 5, 3, 24, block=24)
     assert parts.select(F.col("epoch")).distinct().count() == 3
     assert sorted(map(repr, many.collect())) == sorted(map(repr, parts.collect()))
+
+
+def test_pieces_are_cut_where_a_word_is(spark, monkeypatch):
+    """A small vocabulary needs no row for each part of a word, and gives the pieces of the join."""
+    from cohortlab.operators import text as T
+
+    tokens = ["a", "ab", "abc", "##c", "##cd", "##d", "##", "##x", "é", "##é", "犬", "\U00020000", "##\U00020000", None]
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
+    rng = np.random.default_rng(5)
+    words = ["", "abcd", "##x", "##", "a" + "c" * 99, "a" + "c" * 100, None, "abq"]
+    words += ["".join(rng.choice(list("abcdxé犬\U00020000"), rng.integers(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(w,) for w in words + words[:50]], "word string")
+    near = T.wordpiece(df, vocab)
+    assert "Generate" not in near._jdf.queryExecution().executedPlan().toString()
+    found = {r.word: r.pieces for r in near.collect()}
+    assert near.count() == len(set(words)) == len(found)
+    monkeypatch.setattr(T, "fits", lambda *a: False)
+    assert {r.word: r.pieces for r in T.wordpiece(df, vocab).collect()} == found
+    assert found["abcd"] == ["abc", "##d"] and found["a" + "c" * 100] == [T.UNK] and found[""] == []
