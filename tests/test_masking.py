@@ -129,3 +129,17 @@ def test_pieces_are_cut_where_a_word_is(spark, monkeypatch):
     monkeypatch.setattr(T, "fits", lambda *a: False)
     assert {r.word: r.pieces for r in T.wordpiece(df, vocab).collect()} == found
     assert found["abcd"] == ["abc", "##d"] and found["a" + "c" * 100] == [T.UNK] and found[""] == []
+
+
+def test_labels_of_a_row_are_one_map(spark):
+    from cohortlab.operators import encode as E
+
+    vocab = spark.createDataFrame([("[UNK]", 1), ("a", 2), ("b", 3)], "token string, id int")
+    rows = [(1, ["a", "b", "z"], [0, 0, 1], True, [1, 2], ["a", "z"]), (2, ["a"], [0], False, [], [])]
+    made = spark.createDataFrame(rows, "k int, tokens array<string>, segment_ids array<int>, is_random_next boolean, "
+                                 "masked_lm_positions array<int>, masked_lm_labels array<string>")
+    out = E.pack_lm_features(made, ["k"], vocab, 5)
+    assert "array(map_from_arrays(" in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.k: (r.input_ids, r.input_mask, r.segment_ids, r.lm_label_ids, r.is_next) for r in out.collect()}
+    assert found == {1: ([2, 3, 1, 0, 0], [1, 1, 1, 0, 0], [0, 0, 1, 0, 0], [-1, 2, 1, -1, -1], True),
+                     2: ([2, 0, 0, 0, 0], [1, 0, 0, 0, 0], [0, 0, 0, 0, 0], [-1, -1, -1, -1, -1], False)}
